@@ -156,11 +156,11 @@ def nest_users(reviews: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
     return nested(plain).unionByName(nested(split.drop("_at", "_first")))
 
 
-def flat_ratings(users: DataFrame) -> DataFrame:
-    """The nested ratings as rows with their position; entries without a rating are ignored."""
+def flat_ratings(users: DataFrame, only_rated: bool = True) -> DataFrame:
+    """The nested ratings as rows with their position; entries without a rating may be ignored."""
     chunk = F.col("chunk") if "chunk" in users.columns else F.lit(0).cast("bigint")
-    present = F.filter("ratings", lambda r: r["rating"].isNotNull())
-    return users.select("user_id", chunk.alias("chunk"), F.posexplode(present).alias("pos", "r")).select(
+    entries = F.filter("ratings", lambda r: r["rating"].isNotNull()) if only_rated else F.col("ratings")
+    return users.select("user_id", chunk.alias("chunk"), F.posexplode(entries).alias("pos", "r")).select(
         "user_id", "chunk", "pos", F.col("r.gmap_id"), F.col("r.rating"), F.col("r.timestamp").alias("time")
     )
 

@@ -80,7 +80,7 @@ SQL_VIEWS = {
     "ev": """SELECT CASE event_type WHEN 'view' THEN 'user_entered' WHEN 'click' THEN 'url_click'
         WHEN 'purchase' THEN 'user_exited' ELSE event_type END AS event_type,
         CAST(user_id AS VARCHAR) AS user_id,
-        regexp_extract(props, '"k": *([0-9]+)', 1) AS gmap_id, epoch_ms(ts) AS ms FROM events""",
+        regexp_extract(props, '"k": *([0-9]+)', 1) AS gmap_id, epoch_us(ts) // 1000 AS ms FROM events""",
     "mean_rv": "SELECT user_id, gmap_id, avg(rating) AS rating FROM rv GROUP BY user_id, gmap_id",
 }
 _NEEDS = {"mean_rv": ["rv"]}

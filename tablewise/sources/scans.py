@@ -13,7 +13,7 @@ _BAD = "_corrupt_record"
 
 
 def parse_ndjson(lines: DataFrame, schema: str) -> DataFrame:
-    """Decode a ``value`` column of JSON lines; blank lines vanish.
+    """Decode a ``value`` column of JSON lines; blank lines vanish, other columns stay.
 
     Adds ``_corrupt_record``: the text of a line that is not exactly one JSON object of this schema,
     else null.
@@ -22,10 +22,11 @@ def parse_ndjson(lines: DataFrame, schema: str) -> DataFrame:
     whole = F.coalesce(F.json_array_length(F.concat(F.lit("["), "value", F.lit("]"))) == 1, F.lit(False))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
     decoded = F.from_json("value", f"{schema}, {_BAD} string", options)
+    others = [c for c in lines.columns if c != "value"]
     return (
         lines.where(not_blank("value"))
-        .select("value", decoded.alias("j"), whole.alias("whole"))
-        .select("j.*", "value", "whole")
+        .select(*others, "value", decoded.alias("j"), whole.alias("whole"))
+        .select(*others, "j.*", "value", "whole")
         .withColumn(_BAD, F.when(F.col(_BAD).isNotNull() | ~F.col("whole"), F.col("value")))
         .drop("value", "whole")
     )
@@ -91,8 +92,15 @@ def read_table(
     return df.select(*columns) if columns else df
 
 
-def read_newest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def newest_run(spark: SparkSession, path: str, before: int | None = None) -> int:
+    """The newest whole run of a snapshot, from its marks; no data is opened."""
+    runs = spark.read.schema("run_id bigint, id bigint").parquet(f"{path.rstrip('/')}/_runs")
+    if before is not None:
+        runs = runs.where(F.col("id") < before)
+    return runs.agg(F.max("run_id")).first()[0]
+
+
+def read_newest(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
     """The rows of the newest run of a snapshot; older runs are not opened."""
-    runs = spark.read.schema(f"{schema}, run_id bigint").parquet(path)
-    newest = runs.agg(F.max("run_id")).first()[0]
-    return runs.where(F.col("run_id") == F.lit(newest)).drop("run_id")
+    run_id = newest_run(spark, path, before)
+    return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/run_id={run_id}")
