@@ -78,8 +78,7 @@ def fill_images(
     pattern: str = scalars.IMG_SRC,
 ) -> DataFrame:
     """Items with an image url: their own, else the first fitting one of their fetched page, else the
-    default. Only items without one touch their page, and the page text is cut to the url before any
-    shuffle."""
+    default. A page is cut to its url before the join, so no page text is shuffled."""
     found = pages.select(
         "gmap_id", scalars.first_matching_url("html", substrings, default, pattern).alias("_found")
     )

@@ -201,8 +201,8 @@ def sparse_vectors(ratings: DataFrame, users: DataFrame, index: DataFrame, size:
     """One sparse ML vector per user; no array is longer than the list of features."""
 
     @F.udf(VectorUDT())
-    def assemble(entries) -> SparseVector:
-        return Vectors.sparse(size, [(e["i"], e["v"]) for e in entries])
+    def assemble(at, values) -> SparseVector:
+        return Vectors.sparse(size, at, values)
 
     pair = F.struct(F.col("i"), F.col("rating").cast("double").alias("v"))
     arrays = (
@@ -213,7 +213,8 @@ def sparse_vectors(ratings: DataFrame, users: DataFrame, index: DataFrame, size:
     )
     everyone = users.select("user_id").join(arrays, "user_id", "left")
     none = F.from_json(F.lit("[]"), "array<struct<i:int,v:double>>")
-    return everyone.select("user_id", assemble(F.coalesce("entries", none)).alias("features"))
+    filled = everyone.select("user_id", F.coalesce("entries", none).alias("entries"))
+    return filled.select("user_id", assemble("entries.i", "entries.v").alias("features"))
 
 
 def euclidean_start(ratings: DataFrame, users: DataFrame, k: int, seed: int) -> DataFrame:
@@ -302,12 +303,10 @@ def kmeans(
     errors: list[float] = []
     for _ in range(max_iter):
         assigned = assign()
-        errors.append(total_error(assigned))
-        if len(errors) > 1 and abs(errors[-2] - errors[-1]) < tol:
-            return KMeansResult(centroids, assigned, errors)
         moved = cut(_union_scores([r for r, _ in parts], assigned))
-        n_moved, n_new = _moved_cells(centroids, moved)
-        if n_moved == 0:
+        error, n_moved, n_new = _round_figures(assigned, centroids, moved)
+        errors.append(error)
+        if len(errors) > 1 and abs(errors[-2] - error) < tol or n_moved == 0:
             return KMeansResult(centroids, assigned, errors)
         centroids, n_cells = moved, n_new
     return KMeansResult(centroids, assign(), errors)
@@ -325,14 +324,21 @@ def _union_scores(parts: Sequence[DataFrame], assigned: DataFrame) -> DataFrame:
     )
 
 
-def _moved_cells(old: DataFrame, new: DataFrame) -> tuple[int, int]:
-    """Cells that differ between two sets of centroids, and the cells of the new one."""
-    a, b = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
-    both = old.select("cluster_id", "gmap_id", F.col("value").alias("a")).join(
-        new.select("cluster_id", "gmap_id", F.col("value").alias("b")), ["cluster_id", "gmap_id"], "full"
+def _round_figures(assigned: DataFrame, old: DataFrame, new: DataFrame) -> tuple[float, int, int]:
+    """Total error, cells that differ between two sets of centroids, cells of the new one."""
+    zero = F.lit(0.0)
+    cells = old.select("cluster_id", "gmap_id", F.col("value").alias("a"), zero.alias("b"), F.lit(0).alias("is_new"))
+    cells = cells.unionByName(
+        new.select("cluster_id", "gmap_id", zero.alias("a"), F.col("value").alias("b"), F.lit(1).alias("is_new"))
+    )
+    sides = [F.sum(c).alias(c) for c in ("a", "b", "is_new")]
+    a, b = F.col("a"), F.col("b")
+    counts = cells.groupBy("cluster_id", "gmap_id").agg(*sides).agg(
+        F.count_if(F.abs(a - b) > ATOL + RTOL * F.abs(b)).alias("n_moved"), F.sum("is_new").alias("n_new")
     )
-    row = both.agg(F.count_if(F.abs(a - b) > ATOL + RTOL * F.abs(b)), F.count("b")).first()
-    return row[0], row[1]
+    errors = assigned.agg(F.sum("distance").alias("error"))
+    row = errors.unionByName(counts, allowMissingColumns=True).agg(F.max("error"), F.max("n_moved"), F.max("n_new")).first()
+    return row[0] or 0.0, row[1], row[2] or 0
 
 
 def cluster_recommendations(

@@ -77,22 +77,23 @@ def visits(events: DataFrame, gap_seconds: int = VISIT_GAP_SECONDS) -> DataFrame
 def engaged_clicks(events: DataFrame, within_seconds: int = ENGAGED_SECONDS) -> DataFrame:
     """Clicks at most this long after an enter of the same user, each once.
 
-    Clicks and enters meet per user and time slot, not per user, and a click stops at the first enter
-    that fits: no pair is emitted and a busy user is spread over its slots.
+    In slots of that width an enter that fits is in the click's slot or in the one before. It is there
+    just when the first enter of the slot is not after the click, or the last one of the slot before
+    is not too early. So enters are one row per user and slot, and no pair is emitted.
     """
     span = within_seconds * 1000
     ms = F.unix_millis("ts")
     slot = F.floor(ms / span)
+    none = F.lit(None).cast("bigint")
+    here = F.struct(slot.alias("slot"), ms.alias("own"), none.alias("before"))
+    later = F.struct((slot + 1).alias("slot"), none.alias("own"), ms.alias("before"))
     enters = (
         events.where(F.col("event_type") == ENTERED)
-        .select("user_id", ms.alias("enter_ms"), F.explode(F.array(slot, slot + 1)).alias("slot"))
-        .distinct()
+        .select("user_id", F.explode(F.array(here, later)).alias("e"))
+        .groupBy("user_id", F.col("e.slot").alias("slot"))
+        .agg(F.min("e.own").alias("first_here"), F.max("e.before").alias("last_before"))
     )
-    clicks = events.where(is_click()).withColumns({"click_ms": ms, "slot": slot})
-    c, e = clicks.alias("c"), enters.alias("e")
-    fits = (
-        (F.col("c.user_id") == F.col("e.user_id"))
-        & (F.col("c.slot") == F.col("e.slot"))
-        & F.col("c.click_ms").between(F.col("e.enter_ms"), F.col("e.enter_ms") + span)
-    )
-    return c.join(e, fits, "left_semi").select("user_id", "gmap_id", "click_ms")
+    clicks = events.where(is_click()).select("user_id", "gmap_id", ms.alias("click_ms"), slot.alias("slot"))
+    click = F.col("click_ms")
+    fits = (F.col("first_here") <= click) | (F.col("last_before") >= click - span)
+    return clicks.join(enters, ["user_id", "slot"]).where(fits).select("user_id", "gmap_id", "click_ms")

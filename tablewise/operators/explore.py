@@ -18,13 +18,9 @@ def macro_stats(reviews: DataFrame, users: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_reviews"), F.avg("rating").alias("average_rating")
     )
     user_row = users.agg(F.count(F.lit(1)).alias("total_users"))
-    # one row on each side
-    return review_row.join(F.broadcast(user_row), F.lit(True)).select(
-        "total_reviews",
-        "total_users",
-        "average_rating",
-        F.try_divide("total_reviews", "total_users").alias("reviews_per_user"),
-    )
+    totals = ("total_reviews", "total_users", "average_rating")
+    one_row = review_row.unionByName(user_row, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in totals])
+    return one_row.withColumn("reviews_per_user", F.try_divide("total_reviews", "total_users"))
 
 
 def _counts(df: DataFrame, key: str) -> DataFrame:

@@ -12,7 +12,6 @@ from tablewise.shared import new_path, stored
 from tablewise.sources import scans, sinks
 
 K, SEED = 8, 42
-TOP_USERS, KEPT_USERS = 1200, 900
 
 
 def _start(k):

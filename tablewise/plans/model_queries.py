@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tablewise.operators import als, clustering, ratings, serving
 from tablewise.plans import clustering_queries as cq
 from tablewise.plans import tables, training
+from tablewise.plans.ratings_queries import cluster_settings
 from tablewise.plans.registry import query
 from tablewise.plans.tables import with_views
 from tablewise.shared import new_path, stored
@@ -86,18 +87,16 @@ def als_grid_search(spark, folder):
 
 @query()
 def cluster_training(spark, folder):
-    """The whole clustering run at the size of the small tables."""
+    """The whole clustering run."""
     return training.train_clusters(
         tables.reviews(spark, folder),
         new_path(spark, "model"),
         new_path(spark, "lists"),
         run_id=1,
-        k=5,
-        top_reviewers=cq.TOP_USERS,
-        kept_users=cq.KEPT_USERS,
-        min_raters=10,
+        k=cq.K,
         max_iter=2,
         init="random",
+        **cluster_settings(spark, folder),
     )
 
 

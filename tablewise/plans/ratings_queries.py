@@ -40,18 +40,22 @@ def feature_items(spark, folder):
     return ratings.feature_items(ratings.mean_ratings(tables.reviews(spark, folder)), 30)
 
 
-# the scale of these three settings fits the small tables; the defaults are the real ones
-TOP, KEPT, RATERS = 1200, 900, 18
-_CLUSTER_INPUT = f"""WITH first AS (SELECT user_id FROM mean_rv GROUP BY user_id
-    ORDER BY count(*) DESC, user_id LIMIT {TOP}),
+# shares of all users, so that both cuts are made at any size; the defaults are numbers of users
+_CLUSTER_INPUT = """WITH first AS (SELECT user_id FROM mean_rv GROUP BY user_id
+    ORDER BY count(*) DESC, user_id LIMIT (SELECT count(*) * 4 // 5 FROM us)),
     kept AS (SELECT user_id, count(*) AS n_items FROM mean_rv WHERE user_id IN (SELECT user_id FROM first)
-    GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT {KEPT}),
+    GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT (SELECT count(*) * 3 // 5 FROM us)),
     feats AS (SELECT gmap_id, count(*) AS n_raters FROM mean_rv WHERE user_id IN (SELECT user_id FROM kept)
-    GROUP BY gmap_id HAVING count(*) >= {RATERS})"""
+    GROUP BY gmap_id HAVING count(*) >= 18)"""
+
+
+def cluster_settings(spark, folder):
+    n = tables.users(spark, folder).count()
+    return {"top_reviewers": n * 4 // 5, "kept_users": n * 3 // 5, "min_raters": 18}
 
 
 def _cluster_input(spark, folder):
-    return ratings.cluster_input(tables.reviews(spark, folder), TOP, KEPT, RATERS)
+    return ratings.cluster_input(tables.reviews(spark, folder), **cluster_settings(spark, folder))
 
 
 @query(
@@ -60,18 +64,19 @@ def _cluster_input(spark, folder):
         + """SELECT user_id, gmap_id, round(rating, 6) AS rating FROM mean_rv
         WHERE user_id IN (SELECT user_id FROM kept) AND gmap_id IN (SELECT gmap_id FROM feats)""",
         "mean_rv",
+        "us",
     )
 )
 def cluster_input_ratings(spark, folder):
     return _rounded(_cluster_input(spark, folder).ratings, "rating")
 
 
-@query(with_views(_CLUSTER_INPUT + "SELECT user_id, n_items FROM kept", "mean_rv"))
+@query(with_views(_CLUSTER_INPUT + "SELECT user_id, n_items FROM kept", "mean_rv", "us"))
 def cluster_input_users(spark, folder):
     return _cluster_input(spark, folder).users
 
 
-@query(with_views(_CLUSTER_INPUT + "SELECT gmap_id, n_raters FROM feats", "mean_rv"))
+@query(with_views(_CLUSTER_INPUT + "SELECT gmap_id, n_raters FROM feats", "mean_rv", "us"))
 def cluster_input_features(spark, folder):
     return _cluster_input(spark, folder).features
 

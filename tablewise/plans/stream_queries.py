@@ -139,9 +139,9 @@ def streamed_visits(spark, folder):
 
 @query(
     with_views(
-        f"""SELECT hour * 3600000 AS start_ms, (hour + 1) * 3600000 AS end_ms, gmap_id, count(*) AS n_clicks
+        """SELECT hour * 3600000 AS start_ms, (hour + 1) * 3600000 AS end_ms, gmap_id, count(*) AS n_clicks
         FROM (SELECT gmap_id, ms // 3600000 AS hour FROM ev WHERE event_type = 'url_click')
-        WHERE (hour + 1) * 3600000 <= {_CLOSED} GROUP BY hour, gmap_id""",
+        WHERE (hour + 1) * 3600000 <= (SELECT max(ms) - 600000 FROM ev WHERE event_type = 'url_click') GROUP BY hour, gmap_id""",
         "ev",
     )
 )

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR = "spark.checkpoint.dir"
+_TABLE = "tablewise_"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,9 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tablewise/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark).rstrip('/')}/tablewise/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has stored here, when no result that reads it is needed any more."""
+    for table in spark.catalog.listTables():
+        if table.name.startswith(_TABLE):
+            spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -50,7 +64,7 @@ def stored_by(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
     """Write once, bucketed on ``key``: later joins and groups on it need no shuffle of this side."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    table = "tablewise_" + path.rsplit("-", 1)[1]
+    table = _TABLE + path.rsplit("-", 1)[1]
     (
         df.repartition(buckets, key)
         .write.format("parquet")
