@@ -62,7 +62,7 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_json_id_array(spark: SparkSession, path: str) -> DataFrame:
     """Files that each hold one JSON array of id strings, as one column of distinct ids."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     ids = text.select(F.explode(F.from_json("value", "array<string>")).alias("gmap_id"))
     return ids.where(F.col("gmap_id").isNotNull()).distinct()
 
