@@ -45,7 +45,8 @@ class KMeansResult(NamedTuple):
 
 
 def _limited_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    return F.broadcast(df) if rows <= limit else df
+    """Broadcast up to a known number of rows; beyond it a merge join, whose hot keys Spark can split."""
+    return F.broadcast(df) if rows <= limit else df.hint("merge")
 
 
 def cell_sums(

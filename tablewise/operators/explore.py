@@ -32,15 +32,18 @@ def most_active_user(reviews: DataFrame) -> DataFrame:
 
 
 def _top_key_ratings(reviews: DataFrame, key: str, n: int) -> DataFrame:
-    """Rating histogram of the ``n`` keys with most reviews.
+    """Rating histogram of the ``n`` keys with most reviews; a null key has none.
 
-    The histogram of all keys is small next to the reviews, so both the key totals and the answer
-    come from it: one scan and one shuffle of the reviews, and a broadcast of ``n`` keys.
+    The reviews are scanned and shuffled once, into the histogram of all keys. A key's ratings, of
+    which there are few different ones, then go along as one array while the keys are ranked.
     """
     histogram = reviews.groupBy(key, "rating").agg(F.count(F.lit(1)).alias("rating_count"))
-    totals = histogram.groupBy(key).agg(F.sum("rating_count").alias("n_reviews"))
-    top = top_n(totals, n, F.desc("n_reviews"), key).select(key)
-    return histogram.join(F.broadcast(top), key)
+    per_key = histogram.groupBy(key).agg(
+        F.sum("rating_count").alias("n_reviews"),
+        F.collect_list(F.struct("rating", "rating_count")).alias("ratings"),
+    )
+    top = top_n(per_key, n, F.desc("n_reviews"), key).where(F.col(key).isNotNull())
+    return top.select(key, F.explode("ratings").alias("r")).select(key, "r.rating", "r.rating_count")
 
 
 def top_item_ratings(reviews: DataFrame, n: int = 10) -> DataFrame:

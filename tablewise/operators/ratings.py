@@ -85,7 +85,7 @@ def cluster_input(
 def activity_split(users: DataFrame, fraction: float = 0.9) -> tuple[DataFrame, DataFrame]:
     """The most active ``fraction`` of the users, and the others; sizes are exact."""
     ranked = global_rank(users, *activity_order())
-    bound = int(users.count() * fraction)
+    bound = int(ranked.count() * fraction)
     return ranked.where(F.col("rank") <= bound), ranked.where(F.col("rank") > bound)
 
 
@@ -126,11 +126,10 @@ def nest_users(reviews: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
     Nearly every user is one row, chunk 0. A user with more than ``chunk_rows`` reviews goes on in
     chunks 1, 2, ..., so that no array grows with the data.
     """
-    entry = F.struct(
-        "time", "gmap_id", "rating"
-    )  # sorts by time; only the order of the fields differs from the stored entry
+    # in this field order entries sort by time
+    entry = F.struct("time", "gmap_id", "rating")
     counts = reviews.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.where(F.col("n") > chunk_rows).select("user_id")
+    hot = stored(counts.where(F.col("n") > chunk_rows).select("user_id"), "hot-users")
 
     def nested(rows: DataFrame) -> DataFrame:
         arrays = rows.groupBy("user_id", "chunk").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
@@ -145,7 +144,6 @@ def nest_users(reviews: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     if hot.isEmpty():
         return nested(reviews.withColumn("chunk", zero))
-    hot = stored(hot, "hot-users")
     plain = reviews.join(hot, "user_id", "left_anti").withColumn("chunk", zero)
     placed = global_rank(
         reviews.join(hot, "user_id", "left_semi"), "user_id", "time", "gmap_id", "rating", rank="_at"

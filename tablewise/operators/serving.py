@@ -124,14 +124,17 @@ def recs_for_cluster(assignments: DataFrame, lists: DataFrame) -> DataFrame:
     )
 
 
-def unseen(recs: DataFrame, ratings: DataFrame, n: int = SERVED) -> DataFrame:
+def unseen(
+    recs: DataFrame, ratings: DataFrame, n: int = SERVED, offered: DataFrame | None = None
+) -> DataFrame:
     """The first ``n`` recommendations per user that the user has not rated.
 
-    Only ratings of items that some list holds can matter, so the others are left out before the
-    shuffle by user and item.
+    Only ratings of items that some list holds can matter. When these items are given as ``offered``,
+    the others are left out before the shuffle by user and item.
     """
-    offered = recs.select("gmap_id").distinct()
-    rated = ratings.select("user_id", "gmap_id").join(offered, "gmap_id", "left_semi")
+    rated = ratings.select("user_id", "gmap_id")
+    if offered is not None:
+        rated = rated.join(offered, "gmap_id", "left_semi")
     fresh = recs.join(rated, ["user_id", "gmap_id"], "left_anti")
     return top_n_per(fresh, ["user_id"], n, [F.desc("score"), F.asc("gmap_id")])
 
@@ -146,18 +149,34 @@ def serve_cluster_recommendations(
 ) -> DataFrame:
     """``(user_id, gmap_id, score, rank)`` for all users from their nested ratings and the model.
 
-    A user without ratings gets nothing. ``features`` limits the vectors to the items of the model;
+    ``users`` is read more than once, so it should be a stored table. A user without ratings gets nothing. ``features`` limits the vectors to the items of the model;
     what counts as already rated is not limited.
     """
+    raters = users.where(F.size("ratings") > 0).select("user_id")
+    if "chunk" in users.columns:
+        raters = raters.distinct()
     entries = flat_ratings(users, only_rated=False)
-    vectors = user_vectors(users)
+    return serve_raters(user_vectors(users), raters, entries, centroids, lists, k, features, n)
+
+
+def serve_raters(
+    vectors: DataFrame,
+    raters: DataFrame,
+    entries: DataFrame,
+    centroids: DataFrame,
+    lists: DataFrame,
+    k: int,
+    features: DataFrame | None = None,
+    n: int = SERVED,
+) -> DataFrame:
+    """The same from flat tables: one rating per (user, item), the users, and all they have rated."""
     if features is not None:
         vectors = vectors.join(features.select("gmap_id"), "gmap_id", "left_semi")
-    raters = users.where(F.size("ratings") > 0).select("user_id").distinct()
     assigned = assign_clusters(vectors, raters, centroids, k)
     offered = recs_for_cluster(assigned, lists).select("user_id", F.explode("recommendations").alias("r"))
     recs = offered.select("user_id", F.col("r.gmap_id"), F.col("r.score"))
-    return unseen(recs, entries, n)
+    listed = lists.select(F.explode("recommendations.gmap_id").alias("gmap_id")).distinct()
+    return unseen(recs, entries, n, listed)
 
 
 def merge_recommendations(stored: DataFrame, refreshed: DataFrame) -> DataFrame:

@@ -224,12 +224,11 @@ def silhouette(
         part = _excess_of_pairs(vectors, members, distance, block_users, block_rows)
     excess = part.groupBy("user_id", "other_cluster").agg(F.sum("excess").alias("excess"))
 
-    # one row per cluster, kept as one array that goes along with every user
-    sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    listed = sizes.agg(F.collect_list(F.struct("cluster_id", "size")).alias("clusters"))
+    # one row per cluster, so bounded by their number
+    sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).collect()
+    clusters = F.array(*[F.struct(F.lit(r.cluster_id).alias("cluster_id"), F.lit(r["size"]).cast("bigint").alias("size")) for r in sizes])
     grid = (
-        members.join(F.broadcast(listed), F.lit(True))
-        .select("user_id", "cluster_id", F.explode("clusters").alias("c"))
+        members.select("user_id", "cluster_id", F.explode(clusters).alias("c"))
         .select("user_id", "cluster_id", F.col("c.cluster_id").alias("other_cluster"), F.col("c.size"))
         .join(excess, ["user_id", "other_cluster"], "left")
     )

@@ -55,7 +55,7 @@ def _input(spark, folder):
 
 def _first_round(spark, folder, **options):
     pairs, users = _input(spark, folder)
-    start = clustering.random_start(pairs, users, K, SEED)
+    start = stored(clustering.random_start(pairs, users, K, SEED), "start")
     return pairs, clustering.assign_clusters(pairs, users, start, K, **options)
 
 
@@ -222,9 +222,10 @@ _SPLIT = """placed AS (SELECT user_id, row_number() OVER (ORDER BY count(*) DESC
 def cluster_rmse(spark, folder):
     pairs, _ = _input(spark, folder)
     train, test = ratings.activity_split(ratings.rated_items(pairs), 0.9)
+    train, test = stored(train, "train"), stored(test, "test")
     train_rows = pairs.join(train, "user_id", "left_semi")
     test_rows = pairs.join(test, "user_id", "left_semi")
-    start = clustering.random_start(train_rows, train, K, SEED)
+    start = stored(clustering.random_start(train_rows, train, K, SEED), "start")
     assigned = stored(clustering.assign_clusters(train_rows, train, start, K), "assigned")
     centroids = stored(clustering.update_centroids(train_rows, assigned), "centroids")
     listed = clustering.cluster_recommendations(train_rows, assigned)

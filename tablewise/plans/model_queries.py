@@ -240,7 +240,7 @@ def served_recommendations(spark, folder):
     assigned = stored(assigned, "assigned")
     centroids = stored(clustering.update_centroids(pairs, assigned), "centroids")
     lists = clustering.cluster_lists(clustering.cluster_recommendations(pairs, assigned), cq.K)
-    nested = ratings.nest_users(tables.reviews(spark, folder))
+    nested = stored(ratings.nest_users(tables.reviews(spark, folder)), "users")
     served = serving.serve_cluster_recommendations(nested, centroids, stored(lists, "lists"), cq.K)
     return served.withColumn("score", F.round("score", 6))
 

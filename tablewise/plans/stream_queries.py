@@ -255,7 +255,7 @@ def _run_changes(spark, folder, model=None):
     """The store after all changes came through the stream."""
     base, rows = _stored_and_changed(spark, folder)
     root, inbox = new_path(spark, "store"), new_path(spark, "inbox")
-    review_stream.init_store(base, root)
+    review_stream.init_store(base, root, parts=8, slices=1)
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(inbox)
     raw = event_source.read_line_files(spark, inbox)
     review_stream.change_job(raw, root, root + "/offsets", model, available_now=True).awaitTermination()
