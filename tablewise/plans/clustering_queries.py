@@ -164,7 +164,7 @@ _LISTED = """listed AS (SELECT * FROM (SELECT cluster_id, gmap_id, value AS scor
 
 @query(
     _sql(
-        "SELECT cluster_id, gmap_id, round(score, 6) AS score, rank FROM listed",
+        "SELECT cluster_id, gmap_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM listed",
         _start(K),
         _assigned(0, K),
         _updated(0),

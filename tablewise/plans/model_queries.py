@@ -162,7 +162,7 @@ def _mean(spark, folder):
 
 @query(
     _with_items(
-        """SELECT user_id, rank, r.gmap_id, coalesce(name, 'Name not available') AS name,
+        """SELECT user_id, CAST(rank AS INT) AS rank, r.gmap_id, coalesce(name, 'Name not available') AS name,
         coalesce(address, 'Address not available') AS address, coalesce(url, 'URL not available') AS url,
         round(score, 6) AS prediction, coalesce(shop.rating, 0.0) AS avg_rating, coalesce(reviews, 0) AS num_reviews,
         coalesce(img_url, 'https://example.com/default_image.jpg') AS img_url
@@ -222,7 +222,7 @@ _SERVED = """vec AS (SELECT user_id, gmap_id, CAST(arg_max(rating, (time, rating
 
 @query(
     cq._sql(
-        """SELECT user_id, gmap_id, round(score, 6) AS score, rank FROM (SELECT t.user_id, l.gmap_id, l.score,
+        """SELECT user_id, gmap_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT t.user_id, l.gmap_id, l.score,
         row_number() OVER (PARTITION BY t.user_id ORDER BY l.score DESC, l.gmap_id) AS rank
         FROM served1 t JOIN listed l USING (cluster_id)
         WHERE NOT EXISTS (SELECT 1 FROM rv WHERE rv.user_id = t.user_id AND rv.gmap_id = l.gmap_id)) WHERE rank <= 13""",

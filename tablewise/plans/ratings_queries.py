@@ -169,7 +169,7 @@ def pivot_ratings(spark, folder):
 
 @query(
     with_views(
-        """SELECT user_id, gmap_id, rating, rank FROM (SELECT *, row_number() OVER
+        """SELECT user_id, gmap_id, rating, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER
         (PARTITION BY user_id ORDER BY rating DESC, gmap_id) AS rank FROM mean_rv) WHERE rank <= 13""",
         "mean_rv",
     )
