@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 # Fixed values
 NO_IMAGE = "https://example.com/default_image.jpg"
+NO_PAGE_IMAGE = "https://t3.ftcdn.net/jpg/03/24/73/92/360_F_324739203_keeq8udvv0P2h1MLYJ0GLSlTBagoXS48.jpg"
 IMAGE_URL_PARTS = ("https", "googleusercontent")
 MISSING_FIELD = "Missing gmap_id or rating"
 OUT_OF_RANGE = "Rating must be between 0 and 5"
 NOT_A_NUMBER = "Invalid rating value. Rating must be a number."
 INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 DIGITS_ONLY = r"^[0-9]+$"
+LOWEST_RATING, HIGHEST_RATING = 1, 5
+
 IMG_SRC = r"""(?i)<img\b[^>]*?\bsrc\s*=\s*["']([^"']*)["']"""
 LINK_HREF = r"""href="([^"]*)\""""
 
-LOWEST_RATING, HIGHEST_RATING = 1, 5
-
 
 def col_of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c

@@ -73,7 +73,7 @@ def missing_images(items: DataFrame) -> DataFrame:
 def fill_images(
     items: DataFrame,
     pages: DataFrame,
-    default: str = scalars.NO_IMAGE,
+    default: str = scalars.NO_PAGE_IMAGE,
     substrings: Sequence[str] = scalars.IMAGE_URL_PARTS,
     pattern: str = scalars.IMG_SRC,
 ) -> DataFrame:

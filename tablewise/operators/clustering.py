@@ -20,12 +20,13 @@ from tablewise.operators.ranking import global_rank, top_n, top_n_per
 from tablewise.operators.ratings import rated
 from tablewise.shared import cut, shuffle_partitions, stored, stored_by
 
+# Fixed values
 CLUSTERS = 50
 ROUNDS = 100
 TOLERANCE = 1e-4
-LISTED_ITEMS = 40
-# allclose of the old and new centroids
 RTOL, ATOL = 1e-5, 1e-8
+LISTED_ITEMS = 40
+
 # distances are compared to this many places, so that the order of a float sum cannot decide
 PLACES = 9
 # centroid cells that are sent to every executor; with more, ratings and cells are shuffled by item

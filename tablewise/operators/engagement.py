@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tablewise.operators.ranking import top_n
 
+# Fixed values
 ENTERED, CLICKED, EXITED = "user_entered", "url_click", "user_exited"
+
 VISIT_GAP_SECONDS = 30 * 60
 ENGAGED_SECONDS = 60 * 60
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablewise.operators.ranking import global_rank, top_n
 from tablewise.shared import stored
 
+# Fixed values
 TOP_REVIEWERS = 150_000
 KEPT_USERS = 100_000
 MIN_RATERS = 30

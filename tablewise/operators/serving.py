@@ -10,11 +10,27 @@ from tablewise.operators.clustering import assign_clusters
 from tablewise.operators.ranking import top_n_per
 from tablewise.operators.ratings import flat_ratings, user_vectors
 
+# Fixed values
 PER_PAGE = 30
 SERVED, SHOWN = 13, 10
-# sort fields of the item listing; these two go from high to low
-LISTING_FIELDS = ("Rating", "Reviews", "name", "address", "gmap_id")
 DESCENDING = ("Rating", "Reviews")
+RECOMMENDED_DEFAULTS = {
+    "name": "Name not available",
+    "address": "Address not available",
+    "url": "URL not available",
+}
+ITEM_DEFAULTS = {"rating": "N/A", "address": "No Address available.", "url": "No URL available."}
+REVIEW_DEFAULTS = {
+    "name": "No Name Available",
+    "img_url": "No Image Available",
+    "avg_rating": "N/A",
+    "user_rating": "No Rating Available",
+    "address": "No Address Available",
+    "url": "No URL Available",
+}
+
+# fields an item listing can be sorted by
+LISTING_FIELDS = (*DESCENDING, "name", "address", "gmap_id")
 
 
 def search_items(items: DataFrame, pattern: str = "") -> DataFrame:
@@ -65,9 +81,7 @@ def enrich_recommendations(recs: DataFrame, items: DataFrame, n: int = SHOWN) ->
         "user_id",
         "rank",
         "gmap_id",
-        filled("name", "Name not available").alias("name"),
-        filled("address", "Address not available").alias("address"),
-        filled("url", "URL not available").alias("url"),
+        *[filled(c, text).alias(c) for c, text in RECOMMENDED_DEFAULTS.items()],
         filled("score", 0.0).alias("prediction"),
         filled("Rating", 0.0).alias("avg_rating"),
         filled("Reviews", 0).alias("num_reviews"),
@@ -87,10 +101,10 @@ def item_details(items: DataFrame, ids: DataFrame) -> DataFrame:
             filled("found", False).alias("found"),
             "name",
             "img_url",
-            filled(F.col("Rating").cast("string"), "N/A").alias("rating"),
+            filled(F.col("Rating").cast("string"), ITEM_DEFAULTS["rating"]).alias("rating"),
             filled("Reviews", 0).alias("reviews"),
-            filled("address", "No Address available.").alias("address"),
-            filled("url", "No URL available.").alias("url"),
+            filled("address", ITEM_DEFAULTS["address"]).alias("address"),
+            filled("url", ITEM_DEFAULTS["url"]).alias("url"),
         )
     )
 
@@ -98,20 +112,16 @@ def item_details(items: DataFrame, ids: DataFrame) -> DataFrame:
 def review_details(items: DataFrame, reviews: DataFrame, wanted: DataFrame) -> DataFrame:
     """Item details and the user's own rating per wanted (user, item); unknown items give no row."""
     keys = wanted.select("user_id", "gmap_id").distinct()
-    own = reviews.select("user_id", "gmap_id", F.col("rating").alias("own"))
+    own = reviews.select("user_id", "gmap_id", F.col("rating").cast("string").alias("user_rating"))
+    known = items.withColumn("avg_rating", F.col("Rating").cast("string"))
     return (
-        keys.join(items, "gmap_id")
+        keys.join(known, "gmap_id")
         .join(own, ["user_id", "gmap_id"], "left")
         .select(
             "user_id",
             "gmap_id",
-            filled("name", "No Name Available").alias("name"),
-            filled("img_url", "No Image Available").alias("img_url"),
-            filled(F.col("Rating").cast("string"), "N/A").alias("avg_rating"),
-            filled(F.col("own").cast("string"), "No Rating Available").alias("user_rating"),
             filled("Reviews", 0).alias("reviews"),
-            filled("address", "No Address Available").alias("address"),
-            filled("url", "No URL Available").alias("url"),
+            *[filled(c, text).alias(c) for c, text in REVIEW_DEFAULTS.items()],
         )
     )
 

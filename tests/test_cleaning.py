@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 
@@ -126,7 +127,7 @@ def test_first_image_with_all_substrings(spark):
     )
     items = spark.createDataFrame([("a", None), ("b", None), ("c", "own"), ("d", None)], "gmap_id string, img_url string")
     got = {r.gmap_id: r.img_url for r in cleaning.fill_images(items, pages).collect()}
-    assert got == {"a": good, "b": scalars.NO_IMAGE, "c": "own", "d": scalars.NO_IMAGE}
+    assert got == {"a": good, "b": scalars.NO_PAGE_IMAGE, "c": "own", "d": scalars.NO_PAGE_IMAGE}
 
 
 def test_cleaning_chain(spark, tmp_path):
@@ -151,8 +152,22 @@ def test_sinks(spark, tmp_path):
     assert (row.key, json.loads(row.value)) == ("7", {"user_id": "7", "gmap_id": "a"})
 
 
-def test_release_deletes_only_what_was_stored(spark):
-    session = spark.newSession()
-    df = shared.stored(session.range(3).toDF("user_id"), "probe")
+def test_stored_tables_are_in_the_folder_of_the_application_until_released(spark, tmp_path, monkeypatch):
+    df = shared.stored(spark.range(3).toDF("user_id"), "probe")
     assert df.count() == 3
-    assert f"/tablewise/{session.sparkContext.applicationId}/probe-" in df.inputFiles()[0]
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert f"{folder}/tablewise/{spark.sparkContext.applicationId}/probe-" in df.inputFiles()[0]
+
+    other = tmp_path / "tablewise" / "other-app"
+    monkeypatch.setattr(shared, "_own_dir", lambda session: str(other))
+    shared.stored_by(spark.range(3).toDF("user_id"), "user_id", 2, "bucketed")
+    assert any(t.name.startswith("tablewise_") for t in spark.catalog.listTables())
+    shared.release(spark)
+    assert not other.exists() and other.parent.exists()
+    assert not any(t.name.startswith("tablewise_") for t in spark.catalog.listTables())
+    assert df.count() == 3
+
+
+def test_now_is_in_milliseconds(spark):
+    now = spark.range(1).select(scalars.now_millis()).first()[0]
+    assert abs(now - time.time() * 1000) < 60_000

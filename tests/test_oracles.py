@@ -33,3 +33,15 @@ def test_entry_gives_rows(spark):
     df = entry.entry(spark)
     assert df.columns == ["gmap_id", "rating", "rating_count"]
     assert df.count() > 0
+
+
+def test_queries_without_sql_give_whole_lists(spark):
+    run = lambda name: entry.queries()[name](spark, FOLDER)
+    users = spark.read.parquet(f"{FOLDER}/orders.parquet").select("o_custkey").distinct().count()
+    lists = run("als_recommendations").groupBy("user_id").count().collect()
+    assert len(lists) == users and {r["count"] for r in lists} == {13}
+    assert run("als_error").first().rmse > 0
+    assert run("cluster_training").first().n > 0
+    sizes = run("kmeans_euclidean_start").agg({"n_users": "sum"}).first()[0]
+    assert sizes == spark.read.parquet(f"{FOLDER}/customer.parquet").count()
+    assert run("streamed_click_through").count() > 20
