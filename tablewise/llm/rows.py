@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 def _pieces(batch: pa.RecordBatch, budget: int) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``budget`` bytes of text; a longer text is a run of its own."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(TEXT)), 0).to_numpy()
+    sizes = pc.fill_null(pc.binary_length(batch.column(TEXT)), 0).to_numpy()
     ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
     while start < len(sizes):
