@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, toxicity
+from tablewise.llm import bpe, near_dup, toxicity
 from tablewise.llm.rows import held_out, table
 
 QUERIES = {}
@@ -31,3 +31,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and hashes of the ids and of the text read back, for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs, bpe.Vocabulary.load(bpe.default_path()), ["doc_id"])
+
+
+@query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked at 85 hundredths of their 3-word shingles."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.near_duplicates(docs, near_dup.Settings(words=3, hundredths=85, bands=24, rows=5))
