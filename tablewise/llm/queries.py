@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, near_dup, toxicity
+from tablewise.llm import bpe, near_dup, pii, quality_rules, toxicity
 from tablewise.llm.rows import held_out, table
 
 QUERIES = {}
@@ -38,3 +38,15 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked at 85 hundredths of their 3-word shingles."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dup.near_duplicates(docs, near_dup.Settings(words=3, hundredths=85, bands=24, rows=5))
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
