@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, chat, near_dup, pii, quality_rules, toxicity
+from tablewise.llm import bpe, chat, decontaminate, hilbert, near_dup, pii, quality_rules, secrets, toxicity
 from tablewise.llm.rows import held_out, table
 
 QUERIES = {}
@@ -61,3 +61,33 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(forged)
     return chat.format_chats(talks, bpe.default_path(), whole=False)
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate string of every document with the forest's verdict."""
+    forest = secrets.train(secrets.labelled_findings(spark))
+    return secrets.findings(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), forest, "source")
+
+
+@query
+def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen runs of documents along a Hilbert curve over language, source and length."""
+    docs = hilbert.measured(table(spark, sf_dir, "documents")).drop("text")
+    placed = hilbert.assign(docs)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

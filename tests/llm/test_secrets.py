@@ -1,0 +1,65 @@
+"""Planted secrets and look-alikes, and the written-out forest against Spark's own."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablewise.llm import secrets
+from tablewise.llm.queries import QUERIES
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train(secrets.labelled_findings(spark))
+
+
+def test_query_finds_the_planted_ones(spark):
+    folder = "/root/testdata/sf0.01"
+    planted, cards = set(), set()
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        planted |= {(r.doc_id, v) for v in re.findall(r'(?i)token\W{1,8}"([0-9a-f]{40})"', r.text)}
+        cards |= {(r.doc_id, v) for v in re.findall(r"\b[0-9]{16,19}\b", r.text)}
+    rows = QUERIES["op9_secret_scan"](spark, folder).collect()
+    found = {(r.doc_id, r.value) for r in rows if r.is_secret}
+    assert planted and cards and planted <= found and not cards & found
+    assert cards <= {(r.doc_id, r.value) for r in rows}
+
+
+@pytest.mark.parametrize(
+    "text, secret",
+    [
+        ('x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y', True),
+        ("password: Zm9vYmFyMTIzNDU2Nzg5MDEyMzQ1Njc4OTA0Zm9v", True),
+        ("commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 by", False),
+        ("the 4111111111111111 card", False),
+        ('api_key = "your_api_key_here_12" y', False),
+        ("keitunglichschaftenberung word", False),
+    ],
+)
+def test_shapes(spark, forest, text, secret):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert any(r.is_secret for r in secrets.findings(docs, forest).collect()) is secret
+    assert ("[SECRET]" in secrets.redact(docs, forest).first().text) is secret
+
+
+def test_redaction_keeps_everything_else(spark, forest):
+    value = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    text = f'a token = "{value}" b {"c" * 20}1 4111111111111111 secret={value}'
+    long = "word " * 50_000 + text
+    rows = [(1, text, len(text)), (2, None, None), (3, "", 0), (4, long, len(long)), (1, text, len(text)), (None, value, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("value", F.lit("x"))
+    left = secrets.redact(docs, forest)
+    assert left.columns == docs.columns and left.count() == 6
+    got = {r.doc_id: r for r in left.collect()}
+    assert got[1].text == text.replace(value, "[SECRET]") and got[1].n_chars == len(got[1].text)
+    assert got[4].text == long.replace(value, "[SECRET]")
+    assert (got[2].text, got[3].text, got[None].text) == (None, "", value)
+    assert secrets.redact(docs.limit(0), forest).count() == 0 and secrets.findings(docs.limit(0), forest).count() == 0
+
+
+def test_no_python_in_the_plan(spark, forest):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for df in (secrets.findings(docs, forest), secrets.redact(docs, forest, "source")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow|Exchange", plan)
