@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewise.llm import bpe, chat, decontaminate, hilbert, near_dup, pii, quality_rules, secrets, toxicity
+from tablewise.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    hilbert,
+    near_dup,
+    pii,
+    quality_knn,
+    quality_rules,
+    secrets,
+    toxicity,
+)
 from tablewise.llm.rows import held_out, table
 
 QUERIES = {}
@@ -91,3 +102,12 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; the model is fitted outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_knn.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_knn.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
