@@ -18,7 +18,8 @@ INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 DIGITS_ONLY = r"^[0-9]+$"
 LOWEST_RATING, HIGHEST_RATING = 1, 5
 
-IMG_SRC = r"""(?i)<img\b[^>]*?\bsrc\s*=\s*["']([^"']*)["']"""
+# an attribute's value in quotes is passed over whole, so nothing inside one looks like ``src``
+IMG_SRC = r"""(?i)<img\b(?:[^>"']|"[^"]*"|'[^']*')*?\ssrc\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 LINK_HREF = r"""href="([^"]*)\""""
 
 
@@ -64,8 +65,12 @@ def now_millis() -> Column:
 def first_matching_url(
     html: Column | str, substrings: Sequence[str], default: str | None, pattern: str = IMG_SRC
 ) -> Column:
-    """First url of a whole page that holds all ``substrings``, else the default."""
-    urls = F.regexp_extract_all(col_of(html), F.lit(pattern), 1)
+    """First url of a whole page that holds all ``substrings``, else the default.
+
+    Quotes around a url are taken off, and ``&amp;`` is read as ``&``.
+    """
+    found = F.regexp_extract_all(col_of(html), F.lit(pattern), 1)
+    urls = F.transform(found, lambda u: F.replace(F.btrim(u, F.lit("\"'")), F.lit("&amp;"), F.lit("&")))
 
     def holds_all(url: Column) -> Column:
         test = F.lit(True)
@@ -76,14 +81,16 @@ def first_matching_url(
     return F.coalesce(F.try_element_at(F.filter(urls, holds_all), F.lit(1)), F.lit(default))
 
 
-def upsert_entry(ratings: Column, gmap_id: Column, rating: Column, timestamp: Column) -> Column:
-    """Nested array edit: replace the item's entry where it stands, or append one."""
-    entry = F.struct(rating.alias("rating"), timestamp.alias("timestamp"), gmap_id.alias("gmap_id"))
-    known = F.exists(ratings, lambda r: r["gmap_id"] == gmap_id)
-    replaced = F.transform(ratings, lambda r: F.when(r["gmap_id"] == gmap_id, entry).otherwise(r))
-    return F.when(known, replaced).otherwise(F.array_append(ratings, entry))
-
+def edited_entries(ratings: Column, edits: Column, chunk: Column) -> Column:
+    """Nested array edit: entries replaced where they stand, removed, or appended in the last chunk.
 
-def remove_entry(ratings: Column, gmap_id: Column) -> Column:
-    """Nested array edit: the array without the item's entry."""
-    return F.filter(ratings, lambda r: r["gmap_id"] != gmap_id)
+    An edit has ``gmap_id, op, entry``, whether some chunk has ``held`` the item, and the ``last``
+    chunk; without edits the array stays.
+    """
+    puts = F.filter(edits, lambda e: e["op"] != "delete")
+    by_item = F.map_from_entries(F.transform(puts, lambda e: F.struct(e["gmap_id"], e["entry"])))
+    gone = F.transform(F.filter(edits, lambda e: e["op"] == "delete"), lambda e: e["gmap_id"])
+    kept = F.filter(ratings, lambda r: ~F.coalesce(F.array_contains(gone, r["gmap_id"]), F.lit(False)))
+    replaced = F.transform(kept, lambda r: F.coalesce(F.try_element_at(by_item, r["gmap_id"]), r))
+    fresh = F.transform(F.filter(puts, lambda e: ~e["held"] & (e["last"] == chunk)), lambda e: e["entry"])
+    return F.when(edits.isNull(), ratings).otherwise(F.concat(replaced, fresh))

@@ -77,11 +77,12 @@ def fill_images(
     substrings: Sequence[str] = scalars.IMAGE_URL_PARTS,
     pattern: str = scalars.IMG_SRC,
 ) -> DataFrame:
-    """Items with an image url: their own, else the first fitting one of their fetched page, else the
-    default. A page is cut to its url before the join, so no page text is shuffled."""
-    found = pages.select(
-        "gmap_id", scalars.first_matching_url("html", substrings, default, pattern).alias("_found")
-    )
-    filled = missing_images(items).join(found, "gmap_id", "left")
+    """Items with an image url: their own, else the first fitting one of their fetched pages, else the
+    default. Of several pages of an item the smallest url counts. A page is cut to its url where it is
+    read, so no page text is shuffled."""
+    missing = missing_images(items)
+    found = pages.select("gmap_id", scalars.first_matching_url("html", substrings, None, pattern).alias("_found"))
+    found = found.where(F.col("_found").isNotNull()).groupBy("gmap_id").agg(F.min("_found").alias("_found"))
+    filled = missing.join(found, "gmap_id", "left")
     filled = filled.withColumn("img_url", scalars.filled("_found", default)).drop("_found")
     return items.where(F.col("img_url").isNotNull()).unionByName(filled)

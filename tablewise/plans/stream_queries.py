@@ -86,10 +86,28 @@ def unwrapped_batches(spark, folder):
     entry = F.struct("event_type", "user_id", "gmap_id")
     hour = F.floor(F.unix_millis("ts") / 3_600_000).alias("hour")
     wrapped = events.groupBy("user_id", hour).agg(F.to_json(F.struct(F.collect_list(entry).alias("events"))).alias("value"))
-    rows = event_source.unwrap_batches(wrapped.select("value"))
+    rows, _ = event_source.unwrap_batches(wrapped.select("value"))
     return rows.groupBy("event_type", "user_id", "gmap_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    with_views(
+        """SELECT CASE WHEN event_type = 'error' THEN '{"events":[{"event_type":"er'
+        ELSE '{"event_type":"' || event_type || '"}' END AS value, count(*) AS n FROM ev
+        WHERE event_type IN ('error', 'url_click') GROUP BY ALL""",
+        "ev",
+    )
+)
+def rejected_batches(spark, folder):
+    """Error events as batches cut short, clicks bare and without their wrapper, others as they should be."""
+    kind = F.col("event_type")
+    bare = F.to_json(F.struct("event_type"))
+    whole = F.concat(F.lit('{"events":['), bare, F.lit("]}"))
+    value = F.when(kind == "error", F.substring(whole, 1, 28)).when(kind == engagement.CLICKED, bare).otherwise(whole)
+    _, rejects = event_source.unwrap_batches(tables.events(spark, folder).select(value.alias("value")))
+    return rejects.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     with_views(
         """SELECT gmap_id, count(*) AS n_clicks FROM ev WHERE event_type = 'url_click' GROUP BY gmap_id
@@ -221,19 +239,16 @@ def applied_changes(spark, folder):
 
 @query(
     _CHANGED
-    + """, lost AS (SELECT p.user_id, p.gmap_id FROM ch p JOIN firm f ON f.user_id = p.user_id
-    AND f.gmap_id = p.gmap_id AND f.rn = 1 AND f.op = 'delete' WHERE (p.time, p.seq) > (f.time, f.seq))
-    SELECT user_id, gmap_id, count(*) AS n FROM (
-    SELECT DISTINCT user_id, gmap_id FROM lost UNION ALL
-    SELECT DISTINCT user_id, gmap_id FROM ch WHERE NOT EXISTS (SELECT 1 FROM firm f
-    WHERE f.user_id = ch.user_id AND f.gmap_id = ch.gmap_id)
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.user_id = ch.user_id AND b.gmap_id = ch.gmap_id)) GROUP BY ALL"""
+    + """SELECT p.user_id, p.gmap_id, p.time, p.seq, p.rating FROM ch p LEFT JOIN firm f ON f.user_id = p.user_id
+    AND f.gmap_id = p.gmap_id AND f.rn = 1 WHERE p.op = 'update' AND
+    ((f.op = 'delete' AND (p.time, p.seq) > (f.time, f.seq)) OR (f.op IS NULL AND NOT EXISTS
+    (SELECT 1 FROM base b WHERE b.user_id = p.user_id AND b.gmap_id = p.gmap_id)))"""
 )
 def rejected_updates(spark, folder):
     base, rows = _stored_and_changed(spark, folder)
     valid, _ = changes.check_changes(rows)
     rejects = changes.apply_changes(base, valid).rejects
-    return rejects.groupBy("user_id", "gmap_id").agg(F.count(F.lit(1)).alias("n"))
+    return rejects.select("user_id", "gmap_id", "time", "seq", "rating")
 
 
 @query(
@@ -251,25 +266,38 @@ def refreshed_item_stats(spark, folder):
     return changes.refresh_item_stats(items, after, valid).select("gmap_id", "Reviews", "Rating")
 
 
-def _run_changes(spark, folder, model=None):
-    """The store after all changes came through the stream."""
+def _run_changes(spark, folder, model=None, batches=1):
+    """The store after all changes came through the stream, in batches by time; with several of them
+    the second one is folded."""
     base, rows = _stored_and_changed(spark, folder)
     root, inbox = new_path(spark, "store"), new_path(spark, "inbox")
     review_stream.init_store(base, root, parts=8, slices=1)
-    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(inbox)
-    raw = event_source.read_line_files(spark, inbox)
-    review_stream.change_job(raw, root, root + "/offsets", model, available_now=True).awaitTermination()
+    ends = [None]
+    if batches > 1:
+        shares = [k / batches for k in range(1, batches)]
+        ends = [*rows.agg(F.percentile_approx("time", shares)).first()[0], None]
+    start = F.lit(True)
+    for n, end in enumerate(ends):
+        part = rows.where(start if end is None else start & (F.col("time") <= end))
+        start = start if end is None else F.col("time") > end
+        part.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(f"{inbox}/part={n}")
+        raw = event_source.read_line_files(spark, f"{inbox}/part=*")
+        review_stream.change_job(raw, root, root + "/offsets", model, available_now=True).awaitTermination()
+        if n == 1:
+            review_stream.fold(spark, root, 1)
     return root
 
 
 @query(_CHANGED + "SELECT * FROM after")
 def streamed_changes(spark, folder):
-    return review_stream.current_reviews(spark, _run_changes(spark, folder))
+    """Four batches with a fold in between: batches by time end where all changes at once do."""
+    return review_stream.current_reviews(spark, _run_changes(spark, folder, batches=4))
 
 
 @query(
     _CHANGED
-    + """SELECT gmap_id, count(*) AS "Reviews", round_even(avg(rating), 1) AS "Rating" FROM after GROUP BY gmap_id"""
+    + """SELECT gmap_id, count(rating) AS "Reviews", coalesce(round_even(avg(rating), 1), 0.0) AS "Rating"
+    FROM (SELECT gmap_id FROM base UNION SELECT gmap_id FROM after) LEFT JOIN after USING (gmap_id) GROUP BY gmap_id"""
 )
 def streamed_item_stats(spark, folder):
     return review_stream.current_item_stats(spark, _run_changes(spark, folder))
@@ -292,23 +320,29 @@ def streamed_recommendations(spark, folder):
 
 @query(
     with_views(
-        """SELECT user_id, gmap_id, CASE WHEN gmap_id = big.gid THEN 5 ELSE rating END AS rating FROM rv
-        JOIN (SELECT user_id AS uid, max(gmap_id) AS gid, min(gmap_id) AS low FROM rv GROUP BY user_id) big ON uid = user_id
-        WHERE gmap_id <> big.low OR big.low = big.gid""",
+        """WITH ends AS (SELECT user_id, max(gmap_id) AS high, min(gmap_id) AS low FROM rv GROUP BY user_id)
+        SELECT rv.user_id, gmap_id, CASE WHEN gmap_id = high THEN 5 ELSE rating END AS rating FROM rv JOIN ends USING (user_id)
+        WHERE gmap_id <> low OR low = high UNION ALL SELECT user_id, 'new', 4 FROM ends""",
         "rv",
     )
 )
 def edited_nested_ratings(spark, folder):
-    """Every user's largest item id is rated 5 in place, then the smallest one removed."""
+    """Chunks of 20 ratings. Of every user the largest item id is rated 1 and then 5, the smallest one
+    rated and then removed, a new one added."""
     reviews = tables.reviews(spark, folder)
-    nested = ratings.nest_users(reviews)
+    nested = stored(ratings.nest_users(reviews, chunk_rows=20), "nested")
     ends = reviews.groupBy("user_id").agg(F.max("gmap_id").alias("high"), F.min("gmap_id").alias("low"))
-    five = F.lit(5).alias("rating")
-    now = F.lit(0).cast("bigint").alias("time")
-    puts = ends.select("user_id", F.lit("add").alias("op"), F.col("high").alias("gmap_id"), five, now)
-    cuts = ends.where("high <> low").select("user_id", F.lit("delete").alias("op"), F.col("low").alias("gmap_id"), five, now)
-    edited = changes.edit_ratings(changes.edit_ratings(nested, puts), cuts)
-    return ratings.flat_ratings(edited).select("user_id", "gmap_id", "rating")
+
+    def change(op, item, rating, seq, rows=ends):
+        cells = [F.lit(op).alias("op"), item.alias("gmap_id"), F.lit(rating).cast("int").alias("rating")]
+        return rows.select("user_id", *cells, F.lit(0).cast("bigint").alias("time"), F.lit(seq).alias("seq"))
+
+    apart = ends.where("high <> low")
+    batch = change("add", F.col("high"), 1, 1).unionByName(change("add", F.col("high"), 5, 2))
+    batch = batch.unionByName(change("update", F.col("low"), 2, 1, apart))
+    batch = batch.unionByName(change("delete", F.col("low"), None, 2, apart))
+    batch = batch.unionByName(change("add", F.lit("new"), 4, 3))
+    return ratings.flat_ratings(changes.edit_ratings(nested, batch)).select("user_id", "gmap_id", "rating")
 
 
 @query(

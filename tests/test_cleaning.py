@@ -121,13 +121,15 @@ def test_first_image_with_all_substrings(spark):
         [
             ("a", f'<img src="https://x/y"><IMG alt="q" src=\'{good}\'><img src="{good}2">'),
             ("b", "<p>none</p>"),
+            ("a", "<p>second page</p>"),
+            ("e", f'<img data-src="{good}late" alt="a > src={good}alt" src={good}?x=1&amp;y=2>'),
             ("c", '<img src="http://googleusercontent.com">'),
         ],
         "gmap_id string, html string",
     )
-    items = spark.createDataFrame([("a", None), ("b", None), ("c", "own"), ("d", None)], "gmap_id string, img_url string")
+    items = spark.createDataFrame([("a", None), ("b", None), ("c", "own"), ("d", None), ("e", None)], "gmap_id string, img_url string")
     got = {r.gmap_id: r.img_url for r in cleaning.fill_images(items, pages).collect()}
-    assert got == {"a": good, "b": scalars.NO_PAGE_IMAGE, "c": "own", "d": scalars.NO_PAGE_IMAGE}
+    assert got == {"a": good, "b": scalars.NO_PAGE_IMAGE, "c": "own", "d": scalars.NO_PAGE_IMAGE, "e": f"{good}?x=1&y=2"}
 
 
 def test_cleaning_chain(spark, tmp_path):

@@ -33,7 +33,20 @@ def test_decode_unwrap_and_event_time(spark):
 
     batch = json.dumps({"events": [{"event_type": "url_click", "user_id": "1"}, {"event_type": "user_exited", "user_id": "2"}]})
     wrapped = spark.createDataFrame([(batch,)], "value string")
-    assert [(r.event_type, r.user_id) for r in source.unwrap_batches(wrapped).collect()] == [("url_click", "1"), ("user_exited", "2")]
+    events, rejects = source.unwrap_batches(wrapped)
+    assert [(r.event_type, r.user_id) for r in events.collect()] == [("url_click", "1"), ("user_exited", "2")]
+    assert rejects.count() == 0
+    odd = ['{"event_type": "url_click"}', '{"events": [{"event_type": "x"}', '{"events": [null]}', '{"events": null}', "7"]
+    events, rejects = source.unwrap_batches(spark.createDataFrame([(v,) for v in [*odd, '{"events": []}']], "value string"))
+    assert events.count() == 0 and {r.value for r in rejects.collect()} == set(odd)
+
+
+def test_topic_batches_are_due_by_size_or_time_and_have_no_ceiling():
+    options = source.topic_options("host:9092", "clicks", failOnDataLoss="false")
+    assert (options["minOffsetsPerTrigger"], options["maxTriggerDelay"]) == ("1000", "300s")
+    assert options["startingOffsets"] == "earliest" and options["failOnDataLoss"] == "false"
+    assert not any(k.startswith("maxOffsets") for k in options)
+    assert "maxTriggerDelay" not in source.topic_options("host:9092", "clicks", min_events=None)
 
 
 def test_ingest_in_batches_and_replay(spark, tmp_path):

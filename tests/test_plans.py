@@ -5,10 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from tablewise import schemas
 from tablewise.operators import clustering, engagement, ranking, ratings
-from tablewise.plans import tables
+from tablewise.plans import catalog, tables
 from tablewise.shared import new_path, stored
 from tablewise.sources import scans
 
@@ -26,9 +25,9 @@ def pairs(spark):
     return stored(ratings.mean_ratings(tables.reviews(spark, FOLDER)), "pairs")
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not EAGER.match(n)))
+@pytest.mark.parametrize("name", sorted(n for n in catalog.QUERIES if not EAGER.match(n)))
 def test_no_query_pairs_everything_with_everything(spark, name):
-    text = plan(entry.queries()[name](spark, FOLDER))
+    text = plan(catalog.QUERIES[name](spark, FOLDER))
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
     assert "BatchEvalPython" not in text
@@ -94,7 +93,7 @@ def test_top_n_per_key_is_limited_before_the_shuffle(pairs):
 
 
 def test_histogram_of_top_keys_scans_once(spark):
-    text = plan(entry.queries()["top_item_ratings"](spark, FOLDER))
+    text = plan(catalog.QUERIES["top_item_ratings"](spark, FOLDER))
     assert text.count("Location: InMemoryFileIndex") == 2  # line items and orders
     assert "TakeOrderedAndProject" in text
 
