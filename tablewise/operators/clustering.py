@@ -9,14 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise import schemas
-from tablewise.functions.distances import MASKED_COSINE, Distance, Sums
-from tablewise.operators.ranking import global_rank, top_n, top_n_per
+from tablewise.functions.distances import MASKED_COSINE, SQUARED_EUCLIDEAN, Distance, Sums
+from tablewise.operators.ranking import top_n, top_n_per
 from tablewise.operators.ratings import rated
 from tablewise.shared import cut, shuffle_partitions, stored, stored_by
 
@@ -33,8 +31,8 @@ PLACES = 9
 BROADCAST_CELLS = 1_500_000
 # a user with more ratings than this is not kept in one task
 HOT_ROWS = 1_000_000
-# cells of the dense centres that a Euclidean start brings to the driver
-DENSE_CELLS = 50_000_000
+# ratings per bucket, so that a bucket stays one task's work
+BUCKET_ROWS = 5_000_000
 # bits per word of the cluster bit sets
 _WORD = 62
 
@@ -108,7 +106,7 @@ def assign_clusters(
     sums = cell_sums(ratings, centroids, distance, n_cells, broadcast_cells)
     users = users.select("user_id")
     if distance.absent is None:
-        return _assign_on_grid(ratings, users, centroids, k, distance, sums)
+        return _assign_with_norms(ratings, users, centroids, k, distance, sums)
 
     words = [
         F.bit_or(
@@ -138,21 +136,30 @@ def assign_clusters(
     )
 
 
-def _assign_on_grid(ratings, users, centroids, k, distance, sums) -> DataFrame:
-    """For distances that differ between pairs without a common item: every user with every cluster."""
+def _assign_with_norms(ratings, users, centroids, k, distance, sums) -> DataFrame:
+    """For distances that differ between pairs without a common item.
+
+    These grow with the norms and fall with the products, and no value is negative: so of the clusters
+    a user shares nothing with only the one with the smallest norm can be nearest, and a shared one is
+    never nearer by this rule than by its own sums. No user is paired with every cluster.
+    """
     a = F.col("rating").cast("double")
     own = ratings.where(rated()).groupBy("user_id").agg(F.sum(a * a).alias("full_a2"))
-    grid = (
-        users.join(own, "user_id", "left")
-        .select("user_id", "full_a2", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cluster_id"))
-        .join(_centroid_norms(centroids), "cluster_id", "left")
-        .join(sums.select("user_id", "cluster_id", "dot", "a2", "b2"), ["user_id", "cluster_id"], "left")
-        .fillna(0.0, ["dot", "a2", "b2", "full_a2", "full_b2"])
-    )
-    nearest = grid.groupBy("user_id").agg(
+    ids = ratings.sparkSession.range(k).select(F.col("id").cast("int").alias("cluster_id"))
+    norms = ids.join(_centroid_norms(centroids), "cluster_id", "left").fillna(0.0, ["full_b2"])
+    least = norms.agg(F.min(F.struct("full_b2", "cluster_id")).alias("m")).first()["m"]
+    nearest = sums.groupBy("user_id").agg(
         F.min(F.struct(_value(distance).alias("distance"), "cluster_id")).alias("best")
     )
-    return nearest.select("user_id", F.col("best.cluster_id"), F.col("best.distance"))
+    zero = F.lit(0.0)
+    apart = Sums(zero, zero, zero, F.coalesce("full_a2", zero), F.lit(float(least["full_b2"])))
+    other = F.struct(
+        F.round(distance.formula(apart, F.greatest), PLACES).alias("distance"),
+        F.lit(least["cluster_id"]).alias("cluster_id"),
+    )
+    joined = users.join(own, "user_id", "left").join(nearest, "user_id", "left")
+    best = F.least("best", other)
+    return joined.select("user_id", best["cluster_id"].alias("cluster_id"), best["distance"].alias("distance"))
 
 
 def cluster_sizes(assignments: DataFrame) -> DataFrame:
@@ -199,43 +206,6 @@ def random_start(ratings: DataFrame, users: DataFrame, k: int, seed: int) -> Dat
     return start.select("cluster_id", "gmap_id", F.col("rating").cast("double").alias("value"))
 
 
-def sparse_vectors(ratings: DataFrame, users: DataFrame, index: DataFrame, size: int) -> DataFrame:
-    """One sparse ML vector per user; no array is longer than the list of features."""
-
-    @F.udf(VectorUDT())
-    def assemble(at, values) -> SparseVector:
-        return Vectors.sparse(size, at, values)
-
-    pair = F.struct(F.col("i"), F.col("rating").cast("double").alias("v"))
-    arrays = (
-        ratings.where(rated())
-        .join(index, "gmap_id")
-        .groupBy("user_id")
-        .agg(F.sort_array(F.collect_list(pair)).alias("entries"))
-    )
-    everyone = users.select("user_id").join(arrays, "user_id", "left")
-    none = F.from_json(F.lit("[]"), "array<struct<i:int,v:double>>")
-    filled = everyone.select("user_id", F.coalesce("entries", none).alias("entries"))
-    return filled.select("user_id", assemble("entries.i", "entries.v").alias("features"))
-
-
-def euclidean_start(ratings: DataFrame, users: DataFrame, k: int, seed: int) -> DataFrame:
-    """The centres of a complete Euclidean k-means run."""
-    items = ratings.where(rated()).select("gmap_id").distinct()
-    index = global_rank(items, "gmap_id", rank="_at").select(
-        "gmap_id", (F.col("_at") - 1).cast("int").alias("i")
-    )
-    size = index.count()
-    if size * k > DENSE_CELLS:
-        raise ValueError(f"{size} features x {k} clusters are too many dense cells; use init='random'")
-    vectors = stored(sparse_vectors(ratings, users, index, size), "vectors")
-    centres = KMeans(k=k, seed=seed).fit(vectors).clusterCenters()
-    rows = [(c, [float(x) for x in centre]) for c, centre in enumerate(centres)]
-    dense = ratings.sparkSession.createDataFrame(rows, "cluster_id int, cells array<double>")
-    cells = dense.select("cluster_id", F.posexplode("cells").alias("i", "value")).where(rated("value"))
-    return cells.join(index, "i").select("cluster_id", "gmap_id", "value")
-
-
 def _layout(ratings: DataFrame, users: DataFrame, hot_rows: int) -> list[tuple[DataFrame, DataFrame]]:
     """``(ratings, users)`` parts for the rounds.
 
@@ -247,7 +217,8 @@ def _layout(ratings: DataFrame, users: DataFrame, hot_rows: int) -> list[tuple[D
     users = users.select("user_id")
     counts = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     hot = stored(counts.where(F.col("n") > hot_rows).select("user_id"), "hot-users")
-    n = shuffle_partitions(ratings.sparkSession)
+    rows = counts.agg(F.sum("n")).first()[0] or 0
+    n = max(shuffle_partitions(ratings.sparkSession), -(-rows // BUCKET_ROWS))
     parts = []
     if not hot.isEmpty():
         parts = [(stored(ratings.join(hot, "user_id", "left_semi").repartition(n), "hot-ratings"), hot)]
@@ -278,21 +249,27 @@ def kmeans(
 ) -> KMeansResult:
     """Rounds of assignment and mean under the distance.
 
-    ``init`` is ``"euclidean"``, ``"random"`` or a table of centroids. It stops when the total error
-    changes by less than ``tol`` or no centroid cell moves, with the centroids that the assignments
-    belong to, or after ``max_iter`` rounds. The mean does not minimise every distance, so the error
-    may rise.
+    ``init`` is ``"random"``, a table of centroids, or ``"euclidean"``: the centres of a complete run
+    of the same rounds under the squared Euclidean distance from the random start. A run stops when
+    the total error changes by less than ``tol`` or no centroid cell moves, with the centroids that
+    the assignments belong to, or after ``max_iter`` rounds. The mean does not minimise every
+    distance, so the error may rise.
     """
-    parts = _layout(ratings, users, hot_rows)
-    everything = _union([r for r, _ in parts])
-    if isinstance(init, DataFrame):
-        start = init
-    elif init == "euclidean":
-        start = euclidean_start(everything, users, k, seed)
-    elif init == "random":
-        start = random_start(everything, users, k, seed)
-    else:
-        raise ValueError(f"unknown start {init!r}")
+    return _from_start(_layout(ratings, users, hot_rows), k, distance, init, max_iter, tol, seed, broadcast_cells)
+
+
+def _from_start(parts, k, distance, init, max_iter, tol, seed, broadcast_cells) -> KMeansResult:
+    start = init
+    if not isinstance(init, DataFrame):
+        if init not in ("euclidean", "random"):
+            raise ValueError(f"unknown start {init!r}")
+        start = random_start(_union([r for r, _ in parts]), _union([u for _, u in parts]), k, seed)
+        if init == "euclidean":
+            start = _rounds(parts, k, SQUARED_EUCLIDEAN, start, ROUNDS, tol, broadcast_cells).centroids
+    return _rounds(parts, k, distance, start, max_iter, tol, broadcast_cells)
+
+
+def _rounds(parts, k, distance, start, max_iter, tol, broadcast_cells) -> KMeansResult:
     centroids = cut(start.select("cluster_id", "gmap_id", "value"))
     n_cells = centroids.count()
 
@@ -347,23 +324,31 @@ def cluster_recommendations(
     ratings: DataFrame,
     assignments: DataFrame,
     n: int = LISTED_ITEMS,
-    keep_zero: bool = False,
     features: DataFrame | None = None,
-    k: int | None = None,
+    keep_zero: bool = True,
 ) -> DataFrame:
     """``(cluster_id, gmap_id, score, rank)``: the best items of each cluster.
 
-    ``keep_zero`` fills short lists with features nobody in the cluster rated, in id order; it needs
-    the features and the number of clusters.
+    A list shorter than ``n`` goes on with features nobody in the cluster has rated, in id order and
+    with score 0; ``features`` are the rated items unless given. An empty cluster has no list. Only
+    the lowest ``2 n`` features can be needed, as at most ``n`` of them are in the list already.
     """
-    scores = cluster_scores(ratings, assignments)
-    if keep_zero:
-        # an empty cluster has no list
-        cells = features.select("gmap_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cluster_id"))
-        cells = cells.join(F.broadcast(cluster_sizes(assignments)), "cluster_id", "left_semi")
-        scores = cells.join(scores, ["cluster_id", "gmap_id"], "left").fillna(0.0, ["score"])
-    listed = scores.select("cluster_id", "gmap_id", "score")
-    return top_n_per(listed, ["cluster_id"], n, [F.desc("score"), F.asc("gmap_id")])
+    scores = cluster_scores(ratings, assignments).select("cluster_id", "gmap_id", "score")
+    best = top_n_per(scores, ["cluster_id"], n, [F.desc("score"), F.asc("gmap_id")])
+    if not keep_zero:
+        return best
+    best = stored(best.drop("rank"), "best")
+    sizes = cluster_sizes(assignments).select("cluster_id")
+    found = best.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n"))
+    short = stored(sizes.join(found, "cluster_id", "left").where(F.coalesce("_n", F.lit(0)) < n), "short")
+    if not short.isEmpty():
+        items = (ratings.where(rated()) if features is None else features).select("gmap_id").distinct()
+        # 2 n ids, and the clusters with a short list
+        low = [r[0] for r in top_n(items, 2 * n, "gmap_id").collect()]
+        cells = short.select("cluster_id", F.explode(F.array(*map(F.lit, low)).cast("array<string>")).alias("gmap_id"))
+        zero = cells.join(best, ["cluster_id", "gmap_id"], "left_anti").withColumn("score", F.lit(0.0))
+        best = best.unionByName(zero)
+    return top_n_per(best, ["cluster_id"], n, [F.desc("score"), F.asc("gmap_id")])
 
 
 def nest_recommendations(listed: DataFrame, key: str) -> DataFrame:
@@ -414,11 +399,22 @@ def cluster_rmse(
     return rmse(cluster_predictions(ratings, users, centroids, listed, k))
 
 
-def elbow(ratings: DataFrame, users: DataFrame, ks: Sequence[int], **options) -> DataFrame:
-    """Total error per number of clusters."""
-    rows = []
+def elbow(
+    ratings: DataFrame,
+    users: DataFrame,
+    ks: Sequence[int],
+    distance: Distance = MASKED_COSINE,
+    init: str = "euclidean",
+    max_iter: int = ROUNDS,
+    tol: float = TOLERANCE,
+    seed: int = 42,
+    hot_rows: int = HOT_ROWS,
+    broadcast_cells: int = BROADCAST_CELLS,
+) -> DataFrame:
+    """Total error per number of clusters; the ratings are laid out once for all runs."""
+    rows, parts = [], _layout(ratings, users, hot_rows)
     for k in ks:
-        result = kmeans(ratings, users, k, **options)
+        result = _from_start(parts, k, distance, init, max_iter, tol, seed, broadcast_cells)
         rows.append((k, total_error(result.assignments), len(result.errors)))
     return ratings.sparkSession.createDataFrame(rows, "k int, total_error double, rounds int")
 

@@ -15,6 +15,24 @@ def top_n(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def first_by_count(df: DataFrame, n: int, count: str, key: str) -> DataFrame:
+    """The ``n`` rows with the highest count, ties by key, for an ``n`` too large for one task.
+
+    The rows per count value give the value at which ``n`` is reached: rows above it are in, and only
+    the rows at it are ranked. One row per count value is summed in one task. ``df`` is read more
+    than once, so it should be stored.
+    """
+    sizes = df.groupBy(count).agg(F.count(F.lit(1)).alias("_rows"))
+    down = Window.orderBy(F.desc(count)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = sizes.withColumn("_upto", F.sum("_rows").over(down)).where(F.col("_upto") >= n)
+    last = reached.orderBy(F.desc(count)).first()
+    if last is None:
+        return df
+    open_ = n - (last["_upto"] - last["_rows"])
+    ties = global_rank(df.where(F.col(count) == last[count]), key, rank="_at").where(F.col("_at") <= open_)
+    return df.where(F.col(count) > last[count]).unionByName(ties.drop("_at"))
+
+
 def top_n_per(
     df: DataFrame, keys: Sequence[str], n: int, order: Sequence[Column | str], rank: str = "rank"
 ) -> DataFrame:

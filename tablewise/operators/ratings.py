@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.operators.ranking import global_rank, top_n
+from tablewise.operators.ranking import first_by_count, global_rank
 from tablewise.shared import stored
 
-# Fixed values
+# Fixed values; the first two are limits to ask for, none is set by itself
 TOP_REVIEWERS = 150_000
 KEPT_USERS = 100_000
 MIN_RATERS = 30
@@ -63,19 +64,24 @@ def feature_items(ratings: DataFrame, min_raters: int = MIN_RATERS) -> DataFrame
 
 def cluster_input(
     reviews: DataFrame,
-    top_reviewers: int = TOP_REVIEWERS,
-    kept_users: int = KEPT_USERS,
+    top_reviewers: int | None = None,
+    kept_users: int | None = None,
     min_raters: int = MIN_RATERS,
 ) -> ClusterInput:
-    """Ratings, users and features for clustering.
+    """Ratings, users and features for clustering: all users, and the items with enough raters.
 
-    The most active reviewers are kept, of these the ones with most rated items, of their items the
-    ones with enough raters. A kept user stays even when none of its items does.
+    With limits, the most active reviewers are kept, and of these the ones with most rated items. A
+    kept user stays even when none of its items does.
     """
     pairs = stored(mean_ratings(reviews), "pairs")
-    first = top_n(user_activity(pairs), top_reviewers, F.desc("n_reviews"), F.asc("user_id"))
-    counts = rated_items(pairs.join(first, "user_id", "left_semi"))
-    users = stored(top_n(counts, kept_users, *activity_order()), "users")
+    first = pairs
+    if top_reviewers is not None:
+        active = stored(user_activity(pairs), "activity")
+        active = first_by_count(active, top_reviewers, "n_reviews", "user_id")
+        first = pairs.join(active, "user_id", "left_semi")
+    users = stored(rated_items(first), "users")
+    if kept_users is not None:
+        users = stored(first_by_count(users, kept_users, "n_items", "user_id"), "users")
     kept = pairs.join(users, "user_id", "left_semi").where(rated())
     features = stored(feature_items(kept, min_raters), "features")
     if features.isEmpty():
@@ -121,9 +127,11 @@ def items_below(reviews: DataFrame, min_reviews: int = MIN_REVIEWS) -> DataFrame
     return counts.where(F.col("n_reviews") < min_reviews)
 
 
-def nest_users(reviews: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
+def nest_users(reviews: DataFrame, chunk_rows: int = 10_000, users: DataFrame | None = None) -> DataFrame:
     """``(user_id, chunk, ratings)`` with the ratings in time order.
 
+    With ``users``, those of them who have no review get a row with an empty array.
+
     Nearly every user is one row, chunk 0. A user with more than ``chunk_rows`` reviews goes on in
     chunks 1, 2, ..., so that no array grows with the data.
     """
@@ -143,8 +151,12 @@ def nest_users(reviews: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
         return arrays.select("user_id", "chunk", ratings.alias("ratings"))
 
     zero = F.lit(0).cast("bigint")
+    silent = []
+    if users is not None:
+        none = F.from_json(F.lit("[]"), "array<struct<rating:int,timestamp:bigint,gmap_id:string>>")
+        silent = [users.select("user_id").distinct().join(counts, "user_id", "left_anti").select("user_id", zero.alias("chunk"), none.alias("ratings"))]
     if hot.isEmpty():
-        return nested(reviews.withColumn("chunk", zero))
+        return functools.reduce(DataFrame.unionByName, silent, nested(reviews.withColumn("chunk", zero)))
     plain = reviews.join(hot, "user_id", "left_anti").withColumn("chunk", zero)
     placed = global_rank(
         reviews.join(hot, "user_id", "left_semi"), "user_id", "time", "gmap_id", "rating", rank="_at"
@@ -152,7 +164,8 @@ def nest_users(reviews: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
     starts = placed.groupBy("user_id").agg(F.min("_at").alias("_first"))
     chunk = F.floor((F.col("_at") - F.col("_first")) / F.lit(chunk_rows)).cast("bigint")
     split = placed.join(starts, "user_id").withColumn("chunk", chunk)
-    return nested(plain).unionByName(nested(split.drop("_at", "_first")))
+    whole = nested(plain).unionByName(nested(split.drop("_at", "_first")))
+    return functools.reduce(DataFrame.unionByName, silent, whole)
 
 
 def flat_ratings(users: DataFrame, only_rated: bool = True) -> DataFrame:

@@ -30,7 +30,7 @@ REVIEW_DEFAULTS = {
 }
 
 # fields an item listing can be sorted by
-LISTING_FIELDS = (*DESCENDING, "name", "address", "gmap_id")
+LISTING_FIELDS = (*DESCENDING, "name", "address", "gmap_id", "url", "img_url")
 
 
 def search_items(items: DataFrame, pattern: str = "") -> DataFrame:
@@ -110,9 +110,11 @@ def item_details(items: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def review_details(items: DataFrame, reviews: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Item details and the user's own rating per wanted (user, item); unknown items give no row."""
+    """Item details and the user's own last rating per wanted (user, item); unknown items give no row."""
     keys = wanted.select("user_id", "gmap_id").distinct()
-    own = reviews.select("user_id", "gmap_id", F.col("rating").cast("string").alias("user_rating"))
+    own = reviews.groupBy("user_id", "gmap_id").agg(
+        F.max_by("rating", F.struct("time", "rating")).cast("string").alias("user_rating")
+    )
     known = items.withColumn("avg_rating", F.col("Rating").cast("string"))
     return (
         keys.join(known, "gmap_id")

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tablewise import schemas
 from tablewise.functions.distances import COSINE, SQUARED_EUCLIDEAN
 from tablewise.operators import clustering, ratings, similarity
 from tablewise.plans import tables
@@ -141,9 +140,9 @@ def kmeans_spread_users(spark, folder):
 
 @query()
 def kmeans_euclidean_start(spark, folder):
+    """Both runs go on to their own end, after as many rounds as it takes."""
     pairs, users = _input(spark, folder)
-    result = clustering.kmeans(pairs, users, K, init="euclidean", max_iter=3, seed=SEED)
-    return clustering.cluster_sizes(result.assignments)
+    return clustering.kmeans(pairs, users, K, init="euclidean", seed=SEED).assignments.select("user_id", "cluster_id")
 
 
 def _elbow_row(k):
@@ -158,8 +157,15 @@ def elbow(spark, folder):
     return table.withColumn("total_error", F.round("total_error", 4))
 
 
-_LISTED = """listed AS (SELECT * FROM (SELECT cluster_id, gmap_id, value AS score, row_number() OVER
-    (PARTITION BY cluster_id ORDER BY value DESC, gmap_id) AS rank FROM cent1) WHERE rank <= 40)"""
+def _listed(ratings="mean_rv", n=40):
+    """Items nobody in the cluster rated have the mean 0."""
+    return f"""listed AS (SELECT * FROM (SELECT cluster_id, gmap_id, coalesce(value, 0.0) AS score, row_number() OVER
+    (PARTITION BY cluster_id ORDER BY coalesce(value, 0.0) DESC, gmap_id) AS rank
+    FROM (SELECT DISTINCT cluster_id FROM size0) CROSS JOIN (SELECT DISTINCT gmap_id FROM {ratings})
+    LEFT JOIN cent1 USING (cluster_id, gmap_id)) WHERE rank <= {n})"""
+
+
+_LISTED = _listed()
 
 
 @query(
@@ -176,6 +182,24 @@ def cluster_recommendations(spark, folder):
     return listed.withColumn("score", F.round("score", 6))
 
 
+@query(
+    _sql(
+        "SELECT cluster_id, gmap_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM listed",
+        _start(300),
+        _assigned(0, 300),
+        _updated(0),
+        _listed(n=400),
+    )
+)
+def filled_recommendations(spark, folder):
+    """Small clusters: their lists go on with items that none of their users has rated."""
+    pairs, users = _input(spark, folder)
+    start = stored(clustering.random_start(pairs, users, 300, SEED), "start")
+    assigned = clustering.assign_clusters(pairs, users, start, 300)
+    listed = clustering.cluster_recommendations(pairs, stored(assigned, "assigned"), 400)
+    return listed.withColumn("score", F.round("score", 6))
+
+
 @query(
     _sql(
         """SELECT g.cluster_id, count(gmap_id) AS n_items, round(coalesce(max(score), 0), 6) AS best
@@ -215,7 +239,7 @@ _SPLIT = """placed AS (SELECT user_id, row_number() OVER (ORDER BY count(*) DESC
         _start(K).replace("FROM us", "FROM train"),
         _assigned(0, K, "train_rv", "train"),
         _updated(0, "train_rv"),
-        _LISTED,
+        _listed("train_rv"),
         _assigned(1, K, "test_rv", "test", name="tested"),
     )
 )
@@ -300,10 +324,8 @@ def stored_model(spark, folder):
     pairs, users = _input(spark, folder)
     result = clustering.kmeans(pairs, users, K, init="random", max_iter=1, seed=SEED)
     path = new_path(spark, "model")
-    sinks.write_model(*clustering.model_tables(result, pairs.select("gmap_id").distinct()), path)
-    features = scans.read_table(spark, f"{path}/features", schemas.FEATURES)
-    centroids = scans.read_table(spark, f"{path}/centroids", schemas.CENTROIDS)
-    assigned = scans.read_table(spark, f"{path}/assignments", schemas.ASSIGNMENTS)
+    sinks.write_model(*clustering.model_tables(result, pairs.select("gmap_id").distinct()), path, 1)
+    features, centroids, assigned = scans.read_model(spark, path)
     n = F.count(F.lit(1)).alias("n")
     return (
         features.agg(n)

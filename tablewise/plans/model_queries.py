@@ -204,17 +204,16 @@ def item_details(spark, folder):
         coalesce(reviews, 0) AS reviews, coalesce(address, 'No Address Available') AS address,
         coalesce(url, 'No URL Available') AS url
         FROM (SELECT DISTINCT user_id, gmap_id FROM rv UNION SELECT user_id, user_id FROM us) w
-        JOIN shop ON w.gmap_id = shop.gmap_id LEFT JOIN (SELECT user_id, gmap_id, max(rating) AS rating FROM rv
+        JOIN shop ON w.gmap_id = shop.gmap_id LEFT JOIN (SELECT user_id, gmap_id, arg_max(rating, (time, rating)) AS rating FROM rv
         GROUP BY ALL) m ON w.user_id = m.user_id AND w.gmap_id = m.gmap_id"""
     )
 )
 def review_details(spark, folder):
     """Every review, and for every user one item that has the user's number."""
     reviews = tables.reviews(spark, folder)
-    own = reviews.groupBy("user_id", "gmap_id").agg(F.max("rating").alias("rating"))
     guessed = tables.users(spark, folder).select("user_id", F.col("user_id").alias("gmap_id"))
     wanted = reviews.select("user_id", "gmap_id").union(guessed)
-    return serving.review_details(_items(spark, folder), own, wanted)
+    return serving.review_details(_items(spark, folder), reviews, wanted)
 
 
 _SERVED = """vec AS (SELECT user_id, gmap_id, CAST(arg_max(rating, (time, rating)) AS DOUBLE) AS rating FROM rv GROUP BY ALL)"""

@@ -6,6 +6,7 @@ folder of its own.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _DIR = "spark.checkpoint.dir"
 _TABLE = "tablewise_"
+_made: set[str] = set()  # names of the tables this process has made
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = spark.conf.get(_DIR, None) or sc.getConf().get(_DIR) or sc.getCheckpointDir()
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError(f"set {_DIR} to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="tablewise-")
     if sc.getCheckpointDir() is None:
@@ -39,9 +41,8 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Delete what this application has stored here, when no result that reads it is needed any more."""
-    for table in spark.catalog.listTables():
-        if table.name.startswith(_TABLE):
-            spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+    while _made:
+        spark.sql(f"DROP TABLE IF EXISTS {_made.pop()}")
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -72,6 +73,7 @@ def stored_by(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
         .option("path", path)
         .saveAsTable(table)
     )
+    _made.add(f"{spark.catalog.currentCatalog()}.{spark.catalog.currentDatabase()}.{table}")
     return spark.table(table)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewise import schemas
 from tablewise.functions.scalars import not_blank
 
 _BAD = "_corrupt_record"
@@ -100,6 +101,14 @@ def newest_run(spark: SparkSession, path: str, before: int | None = None) -> int
     return runs.agg(F.max("run_id")).first()[0]
 
 
+def read_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features, centroids and assignments of the newest whole run of a clustering model."""
+    run = f"{path.rstrip('/')}/run_id={newest_run(spark, path)}"
+    kinds = {"features": schemas.FEATURES, "centroids": schemas.CENTROIDS, "assignments": schemas.ASSIGNMENTS}
+    features, centroids, assignments = [read_table(spark, f"{run}/{n}", s) for n, s in kinds.items()]
+    return features, centroids, assignments
+
+
 def read_newest(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
     """The rows of the newest run of a snapshot; older runs are not opened."""
     run_id = newest_run(spark, path, before)

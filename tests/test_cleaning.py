@@ -164,7 +164,10 @@ def test_stored_tables_are_in_the_folder_of_the_application_until_released(spark
     monkeypatch.setattr(shared, "_own_dir", lambda session: str(other))
     shared.stored_by(spark.range(3).toDF("user_id"), "user_id", 2, "bucketed")
     assert any(t.name.startswith("tablewise_") for t in spark.catalog.listTables())
+    spark.sql("CREATE TABLE tablewise_of_someone_else (x INT) USING parquet")
     shared.release(spark)
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("tablewise_")] == ["tablewise_of_someone_else"]
+    spark.sql("DROP TABLE tablewise_of_someone_else")
     assert not other.exists() and other.parent.exists()
     assert not any(t.name.startswith("tablewise_") for t in spark.catalog.listTables())
     assert df.count() == 3

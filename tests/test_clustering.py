@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -101,17 +102,17 @@ def test_zero_scores_can_be_kept(spark):
     r = long_form(spark, {"a": (0, 5)})
     features = spark.createDataFrame([("i0",), ("i1",), ("i2",)], "gmap_id string")
     assigned = spark.createDataFrame([("a", 1)], "user_id string, cluster_id int")
-    listed = clustering.cluster_recommendations(r, assigned, 2, keep_zero=True, features=features, k=3)
+    listed = clustering.cluster_recommendations(r, assigned, 2, features=features)
     assert [(x.cluster_id, x.gmap_id, x.score) for x in listed.orderBy("rank").collect()] == [(1, "i1", 5.0), (1, "i0", 0.0)]
 
 
-def reference_rounds(users, centres, max_iter, tol=1e-4):
+def reference_rounds(users, centres, max_iter, tol=1e-4, far=None):
     names = sorted(users)
     matrix = np.array([users[n] for n in names], dtype=float)
     centres = np.array(centres, dtype=float)
     errors = []
     for _ in range(max_iter):
-        d = np.array([[round(masked(u, c), 9) for c in centres] for u in matrix])
+        d = np.array([[round((far or masked)(u, c), 9) for c in centres] for u in matrix])
         labels = d.argmin(1)
         errors.append(d.min(1).sum())
         new = np.array([matrix[labels == c].mean(0) if (labels == c).any() else 0 * centres[0] for c in range(len(centres))])
@@ -157,8 +158,16 @@ def test_planted_groups_are_found(spark):
 def test_euclidean_start_and_table_of_errors(spark):
     users = random_vectors(30, 12, 8, 0.5)
     r, u = long_form(spark, users), user_table(spark, users)
-    start = clustering.euclidean_start(r, u, 3, seed=1)
-    assert {x.cluster_id for x in start.collect()} == {0, 1, 2}
+    drawn = sorted(users, key=lambda n: (hashlib.md5(f"{n}|1".encode()).hexdigest(), n))[:3]
+    centres = [users[n] for n in drawn]
+    labels, errors = reference_rounds(users, centres, 100, far=lambda a, b: ((a - b) ** 2).sum())
+    result = clustering.kmeans(r, u, 3, distances.SQUARED_EUCLIDEAN, init="random", seed=1)
+    assert {x.user_id: x.cluster_id for x in result.assignments.collect()} == labels
+    assert result.errors == pytest.approx(errors) and len(errors) < 100
+    # the masked run starts where the Euclidean one has ended
+    both = clustering.kmeans(r, u, 3, init="euclidean", seed=1, max_iter=1)
+    again = clustering.kmeans(r, u, 3, init=result.centroids, max_iter=1)
+    assert both.errors == pytest.approx(again.errors)
     table = clustering.elbow(r, u, [2, 3], max_iter=2, init="random").collect()
     assert [x.k for x in table] == [2, 3] and all(x.total_error > 0 for x in table)
 

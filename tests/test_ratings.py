@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tablewise.operators import explore, ranking, ratings
+from tablewise.operators.ranking import first_by_count
 
 REVIEWS = "user_id string, gmap_id string, rating int, time bigint"
 
@@ -46,9 +48,30 @@ def test_cluster_input_keeps_users_without_features(spark):
     assert data.ratings.count() == 5
 
 
-def test_cluster_input_without_features_is_an_error(spark):
-    import pytest
+def test_no_user_is_left_out_unless_a_limit_is_asked_for(spark):
+    rows = [(f"u{n:03d}", f"i{n % 3}", 4, n) for n in range(300)] + [(f"u{n:03d}", f"j{n % 7}", 4, n) for n in range(40)]
+    reviews = spark.createDataFrame(rows, REVIEWS)
+    assert ratings.cluster_input(reviews, min_raters=3).users.count() == 300
+    some = ratings.cluster_input(reviews, top_reviewers=100, kept_users=50, min_raters=3).users
+    assert sorted(r.user_id for r in some.collect()) == [f"u{n:03d}" for n in range(50)]
+
+
+@pytest.mark.parametrize("n", [1, 7, 40, 41, 299, 300, 500])
+def test_first_by_count(spark, n):
+    rows = [(f"u{k:03d}", (k * 7) % 11) for k in range(300)]
+    df = spark.createDataFrame(rows, "user_id string, n_items int")
+    got = {r.user_id for r in first_by_count(df, n, "n_items", "user_id").collect()}
+    assert got == {u for u, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:n]}
+
 
+def test_users_without_reviews_are_nested_as_empty(spark):
+    reviews = spark.createDataFrame([("a", "i", 4, 1)], REVIEWS)
+    users = spark.createDataFrame([("a",), ("b",), ("b",)], "user_id string")
+    got = {r.user_id: len(r.ratings) for r in ratings.nest_users(reviews, users=users).collect()}
+    assert got == {"a": 1, "b": 0}
+
+
+def test_cluster_input_without_features_is_an_error(spark):
     with pytest.raises(ValueError):
         ratings.cluster_input(spark.createDataFrame([("u", "i", 4, 0)], REVIEWS), 5, 5, 2)
 
