@@ -6,6 +6,7 @@ from tablewise import schemas
 from tablewise.functions import scalars
 from tablewise.operators import cleaning, ratings
 from tablewise.plans import tables
+from tablewise.plans.cleaning_chain import clean
 from tablewise.plans.registry import query
 from tablewise.plans.tables import with_views
 from tablewise.shared import new_path
@@ -158,6 +159,22 @@ def clean_metadata_rejects(spark, folder):
     return cleaning.clean_metadata(tables.items(spark, folder), _listed(spark, folder))[1]
 
 
+@query(
+    with_views(
+        """SELECT rv.* FROM rv JOIN it USING (gmap_id) WHERE p_type = 'LARGE' AND address IS NOT NULL AND url IS NOT NULL
+        AND gmap_id IN (SELECT gmap_id FROM rv GROUP BY gmap_id HAVING count(*) >= 30)""",
+        "rv",
+        "it",
+    )
+)
+def cleaning_chain(spark, folder):
+    """From raw lines of places and reviews to the reviews of one category's items with enough of them."""
+    places, lines = new_path(spark, "places"), new_path(spark, "lines")
+    tables.items(spark, folder).write.json(places)
+    tables.reviews(spark, folder).write.json(lines)
+    return clean(spark, places, lines, "LARGE", 30).reviews.select("user_id", "gmap_id", "rating", "time")
+
+
 @query(
     with_views(
         "SELECT gmap_id, count(*) AS n_reviews FROM rv GROUP BY gmap_id HAVING count(*) < 30", "rv"

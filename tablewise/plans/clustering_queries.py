@@ -157,12 +157,12 @@ def elbow(spark, folder):
     return table.withColumn("total_error", F.round("total_error", 4))
 
 
-def _listed(ratings="mean_rv", n=40):
+def _listed(ratings="mean_rv", n=40, i=0):
     """Items nobody in the cluster rated have the mean 0."""
     return f"""listed AS (SELECT * FROM (SELECT cluster_id, gmap_id, coalesce(value, 0.0) AS score, row_number() OVER
     (PARTITION BY cluster_id ORDER BY coalesce(value, 0.0) DESC, gmap_id) AS rank
-    FROM (SELECT DISTINCT cluster_id FROM size0) CROSS JOIN (SELECT DISTINCT gmap_id FROM {ratings})
-    LEFT JOIN cent1 USING (cluster_id, gmap_id)) WHERE rank <= {n})"""
+    FROM (SELECT DISTINCT cluster_id FROM size{i}) CROSS JOIN (SELECT DISTINCT gmap_id FROM {ratings})
+    LEFT JOIN cent{i + 1} USING (cluster_id, gmap_id)) WHERE rank <= {n})"""
 
 
 _LISTED = _listed()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tablewise.operators import als, clustering, ratings, serving
 from tablewise.plans import clustering_queries as cq
 from tablewise.plans import tables, training
-from tablewise.plans.ratings_queries import cluster_settings
+from tablewise.plans.ratings_queries import CLUSTER_INPUT, cluster_settings
 from tablewise.plans.registry import query
 from tablewise.plans.tables import with_views
 from tablewise.shared import new_path, stored
@@ -85,10 +85,41 @@ def als_grid_search(spark, folder):
     return spark.createDataFrame(rows, "rmse double, max_iter double, rank double, reg_param double")
 
 
-@query()
+_TRAINED = """crows AS (SELECT * FROM mean_rv WHERE user_id IN (SELECT user_id FROM kept)
+    AND gmap_id IN (SELECT gmap_id FROM feats)),
+    ranked AS (SELECT user_id, row_number() OVER (ORDER BY n_items DESC, user_id)
+    <= floor((SELECT count(*) FROM kept) * 0.9) AS fits FROM kept),
+    train AS (SELECT user_id FROM ranked WHERE fits), test AS (SELECT user_id FROM ranked WHERE NOT fits),
+    train_rv AS (SELECT * FROM crows WHERE user_id IN (SELECT user_id FROM train)),
+    test_rv AS (SELECT * FROM crows WHERE user_id IN (SELECT user_id FROM test))"""
+
+
+@query(
+    with_views(
+        CLUSTER_INPUT
+        + ", "
+        + ", ".join(
+            [
+                _TRAINED,
+                cq._start(cq.K).replace("FROM us", "FROM train").replace("FROM mean_rv", "FROM train_rv"),
+                *[
+                    step
+                    for i in range(3)
+                    for step in (cq._assigned(i, cq.K, "train_rv", "train"), cq._updated(i, "train_rv"))
+                ],
+                cq._listed("feats", i=2),
+                cq._assigned(2, cq.K, "test_rv", "test", name="tested"),
+            ]
+        )
+        + """ SELECT round(sqrt(avg((rating - score) ** 2)), 6) AS rmse, count(*) AS n FROM test_rv
+        JOIN tested2 USING (user_id) JOIN listed USING (cluster_id, gmap_id)""",
+        "mean_rv",
+        "us",
+    )
+)
 def cluster_training(spark, folder):
-    """The whole clustering run."""
-    return training.train_clusters(
+    """The whole clustering run, of two rounds."""
+    error = training.train_clusters(
         tables.reviews(spark, folder),
         new_path(spark, "model"),
         new_path(spark, "lists"),
@@ -98,6 +129,7 @@ def cluster_training(spark, folder):
         init="random",
         **cluster_settings(spark, folder),
     )
+    return error.withColumn("rmse", F.round("rmse", 6))
 
 
 @query(with_views("SELECT gmap_id, name FROM it WHERE regexp_matches(name, 'RED|^small', 'i')", "it"))

@@ -41,7 +41,7 @@ def feature_items(spark, folder):
 
 
 # shares of all users, so that both cuts are made at any size; the defaults are numbers of users
-_CLUSTER_INPUT = """WITH first AS (SELECT user_id FROM mean_rv GROUP BY user_id
+CLUSTER_INPUT = """WITH first AS (SELECT user_id FROM mean_rv GROUP BY user_id
     ORDER BY count(*) DESC, user_id LIMIT (SELECT count(*) * 4 // 5 FROM us)),
     kept AS (SELECT user_id, count(*) AS n_items FROM mean_rv WHERE user_id IN (SELECT user_id FROM first)
     GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT (SELECT count(*) * 3 // 5 FROM us)),
@@ -60,7 +60,7 @@ def _cluster_input(spark, folder):
 
 @query(
     with_views(
-        _CLUSTER_INPUT
+        CLUSTER_INPUT
         + """SELECT user_id, gmap_id, round(rating, 6) AS rating FROM mean_rv
         WHERE user_id IN (SELECT user_id FROM kept) AND gmap_id IN (SELECT gmap_id FROM feats)""",
         "mean_rv",
@@ -71,12 +71,12 @@ def cluster_input_ratings(spark, folder):
     return _rounded(_cluster_input(spark, folder).ratings, "rating")
 
 
-@query(with_views(_CLUSTER_INPUT + "SELECT user_id, n_items FROM kept", "mean_rv", "us"))
+@query(with_views(CLUSTER_INPUT + "SELECT user_id, n_items FROM kept", "mean_rv", "us"))
 def cluster_input_users(spark, folder):
     return _cluster_input(spark, folder).users
 
 
-@query(with_views(_CLUSTER_INPUT + "SELECT gmap_id, n_raters FROM feats", "mean_rv", "us"))
+@query(with_views(CLUSTER_INPUT + "SELECT gmap_id, n_raters FROM feats", "mean_rv", "us"))
 def cluster_input_features(spark, folder):
     return _cluster_input(spark, folder).features
 

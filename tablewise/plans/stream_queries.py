@@ -167,10 +167,20 @@ def streamed_clicks(spark, folder):
     return _drain(stream.windowed_clicks(_event_stream(spark, folder)), "clicks")
 
 
-@query()
+@query(
+    with_views(
+        """SELECT day * 86400000 AS start_ms, (day + 1) * 86400000 AS end_ms, users_entered, users_clicked,
+        round(users_clicked / CAST(users_entered AS DOUBLE), 6) AS click_through FROM (SELECT ms // 86400000 AS day,
+        count(DISTINCT CASE WHEN event_type = 'user_entered' THEN user_id END) AS users_entered,
+        count(DISTINCT CASE WHEN event_type = 'url_click' THEN user_id END) AS users_clicked FROM ev GROUP BY day)
+        WHERE (day + 1) * 86400000 <= (SELECT max(ms) - 600000 FROM ev)""",
+        "ev",
+    )
+)
 def streamed_click_through(spark, folder):
-    """Approximate by design, so there is no SQL that gives the same counts."""
-    return _drain(stream.windowed_click_through(_event_stream(spark, folder)), "click-through")
+    """The days that the watermark has closed."""
+    rows = _drain(stream.windowed_click_through(_event_stream(spark, folder)), "click-through")
+    return rows.withColumn("click_through", F.round("click_through", 6))
 
 
 _ENGAGED = """SELECT user_id, gmap_id, ms AS click_ms FROM ev c WHERE event_type = 'url_click' AND EXISTS
@@ -303,7 +313,29 @@ def streamed_item_stats(spark, folder):
     return review_stream.current_item_stats(spark, _run_changes(spark, folder))
 
 
-@query()
+@query(
+    with_views(
+        _CHANGED
+        + ", "
+        + ", ".join(
+            [
+                "vec AS (SELECT user_id, gmap_id, CAST(rating AS DOUBLE) AS rating FROM after)",
+                "warm AS (SELECT DISTINCT user_id FROM after)",
+                cq._start(cq.K),
+                cq._assigned(0, cq.K),
+                cq._updated(0),
+                cq._LISTED,
+                cq._assigned(1, cq.K, "vec", "warm", name="served"),
+            ]
+        )
+        + """ SELECT user_id, CAST(rank - 1 AS INT) AS pos, gmap_id, round(score, 6) AS score FROM (SELECT t.user_id, l.gmap_id,
+        l.score, row_number() OVER (PARTITION BY t.user_id ORDER BY l.score DESC, l.gmap_id) AS rank
+        FROM served1 t JOIN listed l USING (cluster_id)
+        WHERE NOT EXISTS (SELECT 1 FROM after a WHERE a.user_id = t.user_id AND a.gmap_id = l.gmap_id)) WHERE rank <= 13""",
+        "mean_rv",
+        "us",
+    )
+)
 def streamed_recommendations(spark, folder):
     """Lists of the touched users after the changes, the trained ones of the others."""
     pairs, assigned = cq._first_round(spark, folder)
@@ -315,7 +347,8 @@ def streamed_recommendations(spark, folder):
     )
     root = _run_changes(spark, folder, model)
     merged = review_stream.current_recommendations(spark, root, top)
-    return merged.select("user_id", F.posexplode("recommendations").alias("pos", "r")).select("user_id", "pos", "r.gmap_id", "r.score")
+    listed = merged.select("user_id", F.posexplode("recommendations").alias("pos", "r"))
+    return listed.select("user_id", "pos", "r.gmap_id", F.round("r.score", 6).alias("score"))
 
 
 @query(

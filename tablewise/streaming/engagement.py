@@ -25,15 +25,21 @@ def windowed_clicks(events: DataFrame, width: str = "1 hour", lateness: str = LA
 
 
 def windowed_click_through(events: DataFrame, width: str = "1 day", lateness: str = LATENESS) -> DataFrame:
-    """Users who entered and users who clicked per window, by approximate distinct counts: the state of
-    a window is two sketches of fixed size."""
-    return (
+    """Users who entered and users who clicked per window, each once.
+
+    Two aggregations: first one row per window and user, which is the state, then their sums. A user
+    with very many events is one row per task before the shuffle.
+    """
+    flag = lambda test: F.max(F.when(test, 1).otherwise(0))
+    per_user = (
         events.withWatermark("ts", lateness)
-        .groupBy(F.window("ts", width).alias("w"))
-        .agg(
-            F.approx_count_distinct(F.when(F.col("event_type") == ENTERED, F.col("user_id"))).alias("users_entered"),
-            F.approx_count_distinct(F.when(is_click(), F.col("user_id"))).alias("users_clicked"),
-        )
+        .groupBy(F.window("ts", width).alias("w"), "user_id")
+        .agg(flag(F.col("event_type") == ENTERED).alias("entered"), flag(is_click()).alias("clicked"))
+        .select(F.window_time("w").alias("ts"), "entered", "clicked")
+    )
+    return (
+        per_user.groupBy(F.window("ts", width).alias("w"))
+        .agg(F.sum("entered").alias("users_entered"), F.sum("clicked").alias("users_clicked"))
         .select(
             F.unix_millis("w.start").alias("start_ms"),
             F.unix_millis("w.end").alias("end_ms"),

@@ -41,6 +41,4 @@ def test_queries_without_sql_give_whole_lists(spark):
     lists = run("als_recommendations").groupBy("user_id").count().collect()
     assert len(lists) == users and {r["count"] for r in lists} == {13}
     assert run("als_error").first().rmse > 0
-    assert run("cluster_training").first().n > 0
     assert run("kmeans_euclidean_start").count() == spark.read.parquet(f"{FOLDER}/customer.parquet").count()
-    assert run("streamed_click_through").count() > 20
