@@ -277,8 +277,7 @@ def refreshed_item_stats(spark, folder):
 
 
 def _run_changes(spark, folder, model=None, batches=1):
-    """The store after all changes came through the stream, in batches by time; with several of them
-    the second one is folded."""
+    """The store after all changes came through the stream, in batches by time, folded every second."""
     base, rows = _stored_and_changed(spark, folder)
     root, inbox = new_path(spark, "store"), new_path(spark, "inbox")
     review_stream.init_store(base, root, parts=8, slices=1)
@@ -292,9 +291,9 @@ def _run_changes(spark, folder, model=None, batches=1):
         start = start if end is None else F.col("time") > end
         part.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(f"{inbox}/part={n}")
         raw = event_source.read_line_files(spark, f"{inbox}/part=*")
-        review_stream.change_job(raw, root, root + "/offsets", model, available_now=True).awaitTermination()
-        if n == 1:
-            review_stream.fold(spark, root, 1)
+        review_stream.change_job(
+            raw, root, root + "/offsets", model, available_now=True, fold_every=2
+        ).awaitTermination()
     return root
 
 

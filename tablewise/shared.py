@@ -6,9 +6,12 @@ folder of its own.
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,15 +39,39 @@ def _own_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in getattr(_open, "scopes", []):
+        paths.append(path)
+    return path
+
+
+_open = threading.local()
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Paths that this thread gets within the block are deleted at its end: for work that is done by
+    then, as that of one batch of a stream."""
+    _open.scopes = [*getattr(_open, "scopes", []), paths := []]
+    try:
+        yield
+    finally:
+        _open.scopes.pop()
+        for path in paths:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder wherever Spark can reach it; nothing happens if there is none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete what this application has stored here, when no result that reads it is needed any more."""
     while _made:
         spark.sql(f"DROP TABLE IF EXISTS {_made.pop()}")
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    remove(spark, _own_dir(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
