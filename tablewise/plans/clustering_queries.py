@@ -138,6 +138,40 @@ def kmeans_spread_users(spark, folder):
     return result.assignments.withColumn("distance", F.round("distance", 6))
 
 
+def _ended(case, k, rounds):
+    steps = ", ".join([_start(k), _assigned(0, k), _updated(0), _assigned(1, k)])
+    return f"""(WITH {steps} SELECT '{case}' AS stopped_by, {rounds} AS rounds, count(*) AS n_users,
+        round(sum(distance), 4) AS total_error FROM assigned1)"""
+
+
+@query(
+    with_views(
+        f"{_ended('error', K, 2)} UNION ALL {_ended('unmoved cells', 1, 2)} UNION ALL {_ended('round limit', K, 1)}",
+        "mean_rv",
+        "us",
+    )
+)
+def kmeans_stops(spark, folder):
+    """The three ways a run ends: any change of the error is small enough; with one cluster nothing moves
+    after the first mean; one round is all there may be."""
+    pairs, users = _input(spark, folder)
+    runs = {
+        "error": clustering.kmeans(pairs, users, K, init="random", tol=1e9, seed=SEED),
+        "unmoved cells": clustering.kmeans(pairs, users, 1, init="random", tol=0.0, seed=SEED),
+        "round limit": clustering.kmeans(pairs, users, K, init="random", max_iter=1, seed=SEED),
+    }
+    rows = [
+        result.assignments.agg(
+            F.lit(case).alias("stopped_by"),
+            F.lit(len(result.errors)).alias("rounds"),
+            F.count(F.lit(1)).alias("n_users"),
+            F.round(F.sum("distance"), 4).alias("total_error"),
+        )
+        for case, result in runs.items()
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query()
 def kmeans_euclidean_start(spark, folder):
     """Both runs go on to their own end, after as many rounds as it takes."""

@@ -66,6 +66,28 @@ def als_recommendations(spark, folder):
     )
 
 
+@query(
+    with_views(
+        """WITH fit AS (SELECT * FROM mean_rv
+        WHERE ('0x' || substr(md5(user_id || '|' || gmap_id || '|42'), 1, 8))::BIGINT % 10000 < 8000)
+        SELECT user_id, 13 AS n_items, 13 AS n_known, true AS falling FROM (SELECT DISTINCT user_id FROM fit)""",
+        "mean_rv",
+    )
+)
+def als_list_checks(spark, folder):
+    """Every user of the fit has 13 different items, all rated by someone in the fit, none with a better
+    score than the one before."""
+    lists = stored(als_recommendations(spark, folder), "lists")
+    pairs, _ = ratings.random_split(ratings.mean_ratings(tables.reviews(spark, folder)), 0.8, 42)
+    known = lists.join(pairs.select("gmap_id").distinct(), "gmap_id", "left_semi").groupBy("user_id").agg(
+        F.count_distinct("gmap_id").alias("n_known")
+    )
+    scores = F.transform(F.sort_array(F.collect_list(F.struct("pos", "score"))), lambda e: e["score"])
+    falling = scores == F.reverse(F.array_sort(scores))
+    per_user = lists.groupBy("user_id").agg(F.count_distinct("gmap_id").alias("n_items"), falling.alias("falling"))
+    return per_user.join(known, "user_id").select("user_id", "n_items", "n_known", "falling")
+
+
 @query()
 def als_error(spark, folder):
     path = new_path(spark, "recommendations")
