@@ -56,7 +56,7 @@ class Settings:
     hundredths: int = 80
     bands: int = 28
     rows: int = 4
-    block: int = 1024  # members of a band value compared in one task, per side
+    block: int = 512  # members of a band value compared in one task, per side
     exact_block: int = 256  # the same for full sets
     filter_bits: int = 1 << 26  # of the bitmap that says whose sets are needed; its size is fixed
 
