@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablewise.operators.engagement import CLICKED, ENGAGED_SECONDS, ENTERED, VISIT_GAP_SECONDS, is_click
 
 LATENESS = "10 minutes"
+_LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
 def windowed_clicks(events: DataFrame, width: str = "1 hour", lateness: str = LATENESS) -> DataFrame:
@@ -53,7 +54,12 @@ def windowed_click_through(events: DataFrame, width: str = "1 day", lateness: st
 def session_visits(
     events: DataFrame, gap_seconds: int = VISIT_GAP_SECONDS, lateness: str = LATENESS
 ) -> DataFrame:
-    """Visits of each user, closed by a gap."""
+    """Visits of each user, closed by a gap.
+
+    Rows of a visit are merged in the task that reads them, before the shuffle, so a very busy user
+    sends one row per task and visit.
+    """
+    events.sparkSession.conf.set(_LOCAL_MERGE, "true")
     return (
         events.withWatermark("ts", lateness)
         .groupBy(F.session_window("ts", f"{gap_seconds} seconds").alias("w"), "user_id")
