@@ -14,6 +14,7 @@ neighbours go to the one with the smaller id. Repeated rows get equal scores.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -66,12 +67,12 @@ class _Words(dict):
 
     def __init__(self, settings: Settings):
         super().__init__()
-        self.settings, self.codes = settings, []
+        self.settings, self.codes = settings, array("i")
 
     def __missing__(self, word: bytes) -> int:
         s = self.settings
         shape = _RUNS.sub(rb"\1", word.translate(_SHAPE))
-        self.codes.append((crc32(word.lower()) % s.words, s.words + crc32(shape) % s.shapes))
+        self.codes.extend((crc32(word.lower()) % s.words, s.words + crc32(shape) % s.shapes))
         self[word] = n = len(self)
         return n
 
@@ -81,7 +82,7 @@ def _bags(texts: list, words: _Words) -> np.ndarray:
     s = words.settings
     if len(words) > 300_000:  # a cache only; memory stays bounded
         words.clear()
-        words.codes.clear()
+        words.codes = array("i")
     places, sizes, lines = [], [], []
     for t in texts:
         found = (t or b"").split()
