@@ -4,7 +4,7 @@ Words are lower-cased runs of letters and digits; an item is the set of its shin
 (of all its words, if it has fewer), each weighted by how rare it is among the items. For every
 distinct item size, each window of that many words of a text gets a 64-bit fingerprint: the signs of
 the weighted sum of its shingles' bit vectors, where shingles that no item has weigh nothing. Sums of
-all windows come from running totals.
+all windows come from running totals. A text with fewer words than an item is one window as a whole.
 
 A multi-index finds every item of that size whose fingerprint is within ``radius`` bits: the bits are
 cut into blocks, and by the pigeonhole principle one block differs by at most radius // blocks bits,
@@ -154,9 +154,9 @@ class Benchmark:
                 ready[k] = values, self.places(values)
             values, places = ready[k]
             hits = np.flatnonzero(places >= 0)
-            per_window = size - k + 1
-            if not len(hits) or len(values) < per_window:
+            if not len(hits):
                 continue
+            per_window = min(size - k + 1, len(values))  # a shorter text is one window
             reached = np.concatenate([hits, np.maximum(hits - per_window + 1, 0)])
             for piece in np.unique(reached // _PIECE):
                 lo, hi = piece * _PIECE, min((piece + 1) * _PIECE + per_window - 1, len(values))

@@ -106,6 +106,56 @@ def test_multi_index_finds_all_within_the_radius():
     assert sorted(map(list, zip(window.tolist(), item.tolist()))) == want.tolist()
 
 
+def exact(texts, items):
+    """(doc, item) pairs and their best similarity over all windows; a text shorter than an item is one."""
+    items = {i: words(t) for i, t in items if words(t)}
+
+    def grams(w, k):
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    sets = {i: grams(w, min(5, len(w))) for i, w in items.items()}
+    times = Counter(s for x in sets.values() for s in x)
+    weight = lambda s: round(64 * (1 + math.log(len(items) / max(1, times[s]))))
+    out = {}
+    for d, t in texts:
+        w = words(t)
+        have = {k: grams(w, k) for k in range(1, 6)}
+        for i, item in items.items():
+            k = min(5, len(item))
+            if not have[k] & sets[i]:
+                continue
+            for at in range(max(1, len(w) - len(item) + 1)):
+                mine = grams(w[at : at + len(item)], k)
+                both, whole = sum(map(weight, mine & sets[i])), sum(map(weight, mine | sets[i]))
+                if both and 100 * both >= 80 * whole:
+                    out[d, i] = max(out.get((d, i), 0), both / whole)
+    return out
+
+
+def similarities(found):
+    return {(r.doc_id, r.item_id): r.similarity for r in found.collect()}
+
+
+def frames(spark, texts, items):
+    return spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+
+def test_texts_shorter_than_an_item(spark):
+    voc = iter(range(100_000))
+    items = [(size, " ".join(f"v{next(voc)}" for _ in range(size))) for size in (59, 30, 15, 4, 2)]
+    texts = []
+    for size, text in items:
+        w = text.split()
+        for cut in range(size):
+            texts += [(1000 * size + cut, " ".join(w[cut:])), (1000 * size + 100 + cut, " ".join(w[: size - cut]))]
+            texts.append((1000 * size + 200 + cut, " ".join(["around", *w[cut:]])))
+    docs, bench = frames(spark, texts, items)
+    found, want = similarities(dc.matches(docs, bench)), exact(texts, items)
+    assert found == pytest.approx(want)
+    assert {(59_010, 59), (59_110, 59), (30_004, 30), (15_002, 15)} <= set(found)
+    assert {r.doc_id for r in dc.clean(docs, bench).collect()} == {d for d, _ in texts} - {d for d, _ in want}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
