@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows.
 
-Words are lower-cased runs of letters and digits; an item is the set of its shingles of five words
+Words are lower-cased runs of Unicode letters, marks and numbers (categories L, M, N); an item is the set of its shingles of five words
 (of all its words, if it has fewer), each weighted by how rare it is among the items. For every
 distinct item size, each window of that many words of a text gets a 64-bit fingerprint: the signs of
 the weighted sum of its shingles' bit vectors, where shingles that no item has weigh nothing. Sums of
@@ -22,6 +22,7 @@ rejected. The benchmark is taken in blocks of ``block_items`` that are broadcast
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tablewise.llm.rows import TEXT, _pieces, with_text_columns
 
+# for UTF-8 whose signs beyond ASCII are blanks already
 _BLANKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _PIECE = 4096  # window starts that are looked at together
 _MASK = (1 << 20) - 1
@@ -55,7 +57,11 @@ class Hashes(dict):
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").decode("utf-8", "replace").lower().encode().translate(_BLANKS).split()
+    whole = (text or b"").decode("utf-8", "replace").lower()
+    if not whole.isascii():
+        signs = {ord(c): " " for c in set(whole) if c > "\x7f" and unicodedata.category(c)[0] not in "LMN"}
+        whole = whole.translate(signs) if signs else whole
+    return whole.encode().translate(_BLANKS).split()
 
 
 def shingles(h: np.ndarray, size: int) -> np.ndarray:

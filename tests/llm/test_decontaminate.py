@@ -156,6 +156,28 @@ def test_texts_shorter_than_an_item(spark):
     assert {r.doc_id for r in dc.clean(docs, bench).collect()} == {d for d, _ in texts} - {d for d, _ in want}
 
 
+def test_words_are_runs_of_unicode_letters_marks_and_numbers():
+    text = "\u201eÜber\u201c \u00ab\u00a0l\u2019été\u00a0\u00bb \u00bfQué\u2014no? e\u0301t \u0661\u0662 \u65e5\u672c\u3001x_y \u2167"
+    want = ["über", "l", "été", "qué", "no", "e\u0301t", "\u0661\u0662", "\u65e5\u672c", "x", "y", "\u2177"]
+    assert [w.decode() for w in dc.words_of(text.encode())] == want
+    assert dc.words_of(b"a\xffb c") == [b"a", b"b", b"c"]
+
+
+@pytest.mark.parametrize("left, right, between", [
+    ("\u201e", "\u201c", " "), ("\u00ab\u00a0", "\u00a0\u00bb", " "), ("\u00bf", "?", " "), ("\u2019", "\u2019", "\u00a0"), ("\u2014", "\u2013", " \u2014 "),
+])
+def test_quoted_passages(spark, left, right, between):
+    rnd = random.Random(3)
+    voc = ["straße", "été", "niño", *[f"w{i}" for i in range(400)]]
+    items = [(n, " ".join(rnd.choices(voc, k=n))) for n in (3, 6, 8, 14, 21, 40)]
+    texts = [(n, "er sagte " + left + between.join(t.split()) + right + " und ging") for n, t in items]
+    texts += [(100 + n, left + t.upper() + right) for n, t in items]
+    docs, bench = frames(spark, texts, [(i, left + t + right) if i % 2 else (i, t) for i, t in items])
+    found = similarities(dc.matches(docs, bench))
+    assert found == pytest.approx(exact(texts, items))
+    assert all(found[i, i] == found[100 + i, i] == 1.0 for i, _ in items)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
