@@ -1,19 +1,23 @@
-"""Benchmark decontamination: SimHash fingerprints of item-sized windows.
+"""Benchmark decontamination: weighted shingle similarity of item-sized windows, without misses.
 
-Words are lower-cased runs of Unicode letters, marks and numbers (categories L, M, N); an item is the set of its shingles of five words
-(of all its words, if it has fewer), each weighted by how rare it is among the items. For every
-distinct item size, each window of that many words of a text gets a 64-bit fingerprint: the signs of
-the weighted sum of its shingles' bit vectors, where shingles that no item has weigh nothing. Sums of
-all windows come from running totals. A text with fewer words than an item is one window as a whole.
-
-A multi-index finds every item of that size whose fingerprint is within ``radius`` bits: the bits are
-cut into blocks, and by the pigeonhole principle one block differs by at most radius // blocks bits,
-so items are filed under all block values that near. Candidates are verified exactly: the weight of
-the common shingles by the weight of all shingles of window and item, foreign ones at full weight.
+Words are lower-cased runs of Unicode letters, marks and numbers (categories L, M, N); an item is the set of its
+shingles of five words (of all its words, if it has fewer), each weighted by how rare it is among the items. For
+every distinct item size, each window of that many words of a text is held against the items of that size: the
+weight of the common shingles by the weight of all shingles of window and item, foreign ones at full weight.
+A text with fewer words than an item is one window as a whole.
 
 A window whose shingles known to the benchmark weigh less than ``hundredths`` of the lightest item of
-its size cannot reach the threshold and gets no fingerprint; that bound is exact and spares clean
-text nearly all the work. Texts are read in pieces of bounded size that overlap by an item.
+its size cannot reach the threshold; that bound is exact and spares clean text nearly all the work. Of an item,
+a matching window lacks less than the rest to a hundred by weight, so it holds one of any shingles that weigh more
+than that: items are filed under their rarest such shingles, and those found are candidates. Sums of distinct
+shingles come for all windows at once, since a shingle counts in the windows that begin after its last occurrence.
+
+Sizes whose windows can match only with a set of shingles equal to an item's are looked up by SimHash instead: a
+64-bit fingerprint, the signs of the weighted sum of the bit vectors of the distinct shingles, in a multi-index at
+radius 0. At larger sizes about 10 of 64 bits differ at a threshold of 80, and a radius with fewer than one miss in a
+million (26) would file an item under a quarter of all block values, so no radius is used there.
+
+Texts are read in pieces of bounded size that overlap by an item.
 
 Texts and items without words match nothing. Items with equal words all match. Repeated rows match
 alike; ``matches`` returns each pair of ids once. Rows with a null id are in no pair but can be
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -45,7 +49,7 @@ _MASK = (1 << 20) - 1
 class Settings:
     words: int = 5
     hundredths: int = 80
-    radius: int = 16  # bits of 64: about 7 are expected to differ at the threshold, with a spread of 2.5
+    radius: int = 16  # bits of 64 that an index is made for
     blocks: int = 6
     block_items: int = 20_000
 
@@ -125,19 +129,19 @@ class Benchmark:
         self.known = known
         self.foreign = round(64 * (1 + np.log(max(1, len(named)))))
         self.weight = np.round(64 * (1 + np.log(max(1, len(named)) / np.maximum(times, 1)))).astype(np.int64)
-        bits = (known[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-        self.vectors = (2 * bits.astype(np.int64) - 1) * self.weight[:, None]
         self.maybe = np.zeros(_MASK + 1, dtype=bool)
         self.maybe[(known & np.uint64(_MASK)).astype(np.int64)] = True
-        self.by_size: dict[int, tuple] = {}
+        lightest = min([*self.weight.tolist(), self.foreign])
+        self.by_size: dict[int, _Items] = {}
         for size in sorted({len(h) for _, h in named}):
             mine = [k for k, (_, h) in enumerate(named) if len(h) == size]
-            full = [shingles(named[k][1], min(settings.words, size)) for k in mine]
-            prints = _signs(np.stack([self.vectors[np.searchsorted(known, s)].sum(axis=0) for s in full]))
-            places = [np.unique(np.searchsorted(known, s)) for s in full]
-            least = min(int(self.weight[p].sum()) for p in places)
-            ids = [named[k][0] for k in mine]
-            self.by_size[size] = (ids, _Index(prints, settings), places, least)
+            places = [np.searchsorted(known, sets[k]) for k in mine]
+            self.by_size[size] = _Items([named[k][0] for k in mine], places, self, lightest)
+
+    def vectors(self, places: np.ndarray) -> np.ndarray:
+        """Weighted signs of the bits of known shingles."""
+        bits = (self.known[places, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+        return (2 * bits.astype(np.int64) - 1) * self.weight[places, None]
 
     def places(self, values: np.ndarray) -> np.ndarray:
         """Place of each shingle among the known ones, -1 for foreign."""
@@ -153,7 +157,7 @@ class Benchmark:
         """Item ids found in the words of a text, with the best similarity of a window."""
         best: dict[int, float] = {}
         ready: dict[int, tuple] = {}
-        for size, (ids, index, items, least) in self.by_size.items():
+        for size, items in self.by_size.items():
             k = min(self.settings.words, size)
             if k not in ready:
                 values = shingles(h, k)
@@ -167,28 +171,92 @@ class Benchmark:
             for piece in np.unique(reached // _PIECE):
                 lo, hi = piece * _PIECE, min((piece + 1) * _PIECE + per_window - 1, len(values))
                 if hi - lo >= per_window:
-                    self._piece(values[lo:hi], places[lo:hi], per_window, ids, index, items, least, best)
+                    self._piece(values[lo:hi], places[lo:hi], per_window, items, best)
         return best
 
-    def _piece(self, values, places, n, ids, index, items, least, best) -> None:
+    def _piece(self, values, places, n, items, best) -> None:
         own = np.where(places >= 0, self.weight[places], 0)
         total = np.concatenate([[0], np.cumsum(own)])
-        starts = np.flatnonzero(100 * (total[n:] - total[:-n]) >= self.settings.hundredths * least)
+        if not (100 * (total[n:] - total[:-n]) >= self.settings.hundredths * items.least).any():
+            return  # not even with repeated shingles
+        hits = np.flatnonzero(places >= 0)
+        first = _first_starts(places[hits], hits, n)
+        count = len(values) - n + 1
+        whole = _windows(first, hits, self.weight[places[hits]], count)
+        starts = np.flatnonzero(100 * whole >= self.settings.hundredths * items.least)
         if not len(starts):
             return
-        hits = np.flatnonzero(places >= 0)
-        sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(self.vectors[places[hits]], axis=0)])
-        lo, hi = np.searchsorted(hits, starts), np.searchsorted(hits, starts + n)
-        windows, found = index.search(_signs(sums[hi] - sums[lo]), self.settings)
-        for w, item in zip(windows.tolist(), found.tolist()):
-            part = slice(int(starts[w]), int(starts[w]) + n)
-            known = places[part]
-            foreign = len(np.unique(values[part][known < 0])) * self.foreign
-            known = np.unique(known[known >= 0])
-            common = int(self.weight[np.intersect1d(known, items[item], assume_unique=True)].sum())
-            whole = int(self.weight[known].sum()) + foreign + int(self.weight[items[item]].sum()) - common
-            if 100 * common >= self.settings.hundredths * whole:
-                best[ids[item]] = max(best.get(ids[item], 0.0), common / whole)
+        # hits that some such window holds
+        near = np.searchsorted(starts, hits - n + 1) < np.searchsorted(starts, hits, side="right")
+        candidates = items.candidates(self, places, hits[near], first[near], starts, n)
+        if not len(candidates):
+            return
+        strange = np.flatnonzero(places < 0)
+        whole = whole + self.foreign * _windows(_first_starts(values[strange], strange, n), strange, 1, count)
+        for item in candidates.tolist():
+            mine = items.places[item]
+            at = np.minimum(np.searchsorted(mine, places[hits]), len(mine) - 1)
+            held = mine[at] == places[hits]
+            common = _windows(first[held], hits[held], self.weight[places[hits[held]]], count)
+            union = whole + items.weights[item] - common
+            ok = (100 * common >= self.settings.hundredths * union) & (common > 0)
+            if ok.any():
+                found = float((common[ok] / union[ok]).max())
+                best[items.ids[item]] = max(best.get(items.ids[item], 0.0), found)
+
+
+class _Items:
+    """The items of one size, with the means to find those that a window can match."""
+
+    def __init__(self, ids: list, places: list[np.ndarray], block: Benchmark, lightest: int):
+        self.ids, self.places = ids, places
+        self.weights = [int(block.weight[p].sum()) for p in places]
+        self.least = min(self.weights)
+        share, self.index = block.settings.hundredths, None
+        # whatever a window lacks or has besides takes it below the threshold
+        if all(100 * w < share * (w + lightest) and 100 * (w - lightest) < share * w for w in self.weights):
+            prints = _signs(np.stack([block.vectors(p).sum(axis=0) for p in places]))
+            self.exact = replace(block.settings, radius=0)
+            self.index = _Index(prints, self.exact)
+            return
+        filed, owners = [], []
+        for k, (p, whole) in enumerate(zip(places, self.weights)):
+            rare = p[np.argsort(-block.weight[p], kind="stable")]
+            # the first that weigh more than what a matching window may lack
+            enough = int(np.searchsorted(100 * np.cumsum(block.weight[rare]), (100 - share) * whole, side="right")) + 1
+            filed.append(rare[:enough])
+            owners.append(np.full(len(filed[-1]), k))
+        filed, owners = np.concatenate(filed), np.concatenate(owners)
+        order = np.argsort(filed, kind="stable")
+        self.filed, self.owners = filed[order], owners[order]
+
+    def candidates(self, block: Benchmark, places, hits, first, starts, n) -> np.ndarray:
+        """Items that a window from one of ``starts`` can match, each once."""
+        if self.index is None:
+            seen = np.unique(places[hits])
+            lo, hi = np.searchsorted(self.filed, seen), np.searchsorted(self.filed, seen, side="right")
+            return np.unique(np.concatenate([self.owners[a:b] for a, b in zip(lo, hi)] or [hi]))
+        sums = np.stack([_windows(first, hits, v, int(starts[-1]) + 1)[starts] for v in block.vectors(places[hits]).T], axis=1)
+        return np.unique(self.index.search(_signs(sums), self.exact)[1])
+
+
+def _first_starts(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """First window of ``n`` shingles in which the value at a place has not come before."""
+    order = np.argsort(values, kind="stable")
+    before = np.full(len(at), -1, dtype=np.int64)
+    same = values[order[1:]] == values[order[:-1]]
+    before[order[1:][same]] = at[order[:-1][same]]
+    return np.maximum(np.maximum(before + 1, at - n + 1), 0)
+
+
+def _windows(first: np.ndarray, at: np.ndarray, weight, count: int) -> np.ndarray:
+    """For each of ``count`` windows, the weight of its distinct shingles: each counts from ``first`` to ``at``."""
+    step = np.zeros(count + 1, dtype=np.int64)
+    on = first < count
+    weight = np.broadcast_to(weight, at.shape)[on]
+    np.add.at(step, first[on], weight)
+    np.add.at(step, np.minimum(at[on] + 1, count), -weight)
+    return np.cumsum(step[:-1])
 
 
 def _signs(sums: np.ndarray) -> np.ndarray:

@@ -142,7 +142,7 @@ def frames(spark, texts, items):
 
 def test_texts_shorter_than_an_item(spark):
     voc = iter(range(100_000))
-    items = [(size, " ".join(f"v{next(voc)}" for _ in range(size))) for size in (59, 30, 15, 4, 2)]
+    items = [(size, " ".join(f"v{next(voc)}" for _ in range(size))) for size in (59, 30, 15, 9, 4, 2)]
     texts = []
     for size, text in items:
         w = text.split()
@@ -178,6 +178,33 @@ def test_quoted_passages(spark, left, right, between):
     assert all(found[i, i] == found[100 + i, i] == 1.0 for i, _ in items)
 
 
+def test_pairs_at_the_threshold_are_never_lost(spark):
+    """Small items, windows whose other shingles belong to other items, and phrases that an item repeats."""
+    rnd = random.Random(11)
+    voc = [f"w{i}" for i in range(5000)]
+    items = [(i, rnd.choices(voc, k=rnd.choice([5, 6, 9, 13, 22, 40]))) for i in range(120)]
+    for i in range(120, 180):  # an item's words with another's at an end
+        head, tail = rnd.choice(items)[1], rnd.choice(items)[1]
+        items.append((i, [*head, *tail][: len(head)] if i % 3 else [*head[: -2], *tail[:2]]))
+    for i in range(180, 220):
+        items.append((i, rnd.choices(voc, k=6) * 3 + rnd.choices(voc, k=rnd.choice([4, 12]))))
+    texts = []
+    for d in range(900):
+        w = list(rnd.choice(items)[1])
+        lost = max(1, round(len(w) / 9.5)) if len(w) > 5 else 0
+        other = rnd.choice(items)[1]
+        w = [*w[: len(w) - lost], *other[:lost]] if d % 2 else [*other[-lost:], *w[lost:]]
+        texts.append((d, " ".join([*rnd.choices(voc, k=d % 4), *w, *rnd.choices(voc, k=d % 3)])))
+    for i in range(300, 400):  # four of five shingles
+        items.append((i, rnd.choices(voc, k=9)))
+        texts.append((1000 + i, " ".join(items[-1][1][:-1])))
+    items = [(i, " ".join(w)) for i, w in items]
+    docs, bench = frames(spark, texts, items)
+    found, want = similarities(dc.matches(docs, bench)), exact(texts, items)
+    assert found == pytest.approx(want) and {(1000 + i, i) for i in range(300, 400)} <= set(found)
+    assert sum(s < 0.82 for s in want.values()) > 50
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
