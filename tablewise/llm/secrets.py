@@ -1,9 +1,10 @@
 """Secret scans: a random forest removes the false positives among candidate strings.
 
-Candidates are runs of 16 or more characters of keys and hashes with a digit in them. Each gets
-features: length, changes between kinds of characters, how much of it dictionary words cover, how
-varied it is, its path, and the words before and behind it. A random forest, trained from labelled
-findings, says which ones are secrets.
+Candidates are runs of 16 or more characters of keys and hashes, and shorter ones from 4 characters on
+that are assigned to a cue (a password, token or key). Each gets features: length, changes between kinds
+of characters, how much of it dictionary words cover, how varied it is, whether it has the shape of a
+well-known key, its path, and the text before and behind it, other candidates included. A random forest,
+trained from labelled findings, says which ones are secrets; words and names are candidates like others.
 
 Main path: DataFrame and SQL functions only. A text is split once at its candidates, features are a
 ``transform`` over them, and the forest is written out as SQL conditions, so scoring and redaction
@@ -24,7 +25,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: shape of a candidate, and words that tell what it is
-VALUE = "[A-Za-z0-9+/_-]{16,}+={0,2}"
 WORDS = (
     "access account admin api app auth bucket change client code commit config credential data default demo "
     "dummy example file fixture foo bar here image insert item key local login master module name none node "
@@ -32,18 +32,23 @@ WORDS = (
     "server service session source string sync test token update url user value version your"
 ).split()
 CUES = "secret|token|passw(or)?d|pwd|api[_-]?key|apikey|auth|credential|bearer|private[_-]?key|access[_-]?key"
+ASSIGNED = "(?<![A-Za-z0-9])(?=[A-Za-z0-9])(?<=[=:>][^A-Za-z0-9]{0,8})(?<=(?i:%s)[A-Za-z0-9_]{0,12}[^A-Za-z0-9]{1,14})" % CUES
+VALUE = ASSIGNED + "[A-Za-z0-9+/_!@#$%^&*~-]{4,}+={0,2}|[A-Za-z0-9+/_-]{16,}+={0,2}"
+KEYS = "(AKIA|ASIA)[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}"
 OTHERS = "commit|sha[0-9]*|md5|checksum|digest|hash|uuid|guid|version|revision|card|phone|order|invoice|isbn|etag"
 QUIET_PATHS = "(^|[/._-])(tests?|fixtures?|examples?|samples?|docs?|vendor|locks?)([/._-]|$)"
-FEATURES = ("size", "changes", "digits", "covered", "varied", "quiet_path", "cue", "other", "assigned", "hex")
+FEATURES = ("size", "changes", "digits", "covered", "varied", "quiet_path", "cue", "other", "assigned", "hex", "known", "set", "code")
 BEFORE, BEHIND = 40, 16  # characters of context
 
 
-def _candidates(text: str, path: str) -> str:
+def _candidates(path: str) -> str:
     """SQL for the array of (value, before, behind, path); needs arrays ``__values`` and ``__pieces``."""
-    return f"""transform(
-        arrays_zip(__values, slice(__pieces, 1, size(__values)), slice(__pieces, 2, size(__values))),
-        z -> struct(z.`__values` AS value, substring(z.`1`, -{BEFORE}, {BEFORE}) AS before,
-                    substring(z.`2`, 1, {BEHIND}) AS behind, {path} AS path))"""
+    # five candidates and what lies between them are longer than the context
+    back = [f"substring(get(__pieces, i - {k}), -{BEFORE}, {BEFORE}), get(__values, i - {k})" for k in range(5, 0, -1)]
+    before = f"array_join(array({', '.join(back)}, substring(get(__pieces, i), -{BEFORE}, {BEFORE})), '')"
+    return f"""transform(__values, (v, i) -> struct(v AS value, substring({before}, -{BEFORE}, {BEFORE}) AS before,
+        left(concat(left(get(__pieces, i + 1), {BEHIND}), coalesce(get(__values, i + 1), '')), {BEHIND}) AS behind,
+        {path} AS path))"""
 
 
 def _features(c: str) -> str:
@@ -63,7 +68,10 @@ def _features(c: str) -> str:
         'other', double(lower({c}.before) RLIKE '({OTHERS})[^A-Za-z0-9]{{0,14}}$'
             OR lower({c}.behind) RLIKE '^[^A-Za-z0-9]{{0,4}}({OTHERS})'),
         'assigned', double({c}.before RLIKE '[=:>][^A-Za-z0-9]{{0,8}}$'),
-        'hex', double({c}.value RLIKE '^([0-9a-f]+|[0-9A-F]+)$' AND {c}.value RLIKE '[A-Fa-f]'))"""
+        'hex', double({c}.value RLIKE '^([0-9a-f]+|[0-9A-F]+)$' AND {c}.value RLIKE '[A-Fa-f]'),
+        'known', double({c}.value RLIKE '^({KEYS})$'),
+        'set', double({c}.before RLIKE '=[^A-Za-z0-9]{{0,8}}$|["`\\']$'),
+        'code', double({c}.behind RLIKE '^([(]|\\\\[|://|[.][A-Za-z_])'))"""
 
 
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
@@ -74,6 +82,13 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     sep = "element_at(array(' = \"','=','=\"',': ',': \"',' = ''','### =*** \"',' => \"'), int(pmod(xxhash64(id, 2), 8)) + 1)"
     word = "element_at(array('the','and','der','que','of','was','la','with','ran'), int(pmod(xxhash64(id, 3), 9)) + 1)"
     holder = "element_at(array('your_api_key_here_','example_token_value','changeme_password_','insert_secret_here_','test_user_password_'), int(pmod(xxhash64(id, 4), 5)) + 1)"
+    letters = "translate(sha1(string(id)), '0123456789', 'ghijklmnop')"
+    part = "element_at(array('keit','ung','lich','schaft','ber','ation','ment','inter','ver','cion','able','tamente'), int(pmod(xxhash64(id, k), 12)) + 1)"
+    long = f"concat_ws('', transform(sequence(10, 14 + int(pmod(id, 3))), k -> {part}))"
+    short = "element_at(array('None','null','string','true','false','required','that','invalid','missing','their','from','will'), int(pmod(xxhash64(id, 6), 12)) + 1)"
+    name = "element_at(array('AWS_SECRET_ACCESS_KEY','SERVICE_ACCOUNT_PASSWORD','DATABASE_PASSWORD','GITHUB_ACCESS_TOKEN','client_secret_token','private_api_key_value'), int(pmod(xxhash64(id, 7), 6)) + 1)"
+    put = "element_at(array(' = \"','=','=\"',' = \\'',': \"'), int(pmod(xxhash64(id, 8), 5)) + 1)"
+    based32 = "substring(translate(upper(sha1(string(id))), '01234567', 'GHIJKLMN'), 1, 16)"
     path = "element_at(array('src/app/main.py','conf/prod.env','README.md','tests/fixtures/a.json','docs/guide.md','src7',NULL), int(pmod(xxhash64(id, 5), 7)) + 1)"
     shapes = [
         (1, f"concat({word}, ' ', {cue}, {sep}, {hexed}, '\" ', {word})"),
@@ -91,6 +106,25 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (0, f"concat('version=', 'release-2024-', pmod(id, 12), '-build-', pmod(id, 977), ' ', {word})"),
         (0, f"concat('uuid ', substring({hexed}, 1, 8), '-', substring({hexed}, 9, 4), '-4', substring({hexed}, 13, 3), '-a', substring({hexed}, 16, 3), '-', substring({hexed}, 19, 12))"),
         (0, f"concat({word}, ' src/module', pmod(id, 50), '/service_client_', pmod(id, 9), ' ', {word})"),
+        (1, f"concat({word}, ' ', {cue}, {put}, left({letters}, 16 + pmod(id, 15)), '\" ', {word})"),
+        (1, f"concat({word}, ' ', {name}, {put}, {hexed}, '\" ', {word})"),
+        (1, f"concat({word}, ' ', {name}, {put}, {based}, '\" ', {word})"),
+        (1, f"concat({word}, ' ', {cue}, {put}, left({letters}, 6 + pmod(id, 10)), '\" ', {word})"),
+        (1, f"concat({word}, ' ', {cue}, {put}, left({based}, 6 + pmod(id, 10)), '\" ', {word})"),
+        (1, f"concat({word}, ' ', {cue}, ': ', left({letters}, 5), pmod(id, 977), '! ', {word})"),
+        (1, f"concat({word}, ' AKIA', {based32}, ' ', {word})"),
+        (1, f"concat({word}, ' ', {put}, 'AKIA', translate({based32}, '89', 'OP'), '\" ', {word})"),
+        (0, f"concat({word}, ' ', {long}, ' ', {word})"),
+        (0, f"concat({word}, ' ', initcap({long}), '-', {long}, ', ', {word})"),
+        (0, f"concat({word}, ' ', upper({long}), ' ', {word})"),
+        (0, f"concat({word}, {put}, {long}, '\" ', {word})"),
+        (0, f"concat({word}, ' ', {cue}, ' ', {long}, ' ', {word})"),
+        (0, f"concat({word}, ' ', {cue}, {put}, {name}, '\" ', {word})"),
+        (0, f"concat({word}, ' ', {cue}, ': ', {short}, ' ', {word})"),
+        (0, f"concat({word}, ' ', {cue}, ' = ', {name}, '(', {word}, ')')"),
+        (0, f"concat({word}, ' ', {cue}, ' = ', left({letters}, 4 + pmod(id, 8)), '.', {word}, '(')"),
+        (0, f"concat({word}, ' ', {cue}, {sep}, 'https://', {word}, '.org ')"),
+        (0, f"concat({word}, ' ', {cue}, ' = ', element_at(array('None','null','true','example','changeme'), int(pmod(id, 5)) + 1), ' ', {word})"),
     ]
     case = " ".join(f"WHEN {k} THEN {text}" for k, (_, text) in enumerate(shapes))
     label = ", ".join(str(y) for y, _ in shapes)
@@ -109,14 +143,16 @@ def _with_features(df: DataFrame, text: str, path: str | None) -> DataFrame:
         f"CASE WHEN {has} THEN split(`{text}`, '{VALUE}', -1) ELSE array() END AS __pieces",
     )
     named = f"CAST(`{path}` AS STRING)" if path else "CAST(NULL AS STRING)"
-    made = split.selectExpr("*", f"{_candidates(text, named)} AS __candidates")
+    made = split.selectExpr("*", f"{_candidates(named)} AS __candidates")
     return made.selectExpr("*", f"transform(__candidates, c -> {_features('c')}) AS __features").drop("__candidates")
 
 
-def train(findings: DataFrame, trees: int = 15, depth: int = 5, seed: int = 3) -> str:
+def train(findings: DataFrame, trees: int = 15, depth: int = 8, seed: int = 3) -> str:
     """The forest as SQL over a struct ``f``: the mean share of secrets in the leaves it ends in."""
-    rows = _with_features(findings, "text", "path").selectExpr("label", "inline(__features)")
-    rows = rows.where("value RLIKE '[0-9]'").selectExpr("double(label) AS label", *FEATURES)
+    # a name that a value is assigned to is no secret, whatever the value is
+    rows = _with_features(findings, "text", "path").selectExpr("label", "posexplode(__features) AS (at, c)", "size(__features) AS n")
+    label = "CASE WHEN at < n - 1 THEN 0.0D ELSE double(label) END"
+    rows = rows.selectExpr(f"{label} AS label", *[f"c.{x}" for x in FEATURES])
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(vectors)
 
@@ -132,12 +168,11 @@ def train(findings: DataFrame, trees: int = 15, depth: int = 5, seed: int = 3) -
 
 
 def _scored(docs: DataFrame, forest: str, path: str | None) -> DataFrame:
-    score = f"CASE WHEN f.value RLIKE '[0-9]' THEN {forest} ELSE 0.0D END"
     return _with_features(docs, "text", path).selectExpr(
         *[f"`{c}`" for c in docs.columns],
         "__values",
         "__pieces",
-        f"transform(__features, f -> {score}) AS __scores",
+        f"transform(__features, f -> {forest}) AS __scores",
     )
 
 
@@ -148,7 +183,7 @@ def findings(docs: DataFrame, forest: str, path: str | None = None) -> DataFrame
     scored = _scored(slim, forest, "__path" if path else None)
     out = scored.selectExpr("doc_id", "posexplode(arrays_zip(__values, __scores)) AS (place, found)")
     out = out.selectExpr("doc_id", "place", "found.__values AS value", "found.__scores AS score")
-    return out.where("value RLIKE '[0-9]'").withColumn("is_secret", F.col("score") >= 0.5)
+    return out.withColumn("is_secret", F.col("score") >= 0.5)
 
 
 def redact(docs: DataFrame, forest: str, path: str | None = None, mark: str = "[SECRET]") -> DataFrame:
