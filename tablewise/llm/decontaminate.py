@@ -1,7 +1,7 @@
 """Benchmark decontamination: weighted shingle similarity of item-sized windows, without misses.
 
 Words are lower-cased runs of Unicode letters, marks and numbers (categories L, M, N); an item is the set of its
-shingles of five words (of all its words, if it has fewer), each weighted by how rare it is among the items. For
+shingles of five words (of all its words, if it has fewer), each weighted by how rare it is among all items. For
 every distinct item size, each window of that many words of a text is held against the items of that size: the
 weight of the common shingles by the weight of all shingles of window and item, foreign ones at full weight.
 A text with fewer words than an item is one window as a whole.
@@ -21,7 +21,8 @@ Texts are read in pieces of bounded size that overlap by an item.
 
 Texts and items without words match nothing. Items with equal words all match. Repeated rows match
 alike; ``matches`` returns each pair of ids once. Rows with a null id are in no pair but can be
-rejected. The benchmark is taken in blocks of ``block_items`` that are broadcast one after the other.
+rejected. The benchmark is taken in blocks of ``block_items`` that are broadcast one after the other, each with
+the counts of all shingles that two or more items share, so blocks give the same similarities as one.
 """
 
 from __future__ import annotations
@@ -116,19 +117,31 @@ class _Index:
         return window[ok], item[ok]
 
 
+@dataclass(frozen=True)
+class Rarity:
+    """Number of items with words in the whole benchmark, and of those that have a shingle, where it is two or more."""
+
+    items: int
+    shared: np.ndarray
+    times: np.ndarray
+
+
 class Benchmark:
     """A block of items, ready to be searched for; picklable, to be broadcast."""
 
-    def __init__(self, items: list[tuple[int, bytes]], settings: Settings = Settings()):
+    def __init__(self, items: list[tuple[int, bytes]], rarity: Rarity, settings: Settings = Settings()):
         self.settings, hashes = settings, Hashes()
         named = [(i, words_of(t)) for i, t in items]
         named = [(i, np.array([hashes[x] for x in w], dtype=np.uint64)) for i, w in named if w]
         sets = [np.unique(shingles(h, min(settings.words, len(h)))) for _, h in named]
-        known, times = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+        # shingles of items in other blocks weigh in a window too, those of one item only as much as foreign ones
+        known = np.unique(np.concatenate([*sets, rarity.shared]))
+        times = np.ones(len(known), dtype=np.int64)
+        times[np.searchsorted(known, rarity.shared)] = rarity.times
         # whole numbers, so that running totals are exact
         self.known = known
-        self.foreign = round(64 * (1 + np.log(max(1, len(named)))))
-        self.weight = np.round(64 * (1 + np.log(max(1, len(named)) / np.maximum(times, 1)))).astype(np.int64)
+        self.foreign = round(64 * (1 + np.log(max(1, rarity.items))))
+        self.weight = np.round(64 * (1 + np.log(max(1, rarity.items) / times))).astype(np.int64)
         self.maybe = np.zeros(_MASK + 1, dtype=bool)
         self.maybe[(known & np.uint64(_MASK)).astype(np.int64)] = True
         lightest = min([*self.weight.tolist(), self.foreign])
@@ -264,14 +277,35 @@ def _signs(sums: np.ndarray) -> np.ndarray:
     return bits.view("<u8").ravel().astype(np.uint64)
 
 
+def rarity(items: DataFrame, settings: Settings = Settings()) -> Rarity:
+    """Counts over all items, of a binary column ``t``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, sets = Hashes(), []
+            for text in batch.column("t").to_pylist():
+                h = np.array([hashes[x] for x in words_of(text)], dtype=np.uint64)
+                if len(h):
+                    sets.append(np.unique(shingles(h, min(settings.words, len(h)))))
+            # a null for each item
+            found = pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([found, pa.nulls(len(sets), pa.int64())])], names=["shingle"])
+
+    counts = items.select("t").mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
+    got = counts.where("shingle IS NULL OR times > 1").toArrow()
+    shingle, times = got.column("shingle"), got.column("times").to_numpy()
+    null = shingle.is_null().to_numpy()
+    return Rarity(int(times[null].sum()), shingle.drop_null().to_numpy().view(np.uint64), times[~null])
+
+
 def benchmark_blocks(benchmark: DataFrame, settings: Settings = Settings()) -> Iterator[Benchmark]:
     """The items in blocks of about ``block_items`` by the hash of their id."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     items = items.select(F.col("item_id").alias("i"), F.col("text").cast("binary").alias("t"))
-    blocks = max(1, -(-items.count() // settings.block_items))
+    blocks, counted = max(1, -(-items.count() // settings.block_items)), rarity(items, settings)
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()
-        yield Benchmark(sorted((r[0], bytes(r[1])) for r in rows), settings)
+        yield Benchmark(sorted((r[0], bytes(r[1])) for r in rows), counted, settings)
 
 
 def _finder(shared):

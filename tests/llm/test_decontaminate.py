@@ -93,6 +93,19 @@ def test_blocks_of_items_find_verbatim_copies(spark, planted):
     assert dc.clean(docs, bench, small).count() == 0
 
 
+def test_blocks_give_the_pairs_and_similarities_of_one(spark, planted):
+    texts, items = planted
+    common = "a line that many of the items have at their end".split()
+    items = [(i, t if i % 2 else " ".join([*t.split(), *common])) for i, t in items]
+    edited = [(2000 + i, " ".join([*t.split()[1:-1], "edited"])) for i, t in items]
+    docs, bench = frames(spark, [*texts, *edited], items)
+    small = dc.Settings(block_items=10)
+    found = similarities(dc.matches(docs, bench, small))
+    assert found == pytest.approx(similarities(dc.matches(docs, bench)))
+    assert found == pytest.approx(exact([*texts, *edited], items))
+    assert sum(s < 1 for s in found.values()) > 20
+
+
 def test_multi_index_finds_all_within_the_radius():
     import numpy as np
 
