@@ -98,8 +98,7 @@ def als_error(spark, folder):
 def als_grid_search(spark, folder):
     pairs = stored(ratings.mean_ratings(tables.reviews(spark, folder)), "pairs")
     coded = stored(als.encode(pairs, als.index_ids(pairs)), "encoded")
-    grid = {"maxIter": [2], "regParam": [0.1, 1.0], "rank": [5]}
-    search = als.tune_als(coded, grid, folds=2, blocks=4)
+    search = als.tune_als(coded, blocks=4)
     rows = [
         (float(m), *[float(p[param]) for param in sorted(p, key=lambda x: x.name)])
         for m, p in zip(search.avgMetrics, search.getEstimatorParamMaps())

@@ -42,3 +42,10 @@ def test_queries_without_sql_give_whole_lists(spark):
     assert len(lists) == users and {r["count"] for r in lists} == {13}
     assert run("als_error").first().rmse > 0
     assert run("kmeans_euclidean_start").count() == spark.read.parquet(f"{FOLDER}/customer.parquet").count()
+
+
+def test_grid_search_tries_every_setting(spark):
+    rows = entry.queries()["als_grid_search"](spark, FOLDER).collect()
+    want = {(m, r, k) for m in (5, 10, 15) for r in (0.01, 0.1, 1.0) for k in (10, 50, 100)}
+    assert len(rows) == 27 and {(x.max_iter, x.reg_param, x.rank) for x in rows} == want
+    assert all(x.rmse > 0 for x in rows)
