@@ -309,7 +309,7 @@ def streamed_changes(spark, folder):
     FROM (SELECT gmap_id FROM base UNION SELECT gmap_id FROM after) LEFT JOIN after USING (gmap_id) GROUP BY gmap_id"""
 )
 def streamed_item_stats(spark, folder):
-    return review_stream.current_item_stats(spark, _run_changes(spark, folder))
+    return review_stream.current_item_stats(spark, _run_changes(spark, folder, batches=4))
 
 
 @query(
@@ -344,7 +344,7 @@ def streamed_recommendations(spark, folder):
     top = ratings.mean_ratings(tables.reviews(spark, folder)).groupBy("user_id").agg(
         F.array(F.struct(F.max_by("gmap_id", "rating").alias("gmap_id"), F.max("rating").alias("score"))).alias("recommendations")
     )
-    root = _run_changes(spark, folder, model)
+    root = _run_changes(spark, folder, model, batches=4)
     merged = review_stream.current_recommendations(spark, root, top)
     listed = merged.select("user_id", F.posexplode("recommendations").alias("pos", "r"))
     return listed.select("user_id", "pos", "r.gmap_id", F.round("r.score", 6).alias("score"))
