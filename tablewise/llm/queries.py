@@ -14,6 +14,7 @@ from tablewise.llm import (
     pii,
     quality_knn,
     quality_rules,
+    resampling,
     secrets,
     toxicity,
 )
@@ -168,3 +169,34 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_knn.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality_knn.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
+_CRC = """t AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
+    crc AS MATERIALIZED (SELECT x, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(x))),
+    lambda i: CAST('0x' || substr(hex(encode(x)), 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(step[xor(c, b) % 256 + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT x FROM f), t)"""
+
+
+@query(
+    rf"""WITH w AS (SELECT doc_id, 0 AS side, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents UNION ALL
+    SELECT item_id, 1, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+    f AS MATERIALIZED (SELECT doc_id, side, unnest(w) AS x FROM w), {_CRC},
+    c AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f JOIN crc USING (x) GROUP BY bucket),
+    g AS (SELECT bucket, CAST(floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE /
+    ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE)) AS BIGINT) AS gain FROM c),
+    m AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight
+    FROM f JOIN crc USING (x) JOIN g USING (bucket) WHERE side = 0 GROUP BY doc_id),
+    z AS (SELECT w.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(
+    -1000 * ln(-ln((CAST('0x' || left(sha256('2024:' || w.doc_id), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+    FROM w LEFT JOIN m ON m.doc_id = w.doc_id WHERE side = 0),
+    r AS (SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id) AS rank,
+    count(*) FILTER (n_features >= 20) OVER () AS n FROM z)
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank FROM r"""
+)
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn by how much their words resemble the benchmark's."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.draw(docs, table(spark, sf_dir, "benchmark"))
