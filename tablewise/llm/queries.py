@@ -16,6 +16,7 @@ from tablewise.llm import (
     quality_rules,
     resampling,
     secrets,
+    suffix_dedup,
     toxicity,
 )
 from tablewise.llm.rows import held_out, table
@@ -200,3 +201,9 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents, drawn by how much their words resemble the benchmark's."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return resampling.draw(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What 400-byte strings that come again leave of every document."""
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
