@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablewise.llm import (
     bpe,
     chat,
+    collocations,
     decontaminate,
     hilbert,
     near_dup,
@@ -207,3 +208,28 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What 400-byte strings that come again leave of every document."""
     return suffix_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(
+    r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+    g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+    FROM p, (SELECT unnest(range(1, 5)) AS m)),
+    f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 30),
+    cuts AS (SELECT lang, m, phrase, n, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+    s AS (SELECT c.lang, c.phrase, c.n AS a, k, x.n AS l, y.n AS r, c.n::HUGEINT * 2000000 // (x.n + y.n) AS score FROM cuts c
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[:k], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+    low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    sizes AS (SELECT lang, m, n, string_split(phrase, ' ') AS w, unnest(range(2, m)) AS size FROM f WHERE m > 2),
+    inside AS (SELECT lang, unnest(list_transform(range(1, m - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase, n
+    FROM sizes),
+    longer AS (SELECT lang, phrase, max(n) AS longer FROM inside GROUP BY ALL),
+    words AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+    best AS (SELECT low.*, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase) AS rank FROM low
+    LEFT JOIN longer ON longer.lang = low.lang AND longer.phrase = low.phrase WHERE longer IS NULL OR 100 * longer < 80 * a)
+    SELECT best.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM best JOIN words ON words.lang = best.lang WHERE rank <= 2000"""
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language that come together most."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
