@@ -7,8 +7,8 @@ well-known key, its path, and the text before and behind it, other candidates in
 trained from labelled findings, says which ones are secrets; words and names are candidates like others.
 
 Main path: DataFrame and SQL functions only. A text is split once at its candidates, features are a
-``transform`` over them, and the forest is written out as SQL conditions, so scoring and redaction
-happen within the row: no explode, join or shuffle, whatever a document holds.
+``transform`` over them, and the forest is written out as arrays that an ``aggregate`` walks, so scoring
+and redaction happen within the row: no explode, join or shuffle, whatever a document holds.
 
 The given tables label no findings; ``labelled_findings`` makes them by rule from well-known shapes
 of secrets and of look-alikes (commits, checksums, card numbers, placeholders, identifiers). Own
@@ -19,17 +19,30 @@ Null and empty texts have no candidates and stay as they are. Repeated rows are
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
+from dataclasses import dataclass
+
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewise.shared import stored
+
 # fixed values: shape of a candidate, and words that tell what it is
 WORDS = (
     "access account admin api app auth bucket change client code commit config credential data default demo "
     "dummy example file fixture foo bar here image insert item key local login master module name none node "
     "null number object package pass password path placeholder private prod public replace sample secret "
-    "server service session source string sync test token update url user value version your"
+    "server service session source string sync test token update url user value version your "
+    # prose
+    "about after also been before but can could from have into more must not only other over same some such than that "
+    "the their them then there these they this through under until were what when where which while who will with would "
+    "aber als auch aus bei dass dem den der des die durch ein eine einen einer für hat ich ihre ist kann mehr mit nach nicht "
+    "noch nur oder sein sich sie sind und vom von vor war wenn werden wie wird wurde zum zur über "
+    "avec ces cette comme dans des dont elle est être fait ils les leur mais même nous par pas plus pour que qui sans "
+    "ses son sont sur tous très une vous "
+    "como con cuando del donde ella ellos entre era esta este están hasta las los muy más ningún otra para pero porque "
+    "ser sin sobre son sus también tiene todo una"
 ).split()
 CUES = "secret|token|passw(or)?d|pwd|api[_-]?key|apikey|auth|credential|bearer|private[_-]?key|access[_-]?key"
 ASSIGNED = "(?<![A-Za-z0-9])(?=[A-Za-z0-9])(?<=[=:>][^A-Za-z0-9]{0,8})(?<=(?i:%s)[A-Za-z0-9_]{0,12}[^A-Za-z0-9]{1,14})" % CUES
@@ -62,7 +75,7 @@ def _features(c: str) -> str:
             '(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]|(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]|[+/_=-]') / {n},
         'digits', length(regexp_replace({c}.value, '[^0-9]', '')) / {n},
         'covered', 1 - length(regexp_replace(lower({c}.value), '{words}', '')) / {n},
-        'varied', size(array_distinct(split(left({c}.value, 64), ''))) / least({n}, 64),
+        'varied', size(array_distinct(split({c}.value, ''))) / least({n}, 64),
         'quiet_path', double(coalesce(lower({c}.path) RLIKE '{QUIET_PATHS}', false)),
         'cue', double(lower({c}.before) RLIKE '({CUES})[a-z0-9_]{{0,12}}[^A-Za-z0-9]{{0,14}}$'),
         'other', double(lower({c}.before) RLIKE '({OTHERS})[^A-Za-z0-9]{{0,14}}$'
@@ -147,36 +160,102 @@ def _with_features(df: DataFrame, text: str, path: str | None) -> DataFrame:
     return made.selectExpr("*", f"transform(__candidates, c -> {_features('c')}) AS __features").drop("__candidates")
 
 
-def train(findings: DataFrame, trees: int = 15, depth: int = 8, seed: int = 3) -> str:
-    """The forest as SQL over a struct ``f``: the mean share of secrets in the leaves it ends in."""
+@dataclass(frozen=True)
+class Forest:
+    """Trees as flat arrays, joined by commas: the feature a node asks for (from 1, 0 in a leaf), its
+    threshold, its left child (the right one is next to it) and the share of secrets in a leaf."""
+
+    roots: str
+    depth: int
+    feature: str
+    threshold: str
+    child: str
+    value: str
+
+    def score(self) -> str:
+        """SQL over the array ``f`` of features: the mean share of the leaves that it ends in."""
+
+        def listed(numbers: str, kind: str) -> str:
+            return f"CAST(split('{numbers}', ',') AS ARRAY<{kind}>)"  # folded to one literal
+
+        feature, threshold = listed(self.feature, "INT"), listed(self.threshold, "DOUBLE")
+        child, value = listed(self.child, "INT"), listed(self.value, "DOUBLE")
+        right = f"int(element_at(f, element_at({feature}, node)) > element_at({threshold}, node))"
+        step = f"IF(element_at({feature}, node) = 0, node, element_at({child}, node) + {right})"
+        leaf = f"aggregate(sequence(0, {self.depth}), root, (node, at) -> {step})"
+        roots = listed(self.roots, "INT")
+        return f"aggregate({roots}, 0D, (sum, root) -> sum + element_at({value}, {leaf})) / size({roots})"
+
+
+def _constant(share: float) -> Forest:
+    return Forest("1", 0, "0", "0", "0", repr(share))
+
+
+def feature_rows(findings: DataFrame) -> DataFrame:
+    """``label`` and features of every candidate in the findings, stored."""
+    # the findings are an expression of many cases: stored, or it would be copied into every feature
+    made = _with_features(stored(findings.select("text", "path", "label"), "findings"), "text", "path")
+    rows = made.selectExpr("label", "posexplode(__features) AS (at, c)", "size(__features) AS n")
     # a name that a value is assigned to is no secret, whatever the value is
-    rows = _with_features(findings, "text", "path").selectExpr("label", "posexplode(__features) AS (at, c)", "size(__features) AS n")
     label = "CASE WHEN at < n - 1 THEN 0.0D ELSE double(label) END"
-    rows = rows.selectExpr(f"{label} AS label", *[f"c.{x}" for x in FEATURES])
+    return stored(rows.where("label IS NOT NULL").selectExpr(f"{label} AS label", *[f"c.{x}" for x in FEATURES]), "features")
+
+
+def train(findings: DataFrame, trees: int = 15, depth: int = 8, seed: int = 3) -> Forest:
+    """A forest fitted to the findings. Without findings nothing is a secret; with one label all
+    candidates get that label."""
+    rows = feature_rows(findings)
+    least, most = rows.agg(F.min("label"), F.max("label")).first()
+    if least is None or least == most:
+        return _constant(least or 0.0)
+    return written_out(fitted(rows, trees, depth, seed))
+
+
+def fitted(rows: DataFrame, trees: int, depth: int, seed: int) -> RandomForestClassificationModel:
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(vectors)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(vectors)
+
+
+def written_out(model: RandomForestClassificationModel) -> Forest:
+    """The model's trees as arrays."""
+    feature, threshold, child, value, roots = [], [], [], [], []
 
-    def conditions(node) -> str:
-        if node.subtreeDepth() == 0:
-            counts = list(node.impurityStats().stats())
-            return f"{counts[1] / sum(counts):.6f}D"
-        at = node.split()
-        left, right = conditions(node.leftChild()), conditions(node.rightChild())
-        return f"CASE WHEN f.{FEATURES[at.featureIndex()]} <= {at.threshold():.9f}D THEN {left} ELSE {right} END"
+    def place(node) -> None:
+        feature.append(0)
+        threshold.append(0.0)
+        child.append(0)
+        counts = list(node.impurityStats().stats())
+        value.append(counts[1] / sum(counts))
 
-    return f"({' + '.join(conditions(t._java_obj.rootNode()) for t in forest.trees)}) / {trees}"
+    for tree in model.trees:
+        roots.append(len(feature) + 1)
+        place(tree._java_obj.rootNode())
+        open_ = [(tree._java_obj.rootNode(), roots[-1])]
+        for node, at in open_:  # grows while it is walked
+            if node.subtreeDepth() == 0:
+                continue
+            feature[at - 1] = node.split().featureIndex() + 1
+            threshold[at - 1] = node.split().threshold()
+            child[at - 1] = len(feature) + 1
+            for below in (node.leftChild(), node.rightChild()):
+                place(below)
+                open_.append((below, len(feature)))
+    joined = [",".join(map(repr, v)) for v in (roots, feature, threshold, child, value)]
+    return Forest(joined[0], max(t.depth for t in model.trees), *joined[1:])
 
 
-def _scored(docs: DataFrame, forest: str, path: str | None) -> DataFrame:
+def _scored(docs: DataFrame, forest: Forest, path: str | None) -> DataFrame:
+    asked = ", ".join(f"c.{x}" for x in FEATURES)
+    scored = f"element_at(transform(array(array({asked})), f -> {forest.score()}), 1)"
     return _with_features(docs, "text", path).selectExpr(
         *[f"`{c}`" for c in docs.columns],
         "__values",
         "__pieces",
-        f"transform(__features, f -> {forest}) AS __scores",
+        f"transform(__features, c -> {scored}) AS __scores",
     )
 
 
-def findings(docs: DataFrame, forest: str, path: str | None = None) -> DataFrame:
+def findings(docs: DataFrame, forest: Forest, path: str | None = None) -> DataFrame:
     """One row per candidate: ``doc_id``, its ``place`` among the document's candidates, ``value``,
     ``score`` and whether it ``is_secret``."""
     slim = docs.select("doc_id", "text", *([F.col(path).alias("__path")] if path else []))
@@ -186,7 +265,7 @@ def findings(docs: DataFrame, forest: str, path: str | None = None) -> DataFrame
     return out.withColumn("is_secret", F.col("score") >= 0.5)
 
 
-def redact(docs: DataFrame, forest: str, path: str | None = None, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, forest: Forest, path: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every secret replaced by ``mark``; all columns stay, ``n_chars`` follows."""
     scored = _scored(docs, forest, path)
     rebuilt = f"""concat(array_join(transform(arrays_zip(__pieces, __values, __scores),

@@ -99,3 +99,35 @@ def test_no_python_in_the_plan(spark, forest):
     for df in (secrets.findings(docs, forest), secrets.redact(docs, forest, "source")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_written_out_forest_is_sparks_own(spark):
+    findings = secrets.labelled_findings(spark)
+    rows = secrets.feature_rows(findings)
+    model = secrets.fitted(rows, 15, 8, 3)
+    forest = secrets.written_out(model)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", F.col("source").alias("path"))
+    asked = docs.select("text", "path", F.lit(0).alias("label"))
+    names = ", ".join(secrets.FEATURES)
+    for candidates in (rows, secrets.feature_rows(asked)):
+        both = secrets.VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="features").transform(candidates)
+        scored = both.selectExpr("*", f"element_at(transform(array(array({names})), f -> {forest.score()}), 1) AS own")
+        got = model.transform(scored).select("own", "probability").collect()
+        assert len(got) > 100 and max(abs(r.own - r.probability[1]) for r in got) < 1e-9
+
+
+def test_no_findings_and_one_label(spark):
+    findings = secrets.labelled_findings(spark, 200)
+    docs = spark.createDataFrame([(1, f"token = '{HEX}' y")], "doc_id long, text string")
+    for chosen, share in ((findings.limit(0), 0.0), (findings.where("label = 0"), 0.0)):
+        assert [r.score for r in secrets.findings(docs, secrets.train(chosen)).collect()] == [share]
+    names = findings.where("label = 1 AND size(split(text, ' ')) < 0")
+    assert secrets.train(names).score() and secrets.redact(docs, secrets.train(names)).first().text == docs.first().text
+    one = spark.createDataFrame([(f"x '{HEX}' y", None, 1)] * 3, "text string, path string, label int")
+    assert [r.is_secret for r in secrets.findings(docs, secrets.train(one)).collect()] == [True]
+
+
+def test_long_values_are_looked_at_whole(spark):
+    text = "x token = '" + "a" * 100 + "Zq7Lw2Rt9Xc4Vb1Nm8Kj3Hg6" * 4_000 + "' y"
+    rows = spark.createDataFrame([(text, None, 1)], "text string, path string, label int")
+    assert secrets.feature_rows(rows).first().varied > 20 / 64
