@@ -45,8 +45,8 @@ from tablewise.shared import stored
 class Settings:
     length: int = 400  # bytes of a string that may come once
     gram: int = 128  # bytes of an anchor: a power of two from 8 on, at most ``length``
-    shard_bytes: int = 4 << 20  # bytes sorted together
-    hot: int = 2000  # different segments of one anchor in one shard
+    shard_bytes: int = 1 << 20  # bytes sorted together
+    hot: int = 1000  # different segments of one anchor in one shard
     filter_bits: int = 1 << 26  # of the bitmaps that keep texts back
 
 
@@ -130,7 +130,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int, stretch: in
 # --- segments --------------------------------------------------------------------------------------
 
 _PLACE = np.uint64((1 << 24) - 1)  # low bits of a key: where it is
-_PIECE = 4 << 20  # window starts that are looked at together
+_PIECE = 1 << 20  # window starts that are looked at together
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
