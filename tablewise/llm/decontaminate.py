@@ -1,4 +1,4 @@
-"""Benchmark decontamination: weighted shingle similarity of item-sized windows, without misses.
+"""Benchmark decontamination: SimHash of item-sized windows, verified by weighted shingles, without misses.
 
 Words are lower-cased runs of Unicode letters, marks and numbers (categories L, M, N); an item is the set of its
 shingles of five words (of all its words, if it has fewer), each weighted by how rare it is among all items. For
@@ -7,15 +7,18 @@ weight of the common shingles by the weight of all shingles of window and item,
 A text with fewer words than an item is one window as a whole.
 
 A window whose shingles known to the benchmark weigh less than ``hundredths`` of the lightest item of
-its size cannot reach the threshold; that bound is exact and spares clean text nearly all the work. Of an item,
-a matching window lacks less than the rest to a hundred by weight, so it holds one of any shingles that weigh more
-than that: items are filed under their rarest such shingles, and those found are candidates. Sums of distinct
-shingles come for all windows at once, since a shingle counts in the windows that begin after its last occurrence.
-
-Sizes whose windows can match only with a set of shingles equal to an item's are looked up by SimHash instead: a
-64-bit fingerprint, the signs of the weighted sum of the bit vectors of the distinct shingles, in a multi-index at
-radius 0. At larger sizes about 10 of 64 bits differ at a threshold of 80, and a radius with fewer than one miss in a
-million (26) would file an item under a quarter of all block values, so no radius is used there.
+its size cannot reach the threshold; that bound is exact and spares clean text nearly all the work. Every other
+window gets a SimHash, the signs of the weighted sum of the bit vectors of its distinct known shingles, and a
+multi-index gives all items of its size whose fingerprint is within ``radius`` bits: of six blocks of the 64 bits one
+differs in a sixth of them at most, and items are filed under all values that near. These candidates are verified by
+their exact weighted similarity. Sums of distinct shingles come for all windows at once, since a shingle counts in the
+windows that begin after its last occurrence.
+
+At the threshold about 10 of 64 bits differ, and no selective radius is without misses, so what the fingerprints do
+not give is looked up in an exact way behind them: of an item, a matching window lacks less than the rest to a hundred
+by weight, so it holds one of any shingles that weigh more than that, and items are also filed under their rarest
+such shingles. The items found there that no fingerprint gave are verified as the others. ``exact=False`` leaves
+this out, to measure what the fingerprints find alone.
 
 Texts are read in pieces of bounded size that overlap by an item.
 
@@ -29,7 +32,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -50,9 +53,10 @@ _MASK = (1 << 20) - 1
 class Settings:
     words: int = 5
     hundredths: int = 80
-    radius: int = 16  # bits of 64 that an index is made for
+    radius: int = 16  # bits of 64 in which a fingerprint may differ
     blocks: int = 6
     block_items: int = 20_000
+    exact: bool = True  # also look for what the fingerprints miss
 
 
 class Hashes(dict):
@@ -144,12 +148,11 @@ class Benchmark:
         self.weight = np.round(64 * (1 + np.log(max(1, rarity.items) / times))).astype(np.int64)
         self.maybe = np.zeros(_MASK + 1, dtype=bool)
         self.maybe[(known & np.uint64(_MASK)).astype(np.int64)] = True
-        lightest = min([*self.weight.tolist(), self.foreign])
         self.by_size: dict[int, _Items] = {}
         for size in sorted({len(h) for _, h in named}):
             mine = [k for k, (_, h) in enumerate(named) if len(h) == size]
             places = [np.searchsorted(known, sets[k]) for k in mine]
-            self.by_size[size] = _Items([named[k][0] for k in mine], places, self, lightest)
+            self.by_size[size] = _Items([named[k][0] for k in mine], places, self)
 
     def vectors(self, places: np.ndarray) -> np.ndarray:
         """Weighted signs of the bits of known shingles."""
@@ -201,7 +204,10 @@ class Benchmark:
             return
         # hits that some such window holds
         near = np.searchsorted(starts, hits - n + 1) < np.searchsorted(starts, hits, side="right")
-        candidates = items.candidates(self, places, hits[near], first[near], starts, n)
+        candidates = items.alike(self, places, hits[near], first[near], starts)
+        if self.settings.exact:
+            rest = items.sharing(places[hits[near]])
+            candidates = np.concatenate([candidates, np.setdiff1d(rest, candidates, assume_unique=True)])
         if not len(candidates):
             return
         strange = np.flatnonzero(places < 0)
@@ -221,36 +227,36 @@ class Benchmark:
 class _Items:
     """The items of one size, with the means to find those that a window can match."""
 
-    def __init__(self, ids: list, places: list[np.ndarray], block: Benchmark, lightest: int):
-        self.ids, self.places = ids, places
+    def __init__(self, ids: list, places: list[np.ndarray], block: Benchmark):
+        self.ids, self.places, self.settings, self.index = ids, places, block.settings, None
         self.weights = [int(block.weight[p].sum()) for p in places]
         self.least = min(self.weights)
-        share, self.index = block.settings.hundredths, None
-        # whatever a window lacks or has besides takes it below the threshold
-        if all(100 * w < share * (w + lightest) and 100 * (w - lightest) < share * w for w in self.weights):
-            prints = _signs(np.stack([block.vectors(p).sum(axis=0) for p in places]))
-            self.exact = replace(block.settings, radius=0)
-            self.index = _Index(prints, self.exact)
-            return
+        self.prints = _signs(np.stack([block.vectors(p).sum(axis=0) for p in places]))
         filed, owners = [], []
         for k, (p, whole) in enumerate(zip(places, self.weights)):
             rare = p[np.argsort(-block.weight[p], kind="stable")]
             # the first that weigh more than what a matching window may lack
-            enough = int(np.searchsorted(100 * np.cumsum(block.weight[rare]), (100 - share) * whole, side="right")) + 1
+            lack = (100 - block.settings.hundredths) * whole
+            enough = int(np.searchsorted(100 * np.cumsum(block.weight[rare]), lack, side="right")) + 1
             filed.append(rare[:enough])
             owners.append(np.full(len(filed[-1]), k))
         filed, owners = np.concatenate(filed), np.concatenate(owners)
         order = np.argsort(filed, kind="stable")
         self.filed, self.owners = filed[order], owners[order]
 
-    def candidates(self, block: Benchmark, places, hits, first, starts, n) -> np.ndarray:
-        """Items that a window from one of ``starts`` can match, each once."""
-        if self.index is None:
-            seen = np.unique(places[hits])
-            lo, hi = np.searchsorted(self.filed, seen), np.searchsorted(self.filed, seen, side="right")
-            return np.unique(np.concatenate([self.owners[a:b] for a, b in zip(lo, hi)] or [hi]))
-        sums = np.stack([_windows(first, hits, v, int(starts[-1]) + 1)[starts] for v in block.vectors(places[hits]).T], axis=1)
-        return np.unique(self.index.search(_signs(sums), self.exact)[1])
+    def alike(self, block: Benchmark, places, hits, first, starts) -> np.ndarray:
+        """Items with a fingerprint near that of a window from one of ``starts``, each once."""
+        if self.index is None:  # made in the task, not sent to it
+            self.index = _Index(self.prints, self.settings)
+        sums = [_windows(first, hits, v, int(starts[-1]) + 1)[starts] for v in block.vectors(places[hits]).T]
+        prints = np.unique(_signs(np.stack(sums, axis=1)))
+        return np.unique(self.index.search(prints, self.settings)[1])
+
+    def sharing(self, places: np.ndarray) -> np.ndarray:
+        """Items filed under one of the shingles, each once."""
+        seen = np.unique(places)
+        lo, hi = np.searchsorted(self.filed, seen), np.searchsorted(self.filed, seen, side="right")
+        return np.unique(np.concatenate([self.owners[a:b] for a, b in zip(lo, hi)] or [hi]))
 
 
 def _first_starts(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:

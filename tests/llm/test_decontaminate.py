@@ -223,3 +223,23 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert dc.matches(docs.limit(0), bench).count() == 0 and dc.matches(docs, bench.limit(0)).count() == 0
     assert dc.clean(docs, bench.limit(0)).count() == 1 and dc.clean(docs, bench).count() == 0
+
+
+def test_recall_of_the_fingerprints_alone(spark, planted):
+    texts, items = planted
+    rnd = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    long = [(1000 + i, " ".join(rnd.choices(vocabulary, k=rnd.randint(15, 120)))) for i in range(120)]
+    edited = []
+    for d, (_, item) in enumerate(long * 5):
+        w = item.split()
+        # as many edits as the threshold bears, at an end or next to each other
+        for k in range(rnd.randrange(max(1, len(w) // 12))):
+            w[-1 - k] = "edited"
+        edited.append((2000 + d, " ".join([*rnd.choices(vocabulary, k=40), *w, *rnd.choices(vocabulary, k=40)])))
+    docs = spark.createDataFrame([*texts, *edited], "doc_id long, text string")
+    bench = spark.createDataFrame([*items, *long], "item_id long, text string")
+    pairs = lambda s: {(r.doc_id, r.item_id) for r in dc.matches(docs, bench, s).collect()}
+    alone, all_ = pairs(dc.Settings(exact=False)), pairs(dc.Settings())
+    assert all_ == brute([*texts, *edited], [*items, *long])
+    assert alone <= all_ and len(alone) >= 0.97 * len(all_) and len(all_) > 600
