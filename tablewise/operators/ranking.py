@@ -52,17 +52,26 @@ def global_rank(df: DataFrame, *order: Column | str, rank: str = "rank") -> Data
     plus the row counts of the partitions before it. Only one row per partition is summed in one
     task.
     """
+    part, place, size, start = (free_name(df, n) for n in ("_part", "_place", "_size", "_start"))
     placed = cut(df.orderBy(*order)).select(
         "*",
-        F.spark_partition_id().alias("_part"),
-        (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("_place"),
+        F.spark_partition_id().alias(part),
+        (F.monotonically_increasing_id() % F.lit(1 << 33)).alias(place),
     )
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = sizes.select("_part", (F.sum("_size").over(before) - F.col("_size")).alias("_start"))
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias(size))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = sizes.select(part, (F.sum(size).over(before) - F.col(size)).alias(start))
     # one row per partition, so its size is bounded by the number of partitions
     return (
-        placed.join(F.broadcast(starts), "_part")
-        .withColumn(rank, F.col("_start") + F.col("_place") + 1)
-        .drop("_part", "_place", "_start")
+        placed.join(F.broadcast(starts), part)
+        .withColumn(rank, F.col(start) + F.col(place) + 1)
+        .drop(part, place, start)
     )
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
