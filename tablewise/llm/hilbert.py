@@ -6,20 +6,24 @@ within it, neighbouring files, so files can be left out by the minimum and maxim
 dimensions. Everything is DataFrame functions: the curve is a table-driven state machine run by
 ``aggregate`` over the bits of the cells.
 
-Text dimensions are ordered by their first six bytes. A null cell comes first. Rows in one cell are
-ordered by the text's CRC, then by size and id, so equal texts are neighbours and a cell with very many
-rows is split like any other. Rows that are equal in all of these take their places in any order.
-A dimension that holds only nulls or one value has one cell; an empty table gives no rows.
+Text dimensions are quantised by whole values: the distinct ones are counted, range-sorted and summed up,
+and the values at which the sum passes a quantile are the bounds. A null cell comes first. Rows with equal
+texts (null and empty are equal) take the first cell on the curve that any of them has, and rows in one
+cell are ordered by the text's CRC and hash, then by size and id. So equal texts are one run, which
+only a cut between shards can divide, and a cell with very many rows is split like any other. Rows that are
+equal in all of these take their places in any order. A dimension that holds only nulls or one value has
+one cell; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewise.operators.ranking import global_rank
+from tablewise.operators.ranking import free_name, global_rank
+from tablewise.shared import cut, stored
 
 DIMENSIONS = ("lang", "source", "n_chars")
 
@@ -81,54 +85,67 @@ def hilbert_index(cells: Sequence[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["index"])
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column."""
-    if dict(df.dtypes)[name] != "string":
-        return F.col(name).cast("double")
-    head = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+def _text_bounds(df: DataFrame, name: str, cells_: int) -> list[str]:
+    """Values of a text column up to which each share of the rows that have one lies: one per cut."""
+    values = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(values.orderBy("value")).withColumn("part", F.spark_partition_id())
+    sizes = placed.groupBy("part").agg(F.sum("n").alias("rows"))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one row per partition
+    starts = sizes.select("part", (F.sum("rows").over(upto) - F.col("rows")).alias("start"), F.sum("rows").over(Window.partitionBy()).alias("all"))
+    within = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = placed.withColumn("sum", F.sum("n").over(within)).join(F.broadcast(starts), "part")
+    passed = summed.selectExpr(
+        "value", f"(start + sum) * {cells_} DIV all - (start + sum - n) * {cells_} DIV all AS cuts"
+    )
+    return [r.value for r in passed.where("cuts > 0").orderBy("value").collect() for _ in range(r.cuts)][: cells_ - 1]
 
 
 def cells(df: DataFrame, dimensions: Sequence[str], bits: int) -> list[Column]:
-    """Quantile cell of each dimension, 0 for null; the bounds are found in one pass over all rows."""
+    """Quantile cell of each dimension, 0 for null; bounds come from all rows."""
+    texts = [d for d in dimensions if dict(df.dtypes)[d] == "string"]
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    asked = [F.percentile_approx(_number(df, d), shares, 10_000).alias(f"__{k}") for k, d in enumerate(dimensions)]
-    bounds = df.agg(*asked).first()
+    bounds = {d: _text_bounds(df, d, 1 << bits) for d in texts}
+    numbers = [d for d in dimensions if d not in texts]
+    if numbers:
+        asked = [F.percentile_approx(F.col(d).cast("double"), shares, 10_000).alias(d) for d in numbers]
+        bounds |= df.agg(*asked).first().asDict()
 
-    def cell(name: str, found: list | None) -> Column:
-        value = _number(df, name)
-        cut = F.array(*[F.lit(float(b)) for b in found or []]).cast("array<double>")
-        return F.when(value.isNull(), 0).otherwise(F.size(F.filter(cut, lambda b: b < value)))
+    def cell(name: str) -> Column:
+        kind = "string" if name in texts else "double"
+        value = F.col(name).cast(kind)
+        found = F.array(*[F.lit(b) for b in bounds[name] or []]).cast(f"array<{kind}>")
+        return F.when(value.isNull(), 0).otherwise(F.size(F.filter(found, lambda b: b < value)))
 
-    return [cell(d, bounds[k]) for k, d in enumerate(dimensions)]
+    return [cell(d) for d in dimensions]
 
 
-def assign(
-    docs: DataFrame,
-    shards: int = 16,
-    dimensions: Sequence[str] = DIMENSIONS,
-    bits: int = 4,
-    order: Sequence[str] = ("text_crc32", "size", "doc_id"),
-) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot``: runs along the curve whose lengths differ by one at most.
+def assign(docs: DataFrame, shards: int = 16, dimensions: Sequence[str] = DIMENSIONS, bits: int = 4) -> DataFrame:
+    """``docs``, measured, with ``shard`` and ``slot``: runs along the curve whose lengths differ by one at most.
 
-    A column of these names is replaced.
+    A column of these names is replaced. The given columns are stored first, so leave the text out where
+    only places are asked for.
     """
-    kept = docs.drop("shard", "slot", "__curve", "__rank")
-    total = docs.count()
-    on_curve = kept.withColumn("__curve", hilbert_index(cells(kept, dimensions, bits), bits))
-    ranked = global_rank(on_curve, "__curve", *order, rank="__rank")
-    rows = max(total, 1)
-    shard = F.expr(f"CAST((__rank - 1) * {shards}L DIV {rows}L AS INT)")
-    first = F.expr(f"(shard * {rows}L + {shards - 1}L) DIV {shards}L")
-    placed = ranked.withColumn("shard", shard).withColumn("slot", F.col("__rank") - 1 - first)
-    return placed.drop("__curve", "__rank")
+    curve, rank, first, copies = (free_name(docs, n) for n in ("__curve", "__rank", "__first", "__copies"))
+    kept = stored(docs.drop("shard", "slot"), "measured")
+    total = kept.count()
+    on_curve = stored(kept.withColumn(curve, hilbert_index(cells(kept, dimensions, bits), bits)), "curve")
+    groups = on_curve.groupBy("text_hash", "text_crc32", "size").agg(F.min(curve).alias(first), F.count(F.lit(1)).alias(copies))
+    groups = groups.where(F.col(copies) > 1).drop(copies)
+    together = on_curve.join(groups, ["text_hash", "text_crc32", "size"], "left")
+    together = together.withColumn(curve, F.coalesce(first, curve)).select(*kept.columns, curve)
+    ranked = global_rank(together, curve, "text_crc32", "text_hash", "size", "doc_id", rank=rank)
+    rows, at = max(total, 1), f"(`{rank}` - 1)"
+    shard = f"CAST({at} * {shards}L DIV {rows}L AS INT)"
+    slot = f"{at} - ({shard} * {rows}L + {shards - 1}L) DIV {shards}L"
+    return ranked.selectExpr(*[f"`{c}`" for c in kept.columns], f"{shard} AS shard", f"{slot} AS slot")
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``size`` (UTF-8 bytes and one) and ``text_crc32`` of the text, null as empty."""
+    """``docs`` with ``size`` (UTF-8 bytes and one), ``text_crc32`` and ``text_hash`` of the text, null as empty."""
     raw = F.coalesce(F.encode(F.col("text"), "UTF-8"), F.lit(b""))
-    return docs.withColumn("size", (F.octet_length(raw) + 1).cast("bigint")).withColumn("text_crc32", F.crc32(raw))
+    size = (F.octet_length(raw) + 1).cast("bigint")
+    return docs.withColumn("size", size).withColumn("text_crc32", F.crc32(raw)).withColumn("text_hash", F.xxhash64(raw))
 
 
 def write(docs: DataFrame, path: str, shards: int = 16, dimensions: Sequence[str] = DIMENSIONS) -> None:
@@ -136,4 +153,4 @@ def write(docs: DataFrame, path: str, shards: int = 16, dimensions: Sequence[str
     placed = assign(measured(docs), shards, dimensions)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.repartitionByRange(max(parts, shards), "shard", "slot").sortWithinPartitions("shard", "slot")
-    dealt.drop("size", "text_crc32").write.partitionBy("shard").parquet(path)
+    dealt.drop("size", "text_crc32", "text_hash").write.partitionBy("shard").parquet(path)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewise.operators.ranking import free_name
+
 TEXT = "__text"
 
 # a task's function: whole texts as UTF-8 (null stays None) to one array or list per new column
@@ -37,8 +39,8 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 
 def _pieces(batch: pa.RecordBatch, budget: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about ``budget`` bytes of text; a longer text is a run of its own."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(TEXT)), 0).to_numpy()
+    """Runs of rows with about ``budget`` bytes of text, the last column; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy()
     ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
     while start < len(sizes):
@@ -66,7 +68,7 @@ def with_text_columns(
     new = T.StructType.fromDDL(added)
     kept = [c for c in keep if c not in new.names]
     shown = [f for f in new.fields if f.name != only]
-    source = df.select(*kept, F.col(text).cast("binary").alias(TEXT))
+    source = df.select(*kept, F.col(text).cast("binary").alias(free_name(df, TEXT)))
     schema = T.StructType([*df.select(*kept).schema.fields, *shown])
     kinds = [_arrow(f.dataType) for f in new.fields]
 
@@ -74,7 +76,7 @@ def with_text_columns(
         columns = make()
         for whole in batches:
             for batch in _pieces(whole, budget):
-                values = columns(batch.column(TEXT).to_pylist())
+                values = columns(batch.column(len(kept)).to_pylist())
                 arrays = [pa.array(v, type=k) for v, k in zip(values, kinds)]
                 out = [batch.column(i) for i in range(len(kept))]
                 out += [a for a, f in zip(arrays, new.fields) if f.name != only]

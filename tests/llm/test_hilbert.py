@@ -1,5 +1,6 @@
 """The curve step by step, and the law of the shards."""
 
+from collections import Counter
 from itertools import product
 from zlib import crc32
 
@@ -40,7 +41,7 @@ def test_odd_rows(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "x" * 300_000, "en", "a", 300_000)]
     rows += [(4, "same", "de", "b", 4)] * 50 + [(None, "same", "de", "b", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    docs = docs.withColumn("shard", F.lit("clash"))
+    docs = docs.select("*", *[F.lit("clash").alias(c) for c in ("shard", "_part", "_place", "_start", "__curve", "__rank")])
     found = hilbert.assign(hilbert.measured(docs), 4).collect()
     counts = [sum(r.shard == s for r in found) for s in range(4)]
     assert sum(counts) == 54 and max(counts) - min(counts) <= 1
@@ -54,3 +55,58 @@ def test_written_shards_keep_all_rows(spark, tmp_path):
     hilbert.write(docs, str(tmp_path / "out"), 8)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.select(docs.columns).exceptAll(docs).count() == 0 and back.count() == docs.count()
+
+
+def _divided(found):
+    """Groups of equal texts with rows in several shards."""
+    of = {}
+    for r in found:
+        of.setdefault((r.text_crc32, r.text_hash, r.size), set()).add(r.shard)
+    return [k for k, v in of.items() if len(v) > 1]
+
+
+def test_equal_texts_are_one_run(spark):
+    docs = hilbert.measured(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).drop("text")
+    found = hilbert.assign(docs).collect()
+    groups = Counter((r.text_crc32, r.text_hash, r.size) for r in found)
+    assert sum(n > 1 for n in groups.values()) > 30
+    assert len(_divided(found)) <= 15
+    run = [(r.text_crc32, r.text_hash, r.size) for r in sorted(found, key=lambda r: (r.shard, r.slot))]
+    assert 1 + sum(a != b for a, b in zip(run, run[1:])) == len(groups)
+
+
+def test_sources_with_a_common_head(spark):
+    rows = [(k, "en", f"https://www.example.org/{k % 64:02d}", 100, 5, k, k) for k in range(6400)]
+    names = "doc_id long, lang string, source string, n_chars long, size long, text_crc32 long, text_hash long"
+    docs = spark.createDataFrame(rows, names)
+    bounds = hilbert._text_bounds(docs, "source", 16)
+    assert bounds == [f"https://www.example.org/{k:02d}" for k in range(3, 63, 4)]
+    found = hilbert.assign(docs).collect()
+    assert max(len({r.source for r in found if r.shard == s}) for s in range(16)) <= 5
+
+
+def test_rows_stand_where_the_curve_says(spark):
+    """Every row's place against cells, curve and order worked out in Python."""
+    docs = hilbert.measured(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).drop("text")
+    cells = hilbert.cells(docs, hilbert.DIMENSIONS, 4)
+    rows = docs.select("*", *[c.alias(f"c{k}") for k, c in enumerate(cells)]).collect()
+    places, states = hilbert.curve_tables(3)
+
+    def index(cell):
+        out = state = 0
+        for bit in (3, 2, 1, 0):
+            corner = sum(((c >> bit) & 1) << (2 - k) for k, c in enumerate(cell))
+            out, state = out * 8 + places[state * 8 + corner], states[state * 8 + corner]
+        return out
+
+    langs = sorted(r.lang for r in rows)
+    bounds = [langs[-(-k * len(langs) // 16) - 1] for k in range(1, 16)]
+    assert all(r.c0 == sum(b < r.lang for b in bounds) for r in rows)
+    key = lambda r: (r.text_hash, r.text_crc32, r.size)
+    first = {}
+    for r in rows:
+        first[key(r)] = min(first.get(key(r), 1 << 60), index((r.c0, r.c1, r.c2)))
+    order = sorted(rows, key=lambda r: (first[key(r)], r.text_crc32, r.text_hash, r.size, r.doc_id))
+    n = len(order)
+    want = {r.doc_id: (k * 16 // n, k - -(-(k * 16 // n) * n // 16)) for k, r in enumerate(order)}
+    assert {r.doc_id: (r.shard, r.slot) for r in hilbert.assign(docs).collect()} == want
