@@ -14,9 +14,11 @@ judged on the input. That is exact; only 128-bit digests stand for equal texts,
    bytes on, ``h`` doubles, sorted groups are left alone) and gets the common prefixes of neighbours as
    Kasai does, many stretches of text in step. Windows whose common prefix is ``length`` are equal; a
    window is repeated if its equals in the shard, with their counts, are two or more.
-3. *Merging.* The segments of a frequent anchor (over ``hot`` different ones) are dealt to several shards.
-   Each sends one sorted run of digests, one per different window; the runs meet by digest, and binary
-   search in the merged run finds windows that several shards hold.
+3. *Merging.* The segments of a frequent anchor (over ``hot`` different ones) are dealt to several shards,
+   whose windows have to meet, too. First every ``stride``-th place, counted from the anchor, sends the digest
+   of the string that the windows around it have in common; the sorted runs of all shards meet by digest, and
+   binary search in the merged run finds strings that several shards hold. Only windows around these
+   send digests of their own, each different one of a shard once, and are merged in the same way.
 4. *Cutting.* Repeated starts go back to the texts that hold the segment; a text with any is cut. A text
    that comes twice as a whole and has ``length`` bytes needs no cutting: all of it goes.
 
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.llm.rows import groups
+from tablewise.llm.rows import bounds, groups
 from tablewise.shared import stored
 
 
@@ -47,6 +49,7 @@ class Settings:
     gram: int = 128  # bytes of an anchor: a power of two from 8 on, at most ``length``
     shard_bytes: int = 1 << 20  # bytes sorted together
     hot: int = 1000  # different segments of one anchor in one shard
+    stride: int = 16  # windows that are merged by a common string first
     filter_bits: int = 1 << 26  # of the bitmaps that keep texts back
 
 
@@ -94,7 +97,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int, stretch: int = 512) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int, stretch: int = 256) -> np.ndarray:
     """Common prefix of each suffix with the one before it in ``order``, ``limit`` at most.
 
     Kasai: a suffix shares at least one byte less with its neighbour than the suffix one byte before
@@ -148,9 +151,9 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return h[:n]
 
 
-def segments(data: np.ndarray, ends: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: np.ndarray, ends: np.ndarray, settings: Settings) -> tuple[np.ndarray, ...]:
     """Cut joined texts (up to 16 MB, each with ``length`` bytes or more, given by their ends) into
-    segments: first window start, number of starts, and hash of the anchor."""
+    segments: first window start, number of starts, hash of the anchor and where it is."""
     hashes = _gram_hashes(data, settings.gram)
     key = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
     wide, have = settings.length - settings.gram + 1, 1
@@ -167,7 +170,7 @@ def segments(data: np.ndarray, ends: np.ndarray, settings: Settings) -> tuple[np
     owner = (key[starts] & _PLACE).astype(np.int64)
     new = np.append(True, (np.diff(starts) != 1) | (np.diff(owner) != 0))
     first = np.flatnonzero(new)
-    return starts[first], np.diff(np.append(first, len(starts))), hashes[owner[first]].view(np.int64)
+    return starts[first], np.diff(np.append(first, len(starts))), hashes[owner[first]].view(np.int64), owner[first]
 
 
 def _pieces(texts: Sequence[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -185,7 +188,7 @@ def _pieces(texts: Sequence[bytes], length: int) -> Iterator[list[tuple[int, int
         yield left
 
 
-_SEGMENT = "anchor bigint, digest binary, text_key binary, at bigint, starts bigint, times bigint"
+_SEGMENT = "anchor bigint, digest binary, text_key binary, at bigint, starts bigint, place bigint, times bigint"
 
 
 def _cut(settings: Settings):
@@ -197,7 +200,7 @@ def _cut(settings: Settings):
             for piece in _pieces(texts, settings.length):
                 data = b"".join(p for *_, p in piece)
                 ends = np.cumsum([len(p) for *_, p in piece])
-                at, starts, anchor = segments(np.frombuffer(data, dtype=np.uint8), ends, settings)
+                at, starts, anchor, owner = segments(np.frombuffer(data, dtype=np.uint8), ends, settings)
                 stop = at + starts + settings.length - 1
                 raw = b"".join([blake2b(data[a:b], digest_size=16).digest() for a, b in zip(at.tolist(), stop.tolist())])
                 halves = np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
@@ -216,9 +219,10 @@ def _cut(settings: Settings):
                         keys.take(pa.array(text[of])),
                         pa.array(at[first] - begin[of] + offset[of]),
                         pa.array(starts[first]),
+                        pa.array(owner[first] - at[first]),
                         pa.array(times),
                     ],
-                    names=["anchor", "digest", "text_key", "at", "starts", "times"],
+                    names=["anchor", "digest", "text_key", "at", "starts", "place", "times"],
                 )
 
     return run
@@ -226,7 +230,7 @@ def _cut(settings: Settings):
 
 # --- shards ----------------------------------------------------------------------------------------
 
-_FOUND = "merge boolean, anchor bigint, digest binary, low bigint, high bigint, window1 bigint, window2 bigint"
+_FOUND = "merge boolean, anchor bigint, part bigint, digest binary, low bigint, high bigint, window1 bigint, window2 bigint"
 
 
 def _shards(table: pa.Table, settings: Settings) -> Iterator[pa.Table]:
@@ -257,8 +261,8 @@ def repeated_windows(bodies: Sequence[bytes], times: np.ndarray, length: int) ->
 
 
 def _judge(settings: Settings):
-    """Segments, sorted by anchor, part and digest, to ranges of repeated starts; the windows of an
-    anchor in several parts also as digests."""
+    """Segments, sorted by anchor, part and digest, to ranges of repeated starts; for an anchor in
+    several parts also the digests of strings that its windows have in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["anchor", "part"]):
@@ -273,41 +277,82 @@ def _judge(settings: Settings):
         shard = shard.take(pa.array(new, type=pa.int64()))
         bodies = shard.column("body").to_pylist()
         begin = np.append(0, np.cumsum([len(b) for b in bodies]))
-        place, equal, count = repeated_windows(bodies, shard.column("times").to_numpy(), settings.length)
+        place, _, count = repeated_windows(bodies, shard.column("times").to_numpy(), settings.length)
         hit = np.sort(place[count >= 2])
         body = np.searchsorted(begin, hit, side="right") - 1
         first = np.flatnonzero(np.append(True, (np.diff(hit) != 1) | (np.diff(body) != 0))) if len(hit) else hit
         low = hit[first] - begin[body[first]]
         high = low + np.diff(np.append(first, len(hit)))
-        yield found(shard, False, body[first], low, high, np.zeros((len(low), 2), dtype=np.int64))
-        # one window of each run of equals is sent to the other shards of its anchor
-        one = place[np.append(True, equal[1:] != equal[:-1])[: len(equal)]]
-        body = np.searchsorted(begin, one, side="right") - 1
-        split = shard.column("parts").to_numpy()[body] > 1
-        one, body = one[split], body[split]
-        joined = b"".join(bodies)
-        raw = b"".join([blake2b(joined[p : p + settings.length], digest_size=16).digest() for p in one.tolist()])
-        low = one - begin[body]
-        yield found(shard, True, body, low, low + 1, np.frombuffer(raw, dtype=np.int64).reshape(-1, 2))
-
-    def found(shard, merge, body, low, high, windows) -> pa.RecordBatch:
-        chosen = shard.select(["anchor", "digest"]).take(pa.array(body, type=pa.int64())).combine_chunks()
-        columns = [pa.array(np.full(len(body), merge)), *(c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in chosen.columns)]
-        columns += [pa.array(low), pa.array(high), pa.array(windows[:, 0]), pa.array(windows[:, 1])]
-        return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _FOUND.split(", ")])
+        yield _found(shard, False, body[first], low, high, b"")
+        split = np.flatnonzero(shard.column("parts").to_numpy() > 1).tolist()
+        anchor_at = shard.column("place").to_numpy()
+        spots = [(k, at) for k in split for at in _spots(len(bodies[k]), int(anchor_at[k]), settings)]
+        size = settings.length - settings.stride + 1
+        raw = b"".join([blake2b(bodies[k][at : at + size], digest_size=16).digest() for k, at in spots])
+        body, low = np.array([k for k, _ in spots], dtype=np.int64), np.array([at for _, at in spots], dtype=np.int64)
+        yield _found(shard, True, body, low, low + 1, raw)
 
     return run
 
 
+def _spots(size: int, anchor_at: int, settings: Settings) -> range:
+    """Places in a body of which each window has the next one, counted from the anchor, in its first bytes."""
+    starts = size - settings.length + 1
+    first = (anchor_at % settings.stride) if settings.stride > 1 else 0
+    return range(first, starts - 1 + settings.stride, settings.stride)
+
+
+def _windows_around(settings: Settings):
+    """Bodies with a matched spot, sorted by anchor and part, to the windows around it: of equal ones in
+    a part one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, ["anchor", "part"]):
+            edges = bounds(table, ["anchor", "part"])
+            bodies, spots = table.column("body").to_pylist(), table.column("low").to_pylist()
+            for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                seen: dict[bytes, tuple[int, int]] = {}
+                for k in range(start, end):
+                    last = min(spots[k], len(bodies[k]) - settings.length)
+                    for at in range(max(0, spots[k] - settings.stride + 1), last + 1):
+                        window = blake2b(bodies[k][at : at + settings.length], digest_size=16).digest()
+                        seen.setdefault(window, (k, at))
+                body = np.array([k for k, _ in seen.values()], dtype=np.int64)
+                low = np.array([at for _, at in seen.values()], dtype=np.int64)
+                yield _found(table, True, body, low, low + 1, b"".join(seen))
+
+    return run
+
+
+def _found(table: pa.Table, merge: bool, body: np.ndarray, low: np.ndarray, high: np.ndarray, raw: bytes) -> pa.RecordBatch:
+    halves = np.frombuffer(raw, dtype=np.int64).reshape(-1, 2) if raw else np.zeros((len(body), 2), dtype=np.int64)
+    chosen = table.select(["anchor", "part", "digest"]).take(pa.array(body, type=pa.int64()))
+    columns = [pa.array(np.full(len(body), merge)), *(pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in chosen.columns)]
+    columns += [pa.array(low), pa.array(high), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())]
+    return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _FOUND.split(", ")])
+
+
+_MERGED = "anchor bigint, part bigint, digest binary, low bigint, high bigint"
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted runs of window digests to the windows that more than one shard sent."""
+    """Sorted runs of digests to the rows whose digest came from several parts."""
     for table in groups(batches, ["window1"]):
         one, two = table.column("window1").to_numpy(), table.column("window2").to_numpy()
+        part = table.column("part").to_numpy()
         left, right = np.searchsorted(one, one, side="left"), np.searchsorted(one, one, side="right")
-        several = np.flatnonzero(right - left > 1)
-        several = several[[(two[left[k] : right[k]] == two[k]).sum() > 1 for k in several.tolist()]] if len(several) else several
-        hit = table.select(["anchor", "digest", "low", "high"]).take(pa.array(several, type=pa.int64()))
-        yield from hit.to_batches()
+        # within equal first halves the rows are sorted by the second half, then by part
+        hit = np.zeros(len(one), dtype=bool)
+        for a, b in np.unique(np.stack([left, right], axis=1)[right - left > 1], axis=0).tolist():
+            low, high = (a + np.searchsorted(two[a:b], two[a:b], side=side) for side in ("left", "right"))
+            hit[a:b] = part[low] != part[high - 1]
+        yield from table.select([f.split()[0] for f in _MERGED.split(", ")]).filter(pa.array(hit)).to_batches()
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Rows whose digest several parts of an anchor have sent."""
+    runs = rows.repartition("window1").sortWithinPartitions("window1", "window2", "part")
+    return runs.mapInArrow(_merge, _MERGED)
 
 
 # --- the operator ----------------------------------------------------------------------------------
@@ -352,7 +397,7 @@ def _bodies(settings: Settings):
                 text = memoryview(row.column("text")[0].as_buffer())
                 at, starts = asked.field("at").to_numpy(), asked.field("starts").to_numpy()
                 body = [bytes(text[a : a + n + settings.length - 1]) for a, n in zip(at.tolist(), starts.tolist())]
-                names = ["anchor", "part", "parts", "digest", "times"]
+                names = ["anchor", "part", "parts", "digest", "times", "place"]
                 yield pa.RecordBatch.from_arrays(
                     [*(asked.field(c) for c in names), pa.array(body, type=pa.binary())], names=[*names, "body"]
                 )
@@ -372,7 +417,7 @@ def _repeated(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame
 
     cut = stored(texts.select("text_key", "text").mapInArrow(_cut(settings), _SEGMENT), "segments")
     kinds = cut.groupBy("anchor", "digest").agg(
-        F.sum("times").alias("times"), F.min(F.struct("text_key", "at", "starts")).alias("first")
+        F.sum("times").alias("times"), F.min(F.struct("text_key", "at", "starts", "place")).alias("first")
     )
     kinds = stored(kinds, "kinds")
     anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("all"))
@@ -388,17 +433,20 @@ def _repeated(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame
         "first.*",
     )
     asked = several.groupBy("text_key").agg(
-        F.collect_list(F.struct("anchor", "part", "parts", "digest", "times", "at", "starts")).alias("asked")
+        F.collect_list(F.struct("anchor", "part", "parts", "digest", "times", "at", "starts", "place")).alias("asked")
     )
     asked = stored(asked.join(of_text.drop("rows"), "text_key"), "asked")
-    schema = "anchor bigint, part bigint, parts bigint, digest binary, times bigint, body binary"
+    schema = "anchor bigint, part bigint, parts bigint, digest binary, times bigint, place bigint, body binary"
     bodies = _texts_of(texts, asked, ["text_key", "doc_id"], settings).select("text", "asked")
-    sorted_ = bodies.mapInArrow(_bodies(settings), schema).repartition("anchor", "part")
-    judged = stored(sorted_.sortWithinPartitions("anchor", "part", "digest").mapInArrow(_judge(settings), _FOUND), "judged")
+    bodies = stored(bodies.mapInArrow(_bodies(settings), schema), "bodies")
+    sorted_ = bodies.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "digest")
+    judged = stored(sorted_.mapInArrow(_judge(settings), _FOUND), "judged")
 
     ranges = ["anchor", "digest", "low", "high"]
-    runs = judged.where("merge").repartition("window1").sortWithinPartitions("window1", "window2")
-    merged = runs.mapInArrow(_merge, "anchor bigint, digest binary, low bigint, high bigint")
+    spots = _met(judged.where("merge")).select("anchor", "part", "digest", "low")
+    near = spots.join(bodies.where("parts > 1").select("anchor", "part", "digest", "body"), ["anchor", "part", "digest"])
+    near = near.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    merged = _met(near.mapInArrow(_windows_around(settings), _FOUND)).select(*ranges)
     alone = known.where("kinds = 1").selectExpr("anchor", "digest", "0L AS low", "first.starts AS high")
     hits = judged.where("NOT merge").select(*ranges).unionByName(merged).unionByName(alone)
     hits = hits.groupBy("anchor", "digest").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))

@@ -60,7 +60,8 @@ def test_equal_windows_have_one_anchor():
     texts = [t for t in texts if len(t) >= 40]
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     ends = np.cumsum([len(t) for t in texts])
-    at, starts, anchor = suffix_dedup.segments(data, ends, s)
+    at, starts, anchor, owner = suffix_dedup.segments(data, ends, s)
+    assert all(a <= o <= a + n - 1 + 24 for a, n, o in zip(at, starts, owner))
     windows = {}
     begin = 0
     for t in texts:
@@ -82,8 +83,8 @@ def _check(spark, texts, settings, ids=None):
     return docs
 
 
-@pytest.mark.parametrize("hot, shard", [(2000, 4 << 20), (2, 500)])
-def test_against_brute_force(spark, hot, shard):
+@pytest.mark.parametrize("hot, shard, stride", [(2000, 4 << 20, 16), (2, 500, 8), (1, 500, 1), (3, 2000, 40)])
+def test_against_brute_force(spark, hot, shard, stride):
     rng = np.random.default_rng(11)
     texts = _texts(rng, 60, 600, 4)
     part = _texts(rng, 1, 2000, 26)[0] + "é" * 60
@@ -91,7 +92,10 @@ def test_against_brute_force(spark, hot, shard):
     texts += [texts[3]] * 4 + ["a" * 500, "a" * 39, "a" * 40, "ab" * 300, None, None, "", "ü" * 21]
     # one passage, shorter than the length, in many rows
     texts += [a[:50] + part[:36] + b[:50] for a, b in zip(texts[:50], texts[7:])]
-    _check(spark, texts, Settings(length=40, gram=16, hot=hot, shard_bytes=shard, filter_bits=1 << 10))
+    # one with the length, and one longer
+    texts += [a[:30] + part[100:140] + b[:30] for a, b in zip(texts[:50], texts[5:])]
+    texts += [a[:45] + part[200:300] + b[:45] for a, b in zip(texts[:50], texts[3:])]
+    _check(spark, texts, Settings(length=40, gram=16, hot=hot, shard_bytes=shard, stride=stride, filter_bits=1 << 10))
 
 
 def test_odd_rows(spark):
