@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 
 from tablewise.llm.graph import components
 from tablewise.llm.rows import bounds, groups, with_text_columns
+from tablewise.operators.ranking import free_name
 from tablewise.shared import stored
 
 _BITS = 4  # kept of each minimum
@@ -420,12 +422,34 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The documents kept, with all their columns; rows that repeat an id are dropped, too."""
-    found = near_duplicates(docs, settings)
-    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept"))
-    named = docs.where(F.col("doc_id").isNotNull())
-    whole = named.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return whole.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The documents kept, with all their columns. Of rows that repeat an id one stays, whatever their
+    texts; rows without an id all stay.
+
+    Texts are not shuffled, but those of ids that go or repeat, and the few more that a bitmap of fixed
+    size takes for them; an exact join follows.
+    """
+    found = stored(near_duplicates(docs, settings).select("doc_id", "kept"), "kept")
+    ids = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id"))
+    moved = ids.agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1")
+    moved = stored(moved.select("id", "kept"), "moved")
+    shared = docs.sparkSession.sparkContext.broadcast(_needed(moved.select("id"), settings))
+
+    @F.pandas_udf("boolean")
+    def maybe(bit: pd.Series) -> pd.Series:
+        at = bit.to_numpy()
+        return pd.Series((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
+    # Python sees the hash of the id alone
+    hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(settings.filter_bits))
+    near = F.col("doc_id").isNotNull() & maybe(hashed)
+    mark, row = free_name(docs, "__moved"), F.struct(*docs.columns).alias("row")
+    marked = docs.withColumn(mark, F.coalesce(near, F.lit(False)))
+    asked = marked.where(mark).select(F.col("doc_id").cast("bigint").alias("id"), row)
+    known = asked.join(moved, "id", "left").where("kept IS NULL OR kept")
+    alone = known.where("kept IS NULL").select("row.*")
+    # an id that repeats: a plain aggregate would sort whole rows, so the first in each group is taken
+    again = known.where("kept").groupBy("id").agg(F.first("row").alias("row")).select("row.*")
+    return marked.where(~F.col(mark)).drop(mark).unionByName(alone).unionByName(again)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,3 +103,23 @@ def test_defaults_for_other_uses():
     assert (Settings().words, Settings().hundredths) == (5, 80)
     for s in (Settings(), THREE):
         assert (1 - s.share**s.rows) ** s.bands < 1e-6 and s.packed * 16 >= s.minima
+
+
+def test_one_id_with_several_texts(spark):
+    """Of rows with one id one stays; texts that stay are in no exchange."""
+    words = [f"w{k}" for k in range(40)]
+    one, two = " ".join(words), " ".join(words[::-1])
+    rows = [(1, one), (2, one), (3, two), (3, " ".join(words[5:25])), (4, " ".join(words[2:30])), (None, one), (None, one)]
+    docs = spark.createDataFrame([(*r, "x", True) for r in rows], "doc_id long, text string, id string, kept boolean")
+    left = near_dup.one_of_each(docs)
+    got = sorted((r.doc_id or 0, r.text) for r in left.collect())
+    assert left.columns == docs.columns
+    assert [k for k, _ in got] == [0, 0, 1, 3, 4] and dict(got)[3] in (two, rows[3][1])
+    assert near_dup.one_of_each(docs.limit(0)).isEmpty()
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = near_dup.one_of_each(docs)._jdf.queryExecution().optimizedPlan().toString()
+    straight = plan[: plan.index("Join")] if "Join" in plan else plan
+    assert "Union" in straight and "Aggregate" not in straight.split("Union")[1].split("Relation")[0]
