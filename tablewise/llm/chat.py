@@ -130,7 +130,7 @@ def format_chats(rows: DataFrame, tokenizer_path: str, whole: bool = True) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer_with_controls(shared.value)
-        for found in _some(_conversations(batches), lambda c: _row(own, *c)):
+        for found in _some(_conversations(batches), lambda c: _row(own, *c, whole)):
             yield pa.RecordBatch.from_pylist([{k: r[k] for k in kept} for r in found], schema=_arrow(kept))
 
     return dealt.mapInArrow(run, schema)
@@ -172,7 +172,7 @@ def _some(items, make, budget: int = 4 << 20):
         yield out
 
 
-def _row(own: Tokenizer, conv_id, turns) -> dict:
+def _row(own: Tokenizer, conv_id, turns, whole: bool) -> dict:
     record, spans = rendered(turns)
     ids, tokens = _encoded(own, record)
     learned = spans[[role == LEARNED for role, _ in turns]]
@@ -184,8 +184,8 @@ def _row(own: Tokenizer, conv_id, turns) -> dict:
         "conv_id": conv_id,
         "n_turns": len(back),
         "formatted": record,
-        "ids": ids.tolist(),
-        "mask": mask.tolist(),
+        "ids": ids.tolist() if whole else None,
+        "mask": mask.tolist() if whole else None,
         "turns_sha256": hashlib.sha256(said.encode()).hexdigest(),
         "loss_chars": len(loss),
         "loss_sha256": hashlib.sha256(loss.encode()).hexdigest(),

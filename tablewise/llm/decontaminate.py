@@ -30,7 +30,6 @@ the counts of all shingles that two or more items share, so blocks give the same
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -41,10 +40,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewise.llm.rows import TEXT, _pieces, with_text_columns
+from tablewise.llm.rows import TEXT, _pieces, with_text_columns, words_of
 
-# for UTF-8 whose signs beyond ASCII are blanks already
-_BLANKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _PIECE = 4096  # window starts that are looked at together
 _MASK = (1 << 20) - 1
 
@@ -65,14 +62,6 @@ class Hashes(dict):
         return h
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    whole = (text or b"").decode("utf-8", "replace").lower()
-    if not whole.isascii():
-        signs = {ord(c): " " for c in set(whole) if c > "\x7f" and unicodedata.category(c)[0] not in "LMN"}
-        whole = whole.translate(signs) if signs else whole
-    return whole.encode().translate(_BLANKS).split()
-
-
 def shingles(h: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` words."""
     n = len(h) - size + 1

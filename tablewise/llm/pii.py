@@ -8,8 +8,8 @@ so a text is read once, whatever its length.
 
 Kinds with fixed borders (``BASE``): email, ip, card, phone, each leftmost and non-overlapping within
 its kind; a grown match that fails its check is dropped and the search goes on behind it. Added
-kinds: ``url`` (scheme and host), ``iban`` (check digits hold), ``account`` (digits behind an
-announcing word). Spans are code points, end exclusive.
+kinds: ``url`` (scheme and host), ``iban`` (a country's letters and length, and check digits that hold;
+no word need announce it), ``account`` (digits behind an announcing word, in any case). Spans are code points, end exclusive.
 
 Null and empty texts have no spans. Repeated rows get equal spans.
 """
@@ -36,12 +36,21 @@ DIGITS = re.compile(r"[0-9]+")
 GROUPED = re.compile(r"[0-9](?:[ -]?[0-9])+")
 DIALLED = re.compile(r"[ ().0-9-]+")
 HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]+)?(?:/[^\s\"'<>]*)?")
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-ACCOUNT = re.compile(r"(?: (?:no|nr|number))?\.?[ :#=]{1,3}([0-9][0-9 -]{4,24}[0-9])")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){11,27}")
+ACCOUNT = re.compile(
+    r"(?:s|nummer|nr|-nr)?(?: (?:no|nr|num|number|nummer|número|numéro|n°))?\.?[ :#=]{1,3}([0-9][0-9 -]{4,24}[0-9])", re.I
+)
+# characters of an account number by country
+IBAN_SIZES = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 "
+    "FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 "
+    "LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 "
+    "SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
 SCHEMES = ("http://", "https://", "ftp://")
-ACCOUNT_WORDS = ("account", "Account", "acct", "Acct", "konto", "Konto", "cuenta", "Cuenta", "compte", "Compte")
-IBAN_WORD = "IBAN"
+ACCOUNT_WORDS = ("account", "acct", "konto", "cuenta", "compte")
 _DIGITS = "0123456789"
+_SIZE = {entry[:2]: int(entry[2:]) for entry in IBAN_SIZES.split()}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -52,8 +61,8 @@ def automaton() -> ahocorasick.Automaton:
     # a card's first two digits stand together or one sign apart
     cues |= {a + s + b: "digits" for a in _DIGITS for b in _DIGITS for s in ("", " ", "-")}
     cues |= dict.fromkeys(SCHEMES, "scheme")
-    cues |= dict.fromkeys(ACCOUNT_WORDS, "account")
-    cues[IBAN_WORD] = "iban"
+    cues |= {form: "account" for word in ACCOUNT_WORDS for form in (word, word.title(), word.upper())}
+    cues |= {country + d: "iban" for country in _SIZE for d in _DIGITS}
     out = ahocorasick.Automaton()
     for cue, kind in cues.items():
         out.add_word(cue, (kind, len(cue)))
@@ -75,13 +84,17 @@ def iban_holds(text: str) -> bool:
 
 
 def _parsed_iban(text: str, start: int):
-    """The longest run of whole characters from ``start`` whose check digits hold."""
+    """End of the account number from ``start``, if it has its country's length and its check digits hold."""
+    if start and text[start - 1].isalnum():
+        return None
     m = IBAN.match(text, start)
-    while m and m.end() - start >= 15:
-        if iban_holds(m[0].replace(" ", "")):
-            return m.end()
-        m = IBAN.match(text, start, m.end() - 1)
-    return None
+    end, left = start, _SIZE[text[start : start + 2]]
+    while m and left and end < m.end():
+        left -= text[end] not in " -"
+        end += 1
+    if not m or left or (end < len(text) and text[end].isalnum()):
+        return None
+    return end if iban_holds(text[start:end].replace(" ", "").replace("-", "")) else None
 
 
 def spans(text: str, cues: ahocorasick.Automaton) -> list[tuple[int, str, int]]:
@@ -138,12 +151,9 @@ def spans(text: str, cues: ahocorasick.Automaton) -> list[tuple[int, str, int]]:
             if m:
                 take("account", m.start(1), m.end(1))
         else:
-            start = last + 1
-            while start < len(text) and start < last + 4 and text[start] in " :=":
-                start += 1
-            end = _parsed_iban(text, start) if start >= past["iban"] else None
+            end = _parsed_iban(text, at) if at >= past["iban"] else None
             if end:
-                take("iban", start, end)
+                take("iban", at, end)
     order = {k: n for n, k in enumerate(KINDS)}
     return sorted(out, key=lambda s: (s[0], order[s[1]]))
 

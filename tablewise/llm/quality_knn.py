@@ -145,8 +145,14 @@ def vote(model: Model, found: np.ndarray, block: int = 256) -> np.ndarray:
     out = np.full(len(found), model.share)
     k = min(model.settings.neighbours, len(model.labels))
     for at in range(0, len(found) if k else 0, block):
-        close = found[at : at + block] @ model.vectors.T
+        # rounded, so that equal vectors are equal in every block
+        close = np.round(found[at : at + block] @ model.vectors.T, 5)
         near = np.argpartition(-close, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(close, near, axis=1).min(axis=1, keepdims=True)
+        for row in np.flatnonzero((close >= least).sum(axis=1) > k):
+            # of those at the last similarity the smaller ids, which come first
+            above, level = np.flatnonzero(close[row] > least[row]), np.flatnonzero(close[row] == least[row])
+            near[row] = np.append(above, level[: k - len(above)])
         weight = np.maximum(np.take_along_axis(close, near, axis=1), 0) ** model.settings.power
         total = weight.sum(axis=1)
         voted = (weight * model.labels[near]).sum(axis=1) / np.where(total > 0, total, 1)

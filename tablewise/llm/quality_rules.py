@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablewise.llm.rows import TEXT, with_text_columns
 
@@ -168,9 +169,12 @@ def plan(sample: Sequence[bytes], rules: Sequence[Rule] = RULES) -> list[tuple[R
 
 
 def sample_of(docs: DataFrame, rows: int = 1000, max_bytes: int = 50_000) -> list[bytes]:
-    """The first texts as stored, of at most ``max_bytes``: a bounded sample without a full scan."""
-    texts = docs.selectExpr(f"CAST(text AS BINARY) AS {TEXT}").where(f"length({TEXT}) <= {max_bytes}")
-    return [bytes(r[0]) for r in texts.take(rows)]
+    """Texts of the ids with the smallest hashes, without those over ``max_bytes``: a bounded sample that
+    does not depend on how the rows are stored."""
+    ids = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias(TEXT)).where(f"length({TEXT}) <= {max_bytes}")
+    found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(TEXT).alias(TEXT))
+    return [bytes(r[1]) for r in sorted(found.collect())]
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, keep: list[str] | None = None) -> DataFrame:

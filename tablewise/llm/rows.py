@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -19,6 +20,19 @@ TEXT = "__text"
 Columns = Callable[[list], Sequence]
 
 
+# for UTF-8 whose signs beyond ASCII are blanks already
+_BLANKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    """Lower-cased runs of Unicode letters, marks and numbers."""
+    whole = (text or b"").decode("utf-8", "replace").lower()
+    if not whole.isascii():
+        signs = {ord(c): " " for c in set(whole) if c > "\x7f" and unicodedata.category(c)[0] not in "LMN"}
+        whole = whole.translate(signs) if signs else whole
+    return whole.encode().translate(_BLANKS).split()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

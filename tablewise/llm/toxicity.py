@@ -9,8 +9,8 @@ responses worked out once per distinct word.
 The score is calibrated by language: texts are put into a language by their function words (the
 table's language column is not read), and each language has its own threshold, which lands on 0.5.
 
-Null and empty texts get the score of a text without words. Words are lower-cased runs of letters
-and digits. Repeated rows get equal scores. A training set without both labels gives the constant
+Null and empty texts get the score of a text without words. Words are lower-cased runs of Unicode
+letters, marks and numbers. Repeated rows get equal scores. A training set without both labels gives the constant
 share of toxic rows (0 for none).
 """
 
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewise.llm.rows import held_out, with_text_columns
+from tablewise.llm.rows import held_out, with_text_columns, words_of
 
 # fixed values: function words that tell a language, none of them shared by two
 FUNCTION_WORDS = {
@@ -37,8 +37,6 @@ FUNCTION_WORDS = {
 LANGUAGES = ["other", *FUNCTION_WORDS]
 
 WIDTHS = (1, 2, 3)
-# ASCII signs become blanks; other letters and signs stay
-_BLANKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
 @dataclass(frozen=True)
@@ -104,7 +102,7 @@ def _flat(texts: list, words: _Words) -> tuple[np.ndarray, np.ndarray]:
     ids, starts = [], []
     for t in texts:
         starts.append(len(ids))
-        found = (t or b"").decode("utf-8", "replace").lower().encode().translate(_BLANKS).split()
+        found = words_of(t)
         ids.extend(map(words.__getitem__, found) if found else (0,))
         ids.extend((0, 0))
     return np.array(ids, dtype=np.int32), np.array(starts, dtype=np.int64)

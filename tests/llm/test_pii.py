@@ -62,6 +62,14 @@ def test_query_on_given_documents(spark):
         ("see https://a.example/x?y=1 now", [(4, "url", 27)]),
         ("IBAN: DE89 3704 0044 0532 0130 00 end", [(6, "iban", 33)]),
         ("IBAN DE88370400440532013000", []),
+        ("Iban: DE89 3704 0044 0532 0130 00", [(6, "iban", 33)]),
+        ("my iban DE89370400440532013000.", [(8, "iban", 30)]),
+        ("pay GB82-WEST-1234-5698-7654-32 or BE71 0961 2345 6769 now", [(4, "iban", 31), (35, "iban", 54)]),
+        ("DE89370400440532013000 12 and xDE89370400440532013000", [(0, "iban", 22)]),
+        ("ACCOUNT 12345678", [(8, "account", 16)]),
+        ("Kontonummer 12345678", [(12, "account", 20)]),
+        ("número de CUENTA NR: 1234-5678", [(21, "account", 30)]),
+        ("account of 12345678", []),
         ("account no. 123 456 789", [(12, "account", 23)]),
         ("", []),
     ],
@@ -74,6 +82,7 @@ def test_masks_nulls_long_texts_and_clashing_columns(spark):
     long = "x " * 200_000 + "a.b@c.de"
     rows = [(1, None, 1), (2, "", 2), (3, "mail a@b.cd, 1.2.3.4", 3), (3, "mail a@b.cd, 1.2.3.4", 3), (4, long, 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_email int")
+    assert pii.find(docs.selectExpr("*", "1 AS __text")).count() == 5
     found = {r.doc_id: r for r in pii.find(docs).collect()}
     assert pii.find(docs).count() == 5 and found[3].n_email == 1 and found[1].spans == ""
     assert found[4].spans == "email:400000:400008"

@@ -45,3 +45,31 @@ def test_odd_rows_and_tables(spark):
     labels = spark.createDataFrame([(9, 1)], "doc_id long, quality int")
     none = qk.fit(docs, labels)
     assert {r.score for r in qk.score(docs, none).collect()} == {0.5}
+
+
+def test_ties_go_to_the_smaller_ids():
+    """Of neighbours at one similarity those that come first in the model, which is sorted by id."""
+    rng = np.random.default_rng(9)
+    known = qk._unit(rng.normal(size=(6, 8)).astype(np.float32))[rng.integers(0, 6, 50)]
+    y = rng.integers(0, 2, 50).astype(np.float32)
+    model = qk.Model(qk.Settings(neighbours=7, power=1.0), None, None, known, y, 0.5)
+    probes = np.concatenate([known[:4], qk._unit(rng.normal(size=(20, 8)).astype(np.float32))])
+    for block in (1, 5, 256):
+        for probe, got in zip(probes, qk.vote(model, probes, block=block)):
+            close = sorted((-round(float(probe @ k), 5), n) for n, k in enumerate(known))[:7]
+            w = [max(-c, 0) for c, _ in close]
+            want = sum(a * y[n] for a, (_, n) in zip(w, close)) / sum(w) if sum(w) else 0.5
+            assert abs(got - want) < 1e-4
+
+
+def test_space_is_that_of_a_plain_decomposition():
+    """On a small table: similarities in the space against those of numpy's own truncated SVD."""
+    rng = np.random.default_rng(2)
+    topics = [[b"w%d" % rng.integers(20 * t, 20 * t + 20) for _ in range(400)] for t in range(4)]
+    texts = [b" ".join(rng.choice(topics[k % 4], 60)) for k in range(80)]
+    s = qk.Settings(dimensions=6)
+    model = qk.train(texts, [k % 2 for k in range(80)], s)
+    bags = qk._unit(qk._bags(texts, qk._Words(s)) * model.rarity)
+    plain = np.linalg.svd(bags, full_matrices=False)[2][:6].T
+    one, two = qk._unit(bags @ plain), model.vectors
+    assert np.abs(one @ one.T - two @ two.T).max() < 0.05

@@ -56,6 +56,13 @@ def test_order_decides_cost_only(spark):
     assert one == other and 0 < sum(one.values()) < len(one)
 
 
+def test_sample_does_not_follow_the_order_of_rows(spark):
+    docs = spark.createDataFrame([(k % 500, f"text {k % 500}") for k in range(1500)], "doc_id long, text string")
+    one = qr.sample_of(docs, 60)
+    assert 20 <= len(one) <= 60 and one == qr.sample_of(docs.orderBy("text").repartition(3), 60)
+    assert qr.judge(docs.selectExpr("*", "1 AS __text")).count() == 1500
+
+
 def test_plan_puts_rejection_per_cost_first():
     slow = qr.Rule("slow", lambda d: sum(range(20_000)) > 0)
     rare = qr.Rule("rare", lambda d: d.raw.startswith(b"zz"))
