@@ -18,8 +18,12 @@ INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 DIGITS_ONLY = r"^[0-9]+$"
 LOWEST_RATING, HIGHEST_RATING = 1, 5
 
-# an attribute's value in quotes is passed over whole, so nothing inside one looks like ``src``
-IMG_SRC = r"""(?i)<img\b(?:[^>"']|"[^"]*"|'[^']*')*?\ssrc\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# an attribute's value in quotes is passed over whole, so nothing inside one looks like ``src``; runs are
+# possessive, since the engine would otherwise take a level of its stack for every character of a tag
+IMG_SRC = (
+    r"""(?i)<img\b(?:[^>"'\s]++|"[^"]*+"|'[^']*+'|\s++(?!src\s*=))*+"""
+    r"""\s++src\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]+)"""
+)
 LINK_HREF = r"""href="([^"]*)\""""
 
 

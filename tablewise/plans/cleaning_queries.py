@@ -293,6 +293,28 @@ def page_image_src(spark, folder):
     return pages.select("gmap_id", scalars.first_matching_url("html", scalars.IMAGE_URL_PARTS, None).alias("url"))
 
 
+@query(
+    """SELECT CAST(page_id AS VARCHAR) AS gmap_id, CASE WHEN page_id % 5 < 3 THEN
+    'https://lh5.googleusercontent.com/p/' || CAST(page_id AS VARCHAR) ELSE 'none' END AS img_url FROM pages"""
+)
+def filled_page_images(spark, folder):
+    """Items without an image, filled from their pages behind a very long tag: 200,000 plain characters, or
+    50,000 attributes, or a late source; a tag with an open quote, and one without a source, give nothing."""
+    pages = tables.pages(spark, folder)
+    own = F.concat(F.lit(" src="), F.lit('"https://lh5.googleusercontent.com/p/'), F.col("gmap_id"), F.lit('">'))
+    long = F.array(
+        F.concat(F.lit("<img "), F.repeat(F.lit("x"), F.lit(200_000)), own),
+        F.concat(F.lit("<IMG"), F.repeat(F.lit(" a='>'"), F.lit(50_000)), own),
+        F.concat(F.lit('<img data-src="https://lh5.googleusercontent.com/late"'), F.repeat(F.lit(" "), F.lit(100_000)), own),
+        F.concat(F.lit('<img alt="'), F.repeat(F.lit("y "), F.lit(100_000)), F.lit(" src=https://lh5.googleusercontent.com/p")),
+        F.concat(F.lit("<img "), F.repeat(F.lit("z"), F.lit(200_000)), F.lit(">")),
+    )
+    kind = F.pmod(F.col("gmap_id").cast("int"), F.lit(5))
+    pages = pages.select("gmap_id", F.concat("html", F.get(long, kind)).alias("html"))
+    items = pages.select("gmap_id", F.lit(None).cast("string").alias("img_url"))
+    return cleaning.fill_images(items, pages, "none")
+
+
 @query(
     """SELECT CAST(page_id AS VARCHAR) AS gmap_id,
     CASE WHEN contains(url, '/fr/') THEN url ELSE coalesce(list_filter(

@@ -98,12 +98,8 @@ def als_error(spark, folder):
 def als_grid_search(spark, folder):
     pairs = stored(ratings.mean_ratings(tables.reviews(spark, folder)), "pairs")
     coded = stored(als.encode(pairs, als.index_ids(pairs)), "encoded")
-    search = als.tune_als(coded, blocks=4)
-    rows = [
-        (float(m), *[float(p[param]) for param in sorted(p, key=lambda x: x.name)])
-        for m, p in zip(search.avgMetrics, search.getEstimatorParamMaps())
-    ]
-    return spark.createDataFrame(rows, "rmse double, max_iter double, rank double, reg_param double")
+    table = als.grid_errors(coded)
+    return table.selectExpr("rmse", "maxIter AS max_iter", "rank", "regParam AS reg_param")
 
 
 _TRAINED = """crows AS (SELECT * FROM mean_rv WHERE user_id IN (SELECT user_id FROM kept)
