@@ -16,6 +16,7 @@ from tablewise import schemas
 from tablewise.functions.distances import MASKED_COSINE, SQUARED_EUCLIDEAN, Distance, Sums
 from tablewise.operators.ranking import top_n, top_n_per
 from tablewise.operators.ratings import rated
+from tablewise.operators.seeding import Assign, plus_plus_start
 from tablewise.shared import cut, shuffle_partitions, stored, stored_by
 
 # Fixed values
@@ -79,6 +80,19 @@ def _value(distance: Distance) -> Column:
     return F.round(raw, PLACES)
 
 
+def cluster_bits(k: int) -> list[Column]:
+    """The clusters of a group as bit sets ``w0, w1, ...``."""
+    return [
+        F.bit_or(
+            F.when(
+                (F.col("cluster_id") >= w * _WORD) & (F.col("cluster_id") < (w + 1) * _WORD),
+                F.expr(f"shiftleft(1L, cluster_id - {w * _WORD})"),
+            ).otherwise(F.lit(0).cast("bigint"))
+        ).alias(f"w{w}")
+        for w in range(-(-k // _WORD))
+    ]
+
+
 def _lowest_absent(k: int) -> Column:
     """The lowest cluster id missing from the bit sets ``w0, w1, ...``, null when none is."""
     found = F.lit(None).cast("int")
@@ -108,17 +122,8 @@ def assign_clusters(
     if distance.absent is None:
         return _assign_with_norms(ratings, users, centroids, k, distance, sums)
 
-    words = [
-        F.bit_or(
-            F.when(
-                (F.col("cluster_id") >= w * _WORD) & (F.col("cluster_id") < (w + 1) * _WORD),
-                F.expr(f"shiftleft(1L, cluster_id - {w * _WORD})"),
-            ).otherwise(F.lit(0).cast("bigint"))
-        ).alias(f"w{w}")
-        for w in range(-(-k // _WORD))
-    ]
     nearest = sums.select("user_id", "cluster_id", _value(distance).alias("distance"))
-    best = nearest.groupBy("user_id").agg(F.min(F.struct("distance", "cluster_id")).alias("best"), *words)
+    best = nearest.groupBy("user_id").agg(F.min(F.struct("distance", "cluster_id")).alias("best"), *cluster_bits(k))
     # a cluster the user shares nothing with may still be the nearest
     absent = F.lit(distance.absent)
     id_absent = _lowest_absent(k)
@@ -249,8 +254,8 @@ def kmeans(
 ) -> KMeansResult:
     """Rounds of assignment and mean under the distance.
 
-    ``init`` is ``"random"``, a table of centroids, or ``"euclidean"``: the centres of a complete run
-    of the same rounds under the squared Euclidean distance from the random start. A run stops when
+    ``init`` is ``"random"``, ``"k-means++"``, a table of centroids, or ``"euclidean"``: the centres of
+    a complete run of the same rounds under the squared Euclidean distance from the k-means++ start. A run stops when
     the total error changes by less than ``tol`` or no centroid cell moves, with the centroids that
     the assignments belong to, or after ``max_iter`` rounds. The mean does not minimise every
     distance, so the error may rise.
@@ -261,14 +266,28 @@ def kmeans(
 def _from_start(parts, k, distance, init, max_iter, tol, seed, broadcast_cells) -> KMeansResult:
     start = init
     if not isinstance(init, DataFrame):
-        if init not in ("euclidean", "random"):
+        if init not in ("euclidean", "k-means++", "random"):
             raise ValueError(f"unknown start {init!r}")
-        start = random_start(_union([r for r, _ in parts]), _union([u for _, u in parts]), k, seed)
+        rows, users = _union([r for r, _ in parts]), _union([u for _, u in parts])
+        if init == "random":
+            start = random_start(rows, users, k, seed)
+        else:
+            start = plus_plus_start(rows, users, k, seed, nearest_of(parts, SQUARED_EUCLIDEAN, broadcast_cells))
         if init == "euclidean":
             start = _rounds(parts, k, SQUARED_EUCLIDEAN, start, ROUNDS, tol, broadcast_cells).centroids
     return _rounds(parts, k, distance, start, max_iter, tol, broadcast_cells)
 
 
+def nearest_of(parts, distance: Distance, broadcast_cells: int = BROADCAST_CELLS) -> Assign:
+    """Assignment to any centroid cells, each part on its own."""
+
+    def assign(cells: DataFrame, k: int) -> DataFrame:
+        n_cells = cells.count()
+        return _union([assign_clusters(r, u, cells, k, distance, n_cells, broadcast_cells) for r, u in parts])
+
+    return assign
+
+
 def _rounds(parts, k, distance, start, max_iter, tol, broadcast_cells) -> KMeansResult:
     centroids = cut(start.select("cluster_id", "gmap_id", "value"))
     n_cells = centroids.count()
@@ -399,26 +418,6 @@ def cluster_rmse(
     return rmse(cluster_predictions(ratings, users, centroids, listed, k))
 
 
-def elbow(
-    ratings: DataFrame,
-    users: DataFrame,
-    ks: Sequence[int],
-    distance: Distance = MASKED_COSINE,
-    init: str = "euclidean",
-    max_iter: int = ROUNDS,
-    tol: float = TOLERANCE,
-    seed: int = 42,
-    hot_rows: int = HOT_ROWS,
-    broadcast_cells: int = BROADCAST_CELLS,
-) -> DataFrame:
-    """Total error per number of clusters; the ratings are laid out once for all runs."""
-    rows, parts = [], _layout(ratings, users, hot_rows)
-    for k in ks:
-        result = _from_start(parts, k, distance, init, max_iter, tol, seed, broadcast_cells)
-        rows.append((k, total_error(result.assignments), len(result.errors)))
-    return ratings.sparkSession.createDataFrame(rows, "k int, total_error double, rounds int")
-
-
 def model_tables(result: KMeansResult, features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Features, centroids and assignments in the schemas of the stored model."""
 

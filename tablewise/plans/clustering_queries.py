@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tablewise.functions.distances import COSINE, SQUARED_EUCLIDEAN
-from tablewise.operators import clustering, ratings, similarity
+from tablewise.operators import choice, clustering, ratings, seeding, similarity
 from tablewise.plans import tables
 from tablewise.plans.registry import query
 from tablewise.plans.tables import with_views
@@ -138,6 +138,136 @@ def kmeans_spread_users(spark, folder):
     return result.assignments.withColumn("distance", F.round("distance", 6))
 
 
+@query()
+def kmeans_euclidean_start(spark, folder):
+    """Both runs go on to their own end, after as many rounds as it takes."""
+    pairs, users = _input(spark, folder)
+    return clustering.kmeans(pairs, users, K, init="euclidean", seed=SEED).assignments.select("user_id", "cluster_id")
+
+
+def _drawn(label):
+    return f"(CAST('0x' || left(md5(user_id || '|{SEED}|{label}'), 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+
+
+def _squares(vectors, users, name):
+    """Squared distance of every user to every vector of the numbered users."""
+    return f"""cells{name} AS (SELECT candidate, gmap_id, rating AS value FROM mean_rv JOIN {vectors} USING (user_id)),
+    norms{name} AS (SELECT v.candidate, coalesce(sum(value * value), 0.0) AS b2 FROM {vectors} v LEFT JOIN cells{name} c
+    ON c.candidate = v.candidate GROUP BY v.candidate),
+    dots{name} AS (SELECT user_id, candidate, sum(rating * value) AS dot FROM mean_rv JOIN cells{name} USING (gmap_id) GROUP BY ALL),
+    squares{name} AS MATERIALIZED (SELECT u.user_id, n.candidate, round(coalesce(a2, 0.0) + b2 - 2 * coalesce(dot, 0.0), 9) AS d
+    FROM {users} u CROSS JOIN norms{name} n LEFT JOIN own ON own.user_id = u.user_id
+    LEFT JOIN dots{name} p ON p.user_id = u.user_id AND p.candidate = n.candidate)"""
+
+
+def _seeded(k, rounds=5, factor=2):
+    steps = [
+        "own AS (SELECT user_id, sum(rating * rating) AS a2 FROM mean_rv GROUP BY user_id)",
+        f"chosen0 AS MATERIALIZED (SELECT 0 AS candidate, user_id FROM us ORDER BY {_drawn('0')}, user_id LIMIT 1)",
+        _squares("chosen0", "us", "0"),
+        "near0 AS MATERIALIZED (SELECT user_id, d, candidate FROM squares0)",
+    ]
+    for r in range(1, rounds + 1):
+        # the new ones by name, behind the ones there are
+        steps += [
+            f"""fresh{r} AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY user_id) - 1 + (SELECT count(*) FROM chosen{r - 1})
+            AS INT) AS candidate, user_id FROM near{r - 1}
+            WHERE {_drawn(r)} * (SELECT sum(d) FROM near{r - 1}) < {factor * k} * d)""",
+            _squares(f"fresh{r}", "us", r),
+            f"chosen{r} AS MATERIALIZED (SELECT * FROM chosen{r - 1} UNION ALL SELECT * FROM fresh{r})",
+            f"""near{r} AS MATERIALIZED (SELECT user_id, min(d) AS d, arg_min(candidate, (d, candidate)) AS candidate FROM
+            (SELECT * FROM near{r - 1} UNION ALL SELECT user_id, d, candidate FROM squares{r}) GROUP BY user_id)""",
+        ]
+    last = f"chosen{rounds}"
+    steps += [
+        _squares(last, last, "c"),
+        f"""weights AS MATERIALIZED (SELECT c.candidate, c.user_id, count(n.user_id) AS w FROM {last} c
+        LEFT JOIN near{rounds} n ON n.candidate = c.candidate GROUP BY ALL)""",
+        f"pick0 AS MATERIALIZED (SELECT arg_min(candidate, -ln({_drawn('pick 0')}) / w) AS candidate, 0 AS cluster_id FROM weights)",
+    ]
+    for j in range(1, k):
+        steps.append(
+            f"""pick{j} AS MATERIALIZED (SELECT * FROM pick{j - 1} UNION ALL SELECT arg_min(candidate, race), {j} FROM
+            (SELECT w.candidate, -ln({_drawn(f"pick {j}").replace("user_id", "w.user_id")}) / (any_value(w.w) * min(s.d)) AS race
+            FROM weights w JOIN squaresc s ON s.user_id = w.user_id JOIN pick{j - 1} p ON p.candidate = s.candidate
+            GROUP BY w.candidate, w.user_id HAVING min(s.d) > 0))"""
+        )
+    steps.append(
+        f"""cent0 AS MATERIALIZED (SELECT p.cluster_id, gmap_id, rating AS value FROM pick{k - 1} p
+        JOIN {last} c ON c.candidate = p.candidate JOIN mean_rv m ON m.user_id = c.user_id)"""
+    )
+    return ", ".join(steps)
+
+
+@query(_sql("SELECT cluster_id, gmap_id, round(value, 6) AS value FROM cent0", _seeded(K)))
+def plus_plus_start(spark, folder):
+    """Users far from each other, drawn in five rounds and reduced to eight."""
+    pairs, users = _input(spark, folder)
+    nearest = clustering.nearest_of([(pairs, users)], SQUARED_EUCLIDEAN)
+    start = seeding.plus_plus_start(pairs, users, K, SEED, nearest)
+    return start.withColumn("value", F.round("value", 6))
+
+
+KS, LIMIT = [2, 4, 6, 8, 12, 16], 12
+TOLERANCE = 4.0  # of the total error, so that the runs end by themselves
+
+
+def _curve(ks, rounds, tol):
+    """Runs of all ``ks``, unrolled; each ends by its own rules, or after all rounds."""
+    # the draw is the same for all, so the first k of it start the run of k
+    steps = [
+        _start(max(ks)).replace("cent0 AS", "all0 AS"),
+        f"ks AS (SELECT unnest({ks}) AS k)",
+        "cells0 AS MATERIALIZED (SELECT k, cluster_id, gmap_id, value FROM all0 JOIN ks ON cluster_id < k)",
+    ]
+    for i in range(rounds + 1):
+        steps += [
+            f"""sums{i} AS (SELECT c.k, m.user_id, c.cluster_id, sum(m.rating * c.value) AS dot, sqrt(sum(m.rating * m.rating)) AS na,
+            sqrt(sum(c.value * c.value)) AS nb FROM mean_rv m JOIN cells{i} c USING (gmap_id) GROUP BY ALL)""",
+            f"""nearest{i} AS MATERIALIZED (SELECT g.k, u.user_id, arg_min(g.cluster_id, (d, g.cluster_id)) AS cluster_id, min(d) AS distance
+            FROM us u CROSS JOIN (SELECT k, CAST(unnest(range(k)) AS INT) AS cluster_id FROM ks) g LEFT JOIN
+            (SELECT k, user_id, cluster_id, round({_MASKED}, 9) + 0.0 AS s FROM sums{i}) s
+            ON s.k = g.k AND s.user_id = u.user_id AND s.cluster_id = g.cluster_id, LATERAL (SELECT coalesce(s, 1.0) AS d)
+            GROUP BY g.k, u.user_id)""",
+            f"""cells{i + 1} AS MATERIALIZED (SELECT k, cluster_id, gmap_id, sum(rating) / any_value(n) AS value FROM mean_rv
+            JOIN nearest{i} USING (user_id) JOIN (SELECT k, cluster_id, count(*) AS n FROM nearest{i} GROUP BY ALL) USING (k, cluster_id)
+            GROUP BY k, cluster_id, gmap_id)""",
+            f"""error{i} AS (SELECT k, {i} AS i, sum(distance) AS e FROM nearest{i} GROUP BY k)""",
+            f"""moved{i} AS (SELECT ks.k, {i} AS i, (SELECT count(*) FROM (SELECT * FROM cells{i} WHERE k = ks.k) a
+            FULL JOIN (SELECT * FROM cells{i + 1} WHERE k = ks.k) b USING (cluster_id, gmap_id)
+            WHERE abs(coalesce(a.value, 0) - coalesce(b.value, 0)) > 1e-8 + 1e-5 * abs(coalesce(b.value, 0))) AS n FROM ks)""",
+        ]
+    errors = " UNION ALL ".join(f"SELECT * FROM error{i}" for i in range(rounds + 1))
+    moves = " UNION ALL ".join(f"SELECT * FROM moved{i}" for i in range(rounds + 1))
+    steps += [
+        f"errors AS ({errors})",
+        f"moves AS ({moves})",
+        f"""ends AS (SELECT a.k, min(a.i) AS i FROM errors a LEFT JOIN errors b ON b.k = a.k AND b.i = a.i - 1
+        JOIN moves m ON m.k = a.k AND m.i = a.i WHERE a.i < {rounds} AND (abs(b.e - a.e) < {tol} OR m.n = 0) GROUP BY a.k)""",
+        f"""curve AS (SELECT ks.k, e.e AS total_error, coalesce(ends.i + 1, {rounds}) AS rounds FROM ks LEFT JOIN ends ON ends.k = ks.k
+        JOIN errors e ON e.k = ks.k AND e.i = coalesce(ends.i, {rounds}))""",
+    ]
+    return ", ".join(steps)
+
+
+@query(
+    _sql(
+        """, scaled AS (SELECT *, (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ()) AS x,
+        (total_error - min(total_error) OVER ()) / (max(total_error) OVER () - min(total_error) OVER ()) AS y FROM curve),
+        under AS (SELECT *, round(first_value(y) OVER w + (last_value(y) OVER w - first_value(y) OVER w) * x - y, 9) AS distance
+        FROM scaled WINDOW w AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+        SELECT CAST(k AS INT) AS k, round(total_error, 4) AS total_error, CAST(rounds AS INT) AS rounds, round(distance, 5) AS distance,
+        row_number() OVER (ORDER BY distance DESC, k) = 1 AS chosen FROM under""",
+        _curve(KS, LIMIT, TOLERANCE),
+    )
+)
+def elbow(spark, folder):
+    """All candidates to their own end, and the one at the knee of the curve."""
+    pairs, users = _input(spark, folder)
+    table = choice.elbow(pairs, users, KS, init="random", max_iter=LIMIT, tol=TOLERANCE, seed=SEED)
+    return table.withColumn("total_error", F.round("total_error", 4)).withColumn("distance", F.round("distance", 5))
+
+
 def _ended(case, k, rounds):
     steps = ", ".join([_start(k), _assigned(0, k), _updated(0), _assigned(1, k)])
     return f"""(WITH {steps} SELECT '{case}' AS stopped_by, {rounds} AS rounds, count(*) AS n_users,
@@ -146,17 +276,19 @@ def _ended(case, k, rounds):
 
 @query(
     with_views(
-        f"{_ended('error', K, 2)} UNION ALL {_ended('unmoved cells', 1, 2)} UNION ALL {_ended('round limit', K, 1)}",
+        f"""(WITH {_curve([K], LIMIT, TOLERANCE)} SELECT 'error' AS stopped_by, CAST(rounds AS INT) AS rounds,
+        (SELECT count(*) FROM us) AS n_users, round(total_error, 4) AS total_error FROM curve)
+        UNION ALL {_ended('unmoved cells', 1, 2)} UNION ALL {_ended('round limit', K, 1)}""",
         "mean_rv",
         "us",
     )
 )
 def kmeans_stops(spark, folder):
-    """The three ways a run ends: any change of the error is small enough; with one cluster nothing moves
+    """The three ways a run ends: the error changes by less than the tolerance; with one cluster nothing moves
     after the first mean; one round is all there may be."""
     pairs, users = _input(spark, folder)
     runs = {
-        "error": clustering.kmeans(pairs, users, K, init="random", tol=1e9, seed=SEED),
+        "error": clustering.kmeans(pairs, users, K, init="random", max_iter=LIMIT, tol=TOLERANCE, seed=SEED),
         "unmoved cells": clustering.kmeans(pairs, users, 1, init="random", tol=0.0, seed=SEED),
         "round limit": clustering.kmeans(pairs, users, K, init="random", max_iter=1, seed=SEED),
     }
@@ -172,25 +304,6 @@ def kmeans_stops(spark, folder):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query()
-def kmeans_euclidean_start(spark, folder):
-    """Both runs go on to their own end, after as many rounds as it takes."""
-    pairs, users = _input(spark, folder)
-    return clustering.kmeans(pairs, users, K, init="euclidean", seed=SEED).assignments.select("user_id", "cluster_id")
-
-
-def _elbow_row(k):
-    steps = ", ".join([_start(k), _assigned(0, k), _updated(0), _assigned(1, k)])
-    return f"(WITH {steps} SELECT CAST({k} AS INT) AS k, round(sum(distance), 4) AS total_error, 1 AS rounds FROM assigned1)"
-
-
-@query(with_views(f"{_elbow_row(4)} UNION ALL {_elbow_row(8)}", "mean_rv", "us"))
-def elbow(spark, folder):
-    pairs, users = _input(spark, folder)
-    table = clustering.elbow(pairs, users, [4, 8], init="random", max_iter=1, seed=SEED)
-    return table.withColumn("total_error", F.round("total_error", 4))
-
-
 def _listed(ratings="mean_rv", n=40, i=0):
     """Items nobody in the cluster rated have the mean 0."""
     return f"""listed AS (SELECT * FROM (SELECT cluster_id, gmap_id, coalesce(value, 0.0) AS score, row_number() OVER

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewise.functions import distances
-from tablewise.operators import clustering, similarity
+from tablewise.operators import choice, clustering, seeding, similarity
 
 RATINGS = "user_id string, gmap_id string, rating double"
 CELLS = "cluster_id int, gmap_id string, value double"
@@ -164,12 +164,82 @@ def test_euclidean_start_and_table_of_errors(spark):
     result = clustering.kmeans(r, u, 3, distances.SQUARED_EUCLIDEAN, init="random", seed=1)
     assert {x.user_id: x.cluster_id for x in result.assignments.collect()} == labels
     assert result.errors == pytest.approx(errors) and len(errors) < 100
-    # the masked run starts where the Euclidean one has ended
+    # the masked run starts where the Euclidean one has ended, which starts at users far apart
+    spread = clustering.kmeans(r, u, 3, distances.SQUARED_EUCLIDEAN, init="k-means++", seed=1)
     both = clustering.kmeans(r, u, 3, init="euclidean", seed=1, max_iter=1)
-    again = clustering.kmeans(r, u, 3, init=result.centroids, max_iter=1)
+    again = clustering.kmeans(r, u, 3, init=spread.centroids, max_iter=1)
     assert both.errors == pytest.approx(again.errors)
-    table = clustering.elbow(r, u, [2, 3], max_iter=2, init="random").collect()
-    assert [x.k for x in table] == [2, 3] and all(x.total_error > 0 for x in table)
+
+
+@pytest.mark.parametrize("init, distance", [("random", distances.MASKED_COSINE), ("k-means++", distances.SQUARED_EUCLIDEAN)])
+def test_runs_advanced_together_end_as_they_do_alone(spark, init, distance):
+    users = random_vectors(30, 12, 8, 0.5) | {"empty": np.zeros(12)}
+    r, u = long_form(spark, users), user_table(spark, users)
+    table = {x.k: x for x in choice.elbow(r, u, [4, 2, 2], distance, init, max_iter=4, seed=1, hot_rows=7).collect()}
+    assert sorted(table) == [2, 4] and sum(x.chosen for x in table.values()) == 1
+    alone = clustering.kmeans(r, u, 4, distance, init, max_iter=4, seed=1)
+    assert (table[4].rounds, table[4].total_error) == (len(alone.errors), pytest.approx(clustering.total_error(alone.assignments)))
+
+
+@pytest.mark.parametrize(
+    "errors, chosen",
+    [
+        ([(2, 100.0), (4, 40.0), (6, 35.0), (8, 33.0)], 4),
+        ([(2, 100.0), (4, 90.0), (6, 30.0), (8, 28.0)], 6),
+        ([(1, 5.0), (2, 5.0), (3, 5.0)], 1),
+        ([(3, 7.0)], 3),
+        ([(1, 4.0), (2, 2.0), (3, 1.0), (4, 1.0), (5, 0.0)], 2),
+    ],
+)
+def test_knee_is_farthest_under_the_chord(spark, errors, chosen):
+    rows = choice.knee(spark.createDataFrame(errors[::-1], "k int, total_error double")).collect()
+    assert [x.k for x in rows if x.chosen] == [chosen] and len(rows) == len(errors)
+    assert choice.knee(spark.createDataFrame([], "k int, total_error double")).isEmpty()
+
+
+def planted_users(groups=6, each=20, width=60):
+    """Groups with tastes far apart; most users are in the first one."""
+    rng = np.random.default_rng(5)
+    tastes = rng.integers(1, 6, (groups, width)) * (rng.random((groups, width)) < 0.5)
+    sizes = [each * 6] + [each // 2] * (groups - 1)
+    rows = {}
+    for g, n in enumerate(sizes):
+        for i in range(n):
+            rows[f"g{g}-{i:03d}"] = np.clip(tastes[g] + rng.integers(-1, 2, width) * (tastes[g] > 0), 0, 5)
+    return rows
+
+
+def test_spread_start_has_a_lower_error_than_a_random_one(spark):
+    users = planted_users()
+    r, u = long_form(spark, users), user_table(spark, users)
+    nearest = clustering.nearest_of([(r, u)], distances.SQUARED_EUCLIDEAN)
+    spread = plain = 0.0
+    for seed in range(3):
+        start = seeding.plus_plus_start(r, u, 6, seed, nearest, rounds=2)
+        assert {x.cluster_id for x in start.collect()} == set(range(6))
+        spread += clustering.total_error(nearest(start, 6))
+        plain += clustering.total_error(nearest(clustering.random_start(r, u, 6, seed), 6))
+    assert spread < 0.8 * plain
+
+
+def test_reduction_is_weighted_and_skips_equal_candidates():
+    squares = np.array([[0.0, 0.0, 9.0], [0.0, 0.0, 9.0], [9.0, 9.0, 0.0]])
+    picks = [seeding.reduced(["a", "b", "c"], np.array([1.0, 1.0, 1.0]), squares, 2, seed) for seed in range(40)]
+    assert all(len(p) == 2 and 2 in p for p in picks)
+    first = [seeding.reduced(["a", "b", "c"], np.array([1.0, 1.0, 50.0]), squares, 1, seed)[0] for seed in range(200)]
+    assert first.count(2) > 180
+    assert sorted(seeding.reduced(["a", "b", "c"], np.ones(3), squares, 5, 1)) == [0, 1, 2]
+
+
+def test_start_with_few_and_empty_users(spark):
+    users = {"a": (1, 2), "b": (1, 2), "c": (0, 0)}
+    r, u = long_form(spark, users), user_table(spark, users)
+    nearest = clustering.nearest_of([(r, u)], distances.SQUARED_EUCLIDEAN)
+    cells = seeding.plus_plus_start(r, u, 3, 1, nearest).collect()
+    assert sorted((x.gmap_id, x.value) for x in cells) == [("i0", 1.0), ("i0", 1.0), ("i1", 2.0), ("i1", 2.0)]
+    assert seeding.plus_plus_start(r.limit(0), u.limit(0), 3, 1, nearest).isEmpty()
+    alike = clustering.kmeans(r, u, 2, init="k-means++")
+    assert alike.assignments.count() == 3
 
 
 def test_full_norm_similarity(spark):
