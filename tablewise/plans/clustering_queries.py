@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tablewise.functions.distances import COSINE, SQUARED_EUCLIDEAN
-from tablewise.operators import choice, clustering, ratings, seeding, similarity
+from tablewise.operators import choice, clustering, ratings, seeding, set_join, similarity
 from tablewise.plans import tables
 from tablewise.plans.registry import query
 from tablewise.plans.tables import with_views
@@ -455,6 +455,26 @@ def user_similarity(spark, folder):
     )
 
 
+_ALIKE = """WITH norms AS (SELECT user_id, sum(rating * rating) AS square FROM mean_rv GROUP BY user_id),
+    dots AS (SELECT a.user_id AS user_a, b.user_id AS user_b, count(*) AS n_common, sum(a.rating * b.rating) AS dot
+    FROM mean_rv a JOIN mean_rv b ON a.gmap_id = b.gmap_id AND a.user_id < b.user_id GROUP BY ALL HAVING count(*) >= {common}),
+    sim AS (SELECT user_a, user_b, n_common, round(dot / greatest(n.square, m.square), 9) AS similarity
+    FROM dots JOIN norms n ON n.user_id = user_a JOIN norms m ON m.user_id = user_b)
+    SELECT * FROM sim WHERE similarity >= {least}"""
+
+
+@query(with_views(_ALIKE.format(common=4, least=0.1), "mean_rv"))
+def similar_users(spark, folder):
+    """Pairs with at least four items in common and a tenth of the highest similarity, not by way of all pairs."""
+    return set_join.similar_users(_input(spark, folder)[0], 4, 0.1)
+
+
+@query(with_views(_ALIKE.format(common=6, least=0.0), "mean_rv"))
+def users_with_common_items(spark, folder):
+    """Pairs with at least six items in common, whatever the similarity."""
+    return set_join.similar_users(_input(spark, folder)[0], 6)
+
+
 @query(
     _sql(
         """SELECT 'feature' AS part, CAST(NULL AS INT) AS cluster_id, count(DISTINCT gmap_id) AS n FROM mean_rv
