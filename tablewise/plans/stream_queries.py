@@ -12,6 +12,7 @@ from tablewise.shared import new_path, stored
 from tablewise.sources import events as event_source
 from tablewise.sources import scans
 from tablewise.streaming import engagement as stream
+from tablewise.streaming import nested
 from tablewise.streaming import reviews as review_stream
 from tablewise.streaming import sinks
 
@@ -67,6 +68,29 @@ def ingested_events(spark, folder):
     return timed.select("event_type", "user_id", "gmap_id", F.unix_millis("ts").alias("ms"))
 
 
+@query(
+    with_views(
+        """SELECT event_type, user_id, CASE WHEN event_type = 'url_click' THEN gmap_id END AS gmap_id, ms FROM
+        (SELECT DISTINCT event_type, user_id, CASE WHEN event_type = 'url_click' THEN gmap_id END AS gmap_id, ms FROM ev
+        WHERE event_type <> 'error')""",
+        "ev",
+    )
+)
+def events_sent_twice(spark, folder):
+    """Every record comes twice, the second time in another batch; each is taken once."""
+    inbox, path = new_path(spark, "inbox"), new_path(spark, "events")
+    raw = _raw(tables.events(spark, folder))
+    for n, order in enumerate(("value", "timestamp")):
+        raw.orderBy(order).coalesce(1).write.parquet(f"{inbox}/part={n}")
+    stream_ = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{inbox}/part=*")
+    # the given events span a month; a sender tries again for minutes
+    job = sinks.ingest_events(stream_, path, path + "-offsets", available_now=True, resent_within="60 days")
+    job.awaitTermination()
+    events, _ = sinks.read_ingested(spark, path, f"timestamp timestamp, {schemas.EVENT}")
+    timed = event_source.event_time(events)
+    return timed.select("event_type", "user_id", "gmap_id", F.unix_millis("ts").alias("ms"))
+
+
 @query(
     with_views(
         """SELECT substr('{"event_type":"error","user_id":"' || user_id, 1, 20) AS value, count(*) AS n FROM ev
@@ -276,6 +300,28 @@ def refreshed_item_stats(spark, folder):
     return changes.refresh_item_stats(items, after, valid).select("gmap_id", "Reviews", "Rating")
 
 
+def _inbox(rows, inbox, n):
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(f"{inbox}/part={n}")
+
+
+@query(_CHANGED + "SELECT user_id, gmap_id, rating, time FROM after")
+def streamed_nested_ratings(spark, folder):
+    """The users' lists after what they had rated and four batches of changes by time, flat again."""
+    base, rows = _stored_and_changed(spark, folder)
+    inbox, path = new_path(spark, "inbox"), new_path(spark, "lists")
+    _inbox(base.select("user_id", "gmap_id", F.lit("add").alias("op"), "rating", "time", F.lit(0).alias("seq")), inbox, 0)
+    ends = [*rows.agg(F.percentile_approx("time", [0.25, 0.5, 0.75])).first()[0], None]
+    start = F.lit(True)
+    for n, end in enumerate([None, *ends]):
+        if n:
+            _inbox(rows.where(start if end is None else start & (F.col("time") <= end)), inbox, n)
+            start = F.col("time") > end if end is not None else start
+        raw = event_source.read_line_files(spark, f"{inbox}/part=*")
+        nested.nested_job(raw, path, path + "-offsets", parts=2, available_now=True).awaitTermination()
+    lists = nested.current_lists(spark, path)
+    return lists.select("user_id", F.explode("ratings").alias("r")).select("user_id", "r.gmap_id", "r.rating", F.col("r.timestamp").alias("time"))
+
+
 def _run_changes(spark, folder, model=None, batches=1):
     """The store after all changes came through the stream, in batches by time, folded every second."""
     base, rows = _stored_and_changed(spark, folder)
