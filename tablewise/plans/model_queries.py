@@ -1,8 +1,10 @@
 """Collaborative filtering, serving lists and item pages."""
 
+import functools
+
 from pyspark.sql import functions as F
 
-from tablewise.operators import als, clustering, ratings, serving
+from tablewise.operators import als, clustering, name_index, pages, ratings, serving
 from tablewise.plans import clustering_queries as cq
 from tablewise.plans import tables, training
 from tablewise.plans.ratings_queries import CLUSTER_INPUT, cluster_settings
@@ -176,6 +178,42 @@ def item_listing_by_address(spark, folder):
     return page.select("gmap_id", "name", "address")
 
 
+@query(
+    _with_items(
+        """SELECT gmap_id, name, rating AS "Rating", reviews AS "Reviews", rank FROM
+        (SELECT *, row_number() OVER (ORDER BY rating DESC NULLS LAST, gmap_id) AS rank FROM shop)
+        WHERE rank > (SELECT (ceil(count(*) / 30.0) - 1) * 30 FROM shop) OR rank BETWEEN 91 AND 120"""
+    )
+)
+def deep_listing_pages(spark, folder):
+    """The fourth and the last page, from blocks of 100 items; the fourth lies in two of them."""
+    path = new_path(spark, "listing")
+    items = _items(spark, folder).select("gmap_id", "name", F.col("Rating").cast("double").alias("Rating"), "Reviews")
+    pages.write_listing(items, path, "Rating", block_rows=100)
+    schema = ", ".join(f"`{n}` {kind}" for n, kind in items.dtypes)
+    last = pages.listing_size(spark, path).first()["total_pages"]
+    shown = [pages.listing_page(spark, path, schema, n, block_rows=100) for n in (4, last)]
+    return shown[0].unionByName(shown[1])
+
+
+@query(
+    with_views(
+        r"""SELECT 'small red' AS pattern, gmap_id, name FROM it WHERE regexp_matches(name, 'small|red', 'i')
+        UNION ALL SELECT 'class', gmap_id, name FROM it WHERE regexp_matches(name, '^[a-m].*ring\b', 'i')
+        UNION ALL SELECT 'scan', gmap_id, name FROM it WHERE regexp_matches(name, 'r.d$', 'i')
+        UNION ALL SELECT 'escape', gmap_id, name FROM it WHERE regexp_matches(name, 'e\s+(ring|bolt)+', 'i')""",
+        "it",
+    )
+)
+def indexed_searches(spark, folder):
+    """Alternatives, a class and a boundary by way of the index; an expression without a run by the scan."""
+    items = tables.items(spark, folder).select("gmap_id", "name")
+    index = stored(name_index.name_index(items), "name-index")
+    patterns = {"small red": "small|red", "class": r"^[a-m].*ring\b", "scan": "r.d$", "escape": r"e\s+(ring|bolt)+"}
+    found = [name_index.indexed_search(items, index, p).select(F.lit(k).alias("pattern"), "gmap_id", "name") for k, p in patterns.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), found)
+
+
 @query(
     with_views(
         """SELECT count(*) AS total, CAST(ceil(count(*) / 30.0) AS BIGINT) AS total_pages FROM it

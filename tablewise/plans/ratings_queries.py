@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablewise.operators import ranking, ratings
+from tablewise.operators import matrix, ranking, ratings
 from tablewise.plans import tables
 from tablewise.plans.registry import query
 from tablewise.plans.tables import with_views
@@ -167,6 +167,18 @@ def pivot_ratings(spark, folder):
     return _rounded(ratings.pivot_ratings(pairs, ["1", "2", "3"]), "1", "2", "3")
 
 
+@query(
+    with_views(
+        """SELECT user_id, gmap_id, dense_rank() OVER (ORDER BY gmap_id) - 1 AS place, round(rating, 6) AS rating FROM mean_rv""",
+        "mean_rv",
+    )
+)
+def matrix_cells(spark, folder):
+    """The matrix of all users and items in slices of 500 columns, read back cell by cell."""
+    pairs = ratings.mean_ratings(tables.reviews(spark, folder))
+    return _rounded(matrix.cells(matrix.matrix(pairs, width=500)), "rating")
+
+
 @query(
     with_views(
         """SELECT user_id, gmap_id, rating, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tablewise import schemas
-from tablewise.operators import changes, clustering, engagement, ratings
+from tablewise.operators import changes, clustering, engagement, ratings, reach
 from tablewise.plans import clustering_queries as cq
 from tablewise.plans import tables
 from tablewise.plans.registry import query
@@ -158,6 +158,34 @@ def click_through(spark, folder):
     return engagement.click_through(tables.events(spark, folder)).withColumn("click_through", F.round("click_through", 6))
 
 
+@query(
+    with_views(
+        """WITH weeks AS (SELECT w, (SELECT min(ms) FROM ev) // 3600000 + 168 * w AS first_hour FROM (SELECT unnest(range(6)) AS w)),
+        spans AS (SELECT w, first_hour, first_hour + 24 * (w + 4) AS end_hour FROM weeks),
+        seen AS (SELECT w, user_id, bool_or(event_type = 'user_entered') AS e, bool_or(event_type = 'url_click') AS c FROM spans JOIN ev
+        ON ms // 3600000 >= first_hour AND ms // 3600000 < end_hour GROUP BY ALL)
+        SELECT s.w, first_hour, end_hour, count(*) FILTER (e) AS users_entered, count(*) FILTER (c) AS users_clicked,
+        count(*) FILTER (e AND c) AS users_both, count(*) FILTER (e AND NOT c) AS users_without_click
+        FROM spans s LEFT JOIN seen ON seen.w = s.w GROUP BY ALL""",
+        "ev",
+    )
+)
+def reach_of_ranges(spark, folder):
+    """Overlapping ranges of days from hourly sketches that came in two batches; the last has no events."""
+    events = tables.events(spark, folder)
+    path = new_path(spark, "sketches")
+    for n in range(2):
+        sinks.append_batch(reach.hourly_sketches(events.where(F.unix_millis("ts") % 2 == n)), n, path)
+    sketches = spark.read.parquet(path).drop("batch_id")
+    first = events.agg(F.floor(F.min(F.unix_millis("ts")) / 3_600_000)).first()[0]
+    ranges = spark.range(6).select(
+        F.col("id").alias("w"),
+        (F.lit(first) + 168 * F.col("id")).alias("first_hour"),
+        (F.lit(first) + 168 * F.col("id") + 24 * (F.col("id") + 4)).alias("end_hour"),
+    )
+    return reach.reach(sketches, ranges)
+
+
 _VISITS = """WITH marked AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) < 1800000
     THEN 0 ELSE 1 END AS opens FROM ev),
     numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS visit FROM marked),
