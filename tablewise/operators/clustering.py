@@ -263,18 +263,24 @@ def kmeans(
     return _from_start(_layout(ratings, users, hot_rows), k, distance, init, max_iter, tol, seed, broadcast_cells)
 
 
+def start_of(parts, k: int, init: str | DataFrame, seed: int, broadcast_cells: int) -> DataFrame:
+    """Centroid cells to start from: a given table, a random draw, or a k-means++ one."""
+    if isinstance(init, DataFrame):
+        return init
+    rows, users = _union([r for r, _ in parts]), _union([u for _, u in parts])
+    if init == "random":
+        return random_start(rows, users, k, seed)
+    if init == "k-means++":
+        return plus_plus_start(rows, users, k, seed, nearest_of(parts, SQUARED_EUCLIDEAN, broadcast_cells))
+    raise ValueError(f"unknown start {init!r}")
+
+
 def _from_start(parts, k, distance, init, max_iter, tol, seed, broadcast_cells) -> KMeansResult:
-    start = init
-    if not isinstance(init, DataFrame):
-        if init not in ("euclidean", "k-means++", "random"):
-            raise ValueError(f"unknown start {init!r}")
-        rows, users = _union([r for r, _ in parts]), _union([u for _, u in parts])
-        if init == "random":
-            start = random_start(rows, users, k, seed)
-        else:
-            start = plus_plus_start(rows, users, k, seed, nearest_of(parts, SQUARED_EUCLIDEAN, broadcast_cells))
-        if init == "euclidean":
-            start = _rounds(parts, k, SQUARED_EUCLIDEAN, start, ROUNDS, tol, broadcast_cells).centroids
+    if isinstance(init, str) and init == "euclidean":
+        start = start_of(parts, k, "k-means++", seed, broadcast_cells)
+        start = _rounds(parts, k, SQUARED_EUCLIDEAN, start, ROUNDS, tol, broadcast_cells).centroids
+    else:
+        start = start_of(parts, k, init, seed, broadcast_cells)
     return _rounds(parts, k, distance, start, max_iter, tol, broadcast_cells)
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tablewise.functions.distances import COSINE, SQUARED_EUCLIDEAN
-from tablewise.operators import choice, clustering, ratings, seeding, set_join, similarity
+from tablewise.operators import bounded, choice, clustering, ratings, seeding, set_join, similarity
 from tablewise.plans import tables
 from tablewise.plans.registry import query
 from tablewise.plans.tables import with_views
@@ -138,6 +138,21 @@ def kmeans_spread_users(spark, folder):
     return result.assignments.withColumn("distance", F.round("distance", 6))
 
 
+@query(
+    _sql(
+        "SELECT user_id, cluster_id, round(distance, 5) AS distance FROM assigned4",
+        _start(K),
+        *[s for i in range(4) for s in (_assigned(i, K, form=_EUCLID), _updated(i))],
+        _assigned(4, K, form=_EUCLID),
+    )
+)
+def kmeans_bounded(spark, folder):
+    """Four Euclidean rounds in which users far from any change are not looked at."""
+    pairs, users = _input(spark, folder)
+    result = bounded.kmeans(pairs, users, K, "random", max_iter=4, seed=SEED)
+    return result.assignments.withColumn("distance", F.round("distance", 5))
+
+
 @query()
 def kmeans_euclidean_start(spark, folder):
     """Both runs go on to their own end, after as many rounds as it takes."""
