@@ -237,8 +237,16 @@ class _Items:
         """Items with a fingerprint near that of a window from one of ``starts``, each once."""
         if self.index is None:  # made in the task, not sent to it
             self.index = _Index(self.prints, self.settings)
-        sums = [_windows(first, hits, v, int(starts[-1]) + 1)[starts] for v in block.vectors(places[hits]).T]
-        prints = np.unique(_signs(np.stack(sums, axis=1)))
+        # running totals over what has begun and what has ended at a start; runs of windows share both
+        order = np.argsort(first, kind="stable")
+        begun = np.searchsorted(first[order], starts, side="right")
+        ended = np.searchsorted(hits, starts, side="left")
+        new = np.append(True, (begun[1:] != begun[:-1]) | (ended[1:] != ended[:-1]))
+        values = block.vectors(places[hits])
+        none = np.zeros((1, 64), dtype=np.int64)
+        sums = np.concatenate([none, np.cumsum(values[order], axis=0)])[begun[new]]
+        sums -= np.concatenate([none, np.cumsum(values, axis=0)])[ended[new]]
+        prints = np.unique(_signs(sums))
         return np.unique(self.index.search(prints, self.settings)[1])
 
     def sharing(self, places: np.ndarray) -> np.ndarray:
