@@ -55,7 +55,7 @@ def two_nearest(ratings: DataFrame, users: DataFrame, centroids: DataFrame, k: i
         "user_id",
         F.col("first.cluster_id").alias("cluster_id"),
         root(F.col("first.d")).alias("upper"),
-        F.coalesce(root(other["d"]), F.lit(float("inf"))).alias("lower"),
+        F.when(other.isNull(), F.lit(float("inf"))).otherwise(root(other["d"])).alias("lower"),
     )
 
 
