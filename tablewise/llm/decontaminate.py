@@ -166,11 +166,12 @@ class Benchmark:
             k = min(self.settings.words, size)
             if k not in ready:
                 values = shingles(h, k)
-                ready[k] = values, self.places(values)
-            values, places = ready[k]
-            hits = np.flatnonzero(places >= 0)
-            if not len(hits):
-                continue
+                places = self.places(values)
+                hits = np.flatnonzero(places >= 0)
+                ready[k] = values, places, hits, int(self.weight[places[hits]].sum())
+            values, places, hits, whole = ready[k]
+            if not len(hits) or 100 * whole < self.settings.hundredths * items.least:
+                continue  # not even the whole text has the weight
             per_window = min(size - k + 1, len(values))  # a shorter text is one window
             reached = np.concatenate([hits, np.maximum(hits - per_window + 1, 0)])
             for piece in np.unique(reached // _PIECE):
@@ -319,7 +320,7 @@ def _finder(shared):
         if len(hashes) > 500_000:
             hashes.clear()
         words = [words_of(t) for t in texts]
-        return [block.matches(np.fromiter((hashes[x] for x in w), dtype=np.uint64, count=len(w))) for w in words]
+        return [block.matches(np.fromiter(map(hashes.__getitem__, w), dtype=np.uint64, count=len(w))) for w in words]
 
     return found
 
