@@ -10,7 +10,7 @@ from tablewise.plans.cleaning_chain import clean
 from tablewise.plans.registry import query
 from tablewise.plans.tables import with_views
 from tablewise.shared import new_path
-from tablewise.sources import scans, sinks
+from tablewise.sources import json_arrays, scans, sinks
 
 
 def _lines(spark, folder):
@@ -64,6 +64,19 @@ def json_array_rows(spark, folder):
     return scans.read_json_array(spark, path + "/*", "gmap_id string, name string, address string, url string")
 
 
+@query(with_views("SELECT gmap_id, name, address, url FROM it", "it"))
+def split_array_rows(spark, folder):
+    """All places in one file that is one array, read by as many tasks as it has ranges."""
+    path = new_path(spark, "one-array")
+    entry = F.to_json(F.struct("gmap_id", "name", "address", "url"))
+    lines = tables.items(spark, folder).select(F.concat(F.lit(","), entry).alias("value"))
+    # an entry without any field stands first, so that all others have their comma
+    first, last = (spark.range(1).select(F.lit(text).alias("value")) for text in ("[{}", "]"))
+    first.unionByName(lines).unionByName(last).coalesce(1).write.text(path)
+    rows, _ = json_arrays.read_split_array(spark, path, "gmap_id string, name string, address string, url string")
+    return rows.where(F.col("gmap_id").isNotNull())
+
+
 @query(with_views("SELECT DISTINCT gmap_id FROM rv", "rv"))
 def id_list(spark, folder):
     path = new_path(spark, "ids")
