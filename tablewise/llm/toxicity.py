@@ -126,14 +126,18 @@ def _reach(model_filters: list[np.ndarray], vectors: np.ndarray) -> list[list[np
 
 def _pool(reach, ids: np.ndarray, starts: np.ndarray, bias: np.ndarray):
     """Largest response of each filter per text, texts x (widths * filters)."""
-    out = []
-    for positions in reach:
-        total = positions[0][ids]
-        for j in range(1, len(positions)):
-            total[:-j] += positions[j][ids[j:]]
-        # the last two places of a text reach only into its own zeros
-        out.append(np.maximum.reduceat(total, starts, axis=0))
-    return np.concatenate(out, axis=1) + bias
+    ends = np.append(starts[1:], len(ids))
+    return np.concatenate([np.maximum.reduceat(_responses(p, ids, ends), starts, axis=0) for p in reach], axis=1) + bias
+
+
+def _responses(positions: list[np.ndarray], ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Response of each filter of one width at each place; none where it would reach into the next text."""
+    total = positions[0][ids]
+    for j in range(1, len(positions)):
+        total[:-j] += positions[j][ids[j:]]
+    for j in range(1, len(positions)):
+        total[ends - j] = -np.inf
+    return total
 
 
 def _sigmoid(x):
@@ -207,9 +211,7 @@ def train(texts: list[bytes], toxic: list[int], settings: Settings = Settings())
             vectors = table[pieces[own]].sum(axis=1) * real[:, None]
             tops, places = [], []
             for positions in _reach(filters, vectors):
-                total = positions[0][local]
-                for j in range(1, len(positions)):
-                    total[:-j] += positions[j][local[j:]]
+                total = _responses(positions, local, starts + lengths)
                 place = np.stack([a + total[a : a + m].argmax(axis=0) for a, m in zip(starts, lengths)])
                 tops.append(np.take_along_axis(total, place, axis=0))
                 places.append(place)
@@ -223,7 +225,7 @@ def train(texts: list[bytes], toxic: list[int], settings: Settings = Settings())
             for k, place in enumerate(places):
                 g = g_pool[:, k * s.filters : (k + 1) * s.filters]
                 for j in range(filters[k].shape[0]):
-                    w = local[np.minimum(place + j, len(local) - 1)]
+                    w = local[place + j]
                     grads[k][j] += np.einsum("tfd,tf->df", vectors[w], g)
                     np.add.at(g_vec, w, g[:, :, None] * filters[k][j].T[None])
             live = np.flatnonzero(np.abs(g_vec).sum(axis=1) * real)

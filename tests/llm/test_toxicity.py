@@ -68,3 +68,36 @@ def test_language_is_read_from_the_text():
     tells = np.array([0, *words.tells])
     names = [toxicity.LANGUAGES[k] for k in toxicity._guess(ids, starts, tells)]
     assert names == ["de", "en", "fr", "other", "other"]
+
+
+def test_pooling_is_a_plain_convolution():
+    """Every place of a text and its two zeros against loops; texts do not see each other."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(30, 6))
+    vectors[0] = 0
+    filters = [rng.normal(size=(w, 6, 4)) for w in (1, 2, 3)]
+    bias = rng.normal(size=12)
+    texts = [rng.integers(1, 30, n).tolist() for n in (1, 2, 3, 9, 1, 40)] + [[0]]
+    ids, starts = [], []
+    for t in texts:
+        starts.append(len(ids))
+        ids += [*t, 0, 0]
+    ids, starts = np.array(ids), np.array(starts)
+    got = toxicity._pool(toxicity._reach(filters, vectors), ids, starts, bias)
+    for row, t in zip(got, texts):
+        padded = [*t, 0, 0]
+        want = [
+            max(sum(vectors[padded[p + j]] @ f[j][:, k] for j in range(len(f))) for p in range(len(padded) - len(f) + 1))
+            for f in filters
+            for k in range(4)
+        ]
+        assert np.allclose(row, np.array(want) + bias)
+
+
+def test_a_score_does_not_depend_on_the_texts_around():
+    model = toxicity.train(*made(400))
+    texts, _ = made(60, seed=2)
+    together, _ = toxicity.scorer(model)()(texts)
+    alone = [toxicity.scorer(model)()([t])[0][0] for t in texts]
+    other, _ = toxicity.scorer(model)()(texts[::-1])
+    assert np.allclose(together, alone, atol=1e-6) and np.allclose(together, other[::-1], atol=1e-6)
