@@ -71,40 +71,40 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
     return (value ^ (value >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _block_values(prints: np.ndarray, blocks: int) -> np.ndarray:
-    """Values of the blocks of 64-bit fingerprints, and the width of each block."""
-    edges = np.linspace(0, 64, blocks + 1).astype(int)
-    parts = [(prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(edges[:-1], edges[1:])]
-    return np.stack(parts, axis=-1).astype(np.int64)
-
-
 class _Index:
     """Items of one size: their fingerprints under all block values within the block radius."""
 
     def __init__(self, prints: np.ndarray, settings: Settings):
         self.prints = prints
         edges = np.linspace(0, 64, settings.blocks + 1).astype(int)
-        values, near = _block_values(prints, settings.blocks), settings.radius // settings.blocks
-        self.starts, self.items = [], []
-        for k, width in enumerate(np.diff(edges)):
+        widths, near = np.diff(edges), settings.radius // settings.blocks
+        self.shift = edges[:-1].astype(np.uint64)
+        self.mask = np.array([(1 << w) - 1 for w in widths.tolist()], dtype=np.uint64)
+        # values of all blocks in one table: where a block begins, and where a value's items begin
+        self.base = np.append(0, np.cumsum(1 << widths[:-1]))
+        values, starts, items = self._values(prints) - self.base, [], []
+        for k, width in enumerate(widths.tolist()):
             flips = [sum(1 << b for b in c) for r in range(near + 1) for c in combinations(range(width), r)]
             filed = (values[:, k, None] ^ np.array(flips)[None]).ravel()
             owner = np.repeat(np.arange(len(prints)), len(flips))
             order = np.argsort(filed, kind="stable")
-            self.items.append(owner[order])
-            self.starts.append(np.searchsorted(filed[order], np.arange((1 << width) + 1)))
+            starts.append(np.searchsorted(filed[order], np.arange(1 << width)) + sum(map(len, items)))
+            items.append(owner[order])
+        self.items = np.concatenate(items)
+        self.starts = np.append(np.concatenate(starts), len(self.items))
+
+    def _values(self, prints: np.ndarray) -> np.ndarray:
+        """Place in the table of each block's value."""
+        return ((prints[:, None] >> self.shift) & self.mask).astype(np.int64) + self.base
 
     def search(self, prints: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs within the radius, each once."""
-        values = _block_values(prints, settings.blocks)
-        found = []
-        for k in range(settings.blocks):
-            lo, hi = self.starts[k][values[:, k]], self.starts[k][values[:, k] + 1]
-            n = hi - lo
-            window = np.repeat(np.arange(len(prints)), n)
-            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            found.append(window * len(self.prints) + self.items[k][place])
-        pair = np.unique(np.concatenate(found))
+        values = self._values(prints).ravel()
+        lo = self.starts[values]
+        n = self.starts[values + 1] - lo
+        window = np.repeat(np.arange(len(values)) // settings.blocks, n)
+        place = np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)
+        pair = np.unique(window * len(self.prints) + self.items[place])
         window, item = pair // len(self.prints), pair % len(self.prints)
         ok = np.bitwise_count(prints[window] ^ self.prints[item]) <= settings.radius
         return window[ok], item[ok]
