@@ -175,9 +175,9 @@ def test_euclidean_start_and_table_of_errors(spark):
 def test_runs_advanced_together_end_as_they_do_alone(spark, init, distance):
     users = random_vectors(30, 12, 8, 0.5) | {"empty": np.zeros(12)}
     r, u = long_form(spark, users), user_table(spark, users)
-    table = {x.k: x for x in choice.elbow(r, u, [4, 2, 2], distance, init, max_iter=4, seed=1, hot_rows=7).collect()}
+    table = {x.k: x for x in choice.elbow(r, u, [4, 2, 2], distance, init, max_iter=2, seed=1, hot_rows=7).collect()}
     assert sorted(table) == [2, 4] and sum(x.chosen for x in table.values()) == 1
-    alone = clustering.kmeans(r, u, 4, distance, init, max_iter=4, seed=1)
+    alone = clustering.kmeans(r, u, 4, distance, init, max_iter=2, seed=1)
     assert (table[4].rounds, table[4].total_error) == (len(alone.errors), pytest.approx(clustering.total_error(alone.assignments)))
 
 
