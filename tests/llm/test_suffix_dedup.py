@@ -52,6 +52,17 @@ def test_suffix_array_and_common_prefixes(letters, n):
     assert got.tolist() == [0] + [common(a, b) for a, b in zip(order[:-1], order[1:])]
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_repeats_longer_than_the_sorted_depth(seed):
+    rng = np.random.default_rng(seed)
+    passage = rng.integers(97, 101, 100).astype(np.uint8).tobytes()
+    bodies = [rng.integers(97, 101, 150).astype(np.uint8).tobytes() + passage for _ in range(8)]
+    place, _, count = suffix_dedup.repeated_windows(bodies, np.ones(8, dtype=np.int64), 40)
+    seen = Counter(b[i : i + 40] for b in bodies for i in range(len(b) - 39))
+    want = [k * 250 + i for k, b in enumerate(bodies) for i in range(len(b) - 39) if seen[b[i : i + 40]] > 1]
+    assert sorted(place[count >= 2].tolist()) == want
+
+
 def test_equal_windows_have_one_anchor():
     s = Settings(length=40, gram=16)
     rng = np.random.default_rng(5)
