@@ -10,9 +10,13 @@ such item are never looked at. The others are compared in full.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewise.operators import common_items
 from tablewise.shared import stored
 
 # a bound may be passed by a float's error only
@@ -53,6 +57,40 @@ def candidate_pairs(ratings: DataFrame, min_common: int, least: float) -> DataFr
     return pairs.select(F.col("user_id_a").alias("few"), F.col("user_id_b").alias("many"), high.alias("square")).distinct()
 
 
+def _lists_are_less(rows: DataFrame, min_common: int, least: float) -> bool:
+    """Whether the pairs of ratings of one item are fewer than the rows that comparing the candidates takes."""
+    by_item = first_items(rows, min_common, least).groupBy("gmap_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pairs = by_item.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0.0
+    mean = rows.agg(F.try_divide(F.count(F.lit(1)), F.count_distinct("user_id"))).first()[0] or 0.0
+    return common_items.entries(rows) <= pairs * mean
+
+
+def _listed_pairs(min_common: int):
+    def finish(ids_a: pa.Array, ids_b: pa.Array, sums: np.ndarray, more: dict) -> pa.RecordBatch:
+        columns = [ids_a, ids_b, pa.array(np.maximum(*more["square"])), pa.array(sums[0].astype(np.int64)), pa.array(sums[1])]
+        pairs = pa.RecordBatch.from_arrays(columns, names=["few", "many", "square", "n_common", "dot"])
+        return pairs.filter(pc.and_(pc.not_equal(ids_a, ids_b), pa.array(sums[0] >= min_common)))
+
+    return finish
+
+
+def _sums_by_lists(rows: DataFrame, min_common: int) -> DataFrame:
+    square = F.sum(F.col("rating") * F.col("rating")).alias("square")
+    vectors = rows.join(rows.groupBy("user_id").agg(square), "user_id")
+    schema = "few string, many string, square double, n_common bigint, dot double"
+    return common_items.common_sums(vectors, _listed_pairs(min_common), schema, ["square"])
+
+
+def _sums_of_candidates(rows: DataFrame, min_common: int, least: float) -> DataFrame:
+    pairs = stored(candidate_pairs(rows, min_common, least), "candidate-pairs")
+    few = rows.select(F.col("user_id").alias("few"), "gmap_id", F.col("rating").alias("x"))
+    many = rows.select(F.col("user_id").alias("many"), "gmap_id", F.col("rating").alias("y"))
+    # the shorter vector is spread out, and finds its partners in the longer one
+    return pairs.join(few, "few").join(many, ["many", "gmap_id"]).groupBy("few", "many", "square").agg(
+        F.count(F.lit(1)).alias("n_common"), F.sum(F.col("x") * F.col("y")).alias("dot")
+    )
+
+
 def similar_users(ratings: DataFrame, min_common: int = 1, least: float = 0.0) -> DataFrame:
     """``(user_a, user_b, n_common, similarity)`` of all pairs of different users with ``min_common`` rated
     items in common and a similarity of ``least``, each once with ``user_a < user_b``.
@@ -63,13 +101,8 @@ def similar_users(ratings: DataFrame, min_common: int = 1, least: float = 0.0) -
         raise ValueError("min_common starts at 1, and least lies between 0 and 1")
     positive = ratings.where(F.col("rating") > 0)
     rows = stored(positive.select("user_id", "gmap_id", F.col("rating").cast("double").alias("rating")), "rated")
-    pairs = stored(candidate_pairs(rows, min_common, least), "candidate-pairs")
-    few = rows.select(F.col("user_id").alias("few"), "gmap_id", F.col("rating").alias("x"))
-    many = rows.select(F.col("user_id").alias("many"), "gmap_id", F.col("rating").alias("y"))
-    # the shorter vector is spread out, and finds its partners in the longer one
-    sums = pairs.join(few, "few").join(many, ["many", "gmap_id"]).groupBy("few", "many", "square").agg(
-        F.count(F.lit(1)).alias("n_common"), F.sum(F.col("x") * F.col("y")).alias("dot")
-    )
+    less = _lists_are_less(rows, min_common, least)
+    sums = _sums_by_lists(rows, min_common) if less else _sums_of_candidates(rows, min_common, least)
     similarity = F.round(F.col("dot") / F.col("square"), 9)
     found = sums.where(F.col("n_common") >= min_common).select(
         F.least("few", "many").alias("user_a"), F.greatest("few", "many").alias("user_b"), "n_common", similarity.alias("similarity")

@@ -1,6 +1,6 @@
 """All-pairs user similarity and the silhouette of a clustering.
 
-Users are dealt into blocks. A task gets the vectors of two blocks and sums over common items for all
+Where few users share an item, pairs are found by way of the items' lists of raters. Otherwise users are dealt into blocks. A task gets the vectors of two blocks and sums over common items for all
 their pairs with NumPy, so no pair is shuffled before its sums are whole, and no task holds more than
 two blocks. An item that everybody rated is spread over all block pairs like any other.
 """
@@ -11,16 +11,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions.distances import FULL_NORM_COSINE, MASKED_COSINE, Distance, Sums
+from tablewise.operators import common_items
 from tablewise.shared import stored
 
 BLOCK_USERS = 1_000
 BLOCK_ROWS = 500_000
 # pairs that are expanded at once inside a task
 _AT_ONCE = 2_000_000
+# entries of lists that are shuffled for the price of a row's copy
+_ENTRIES_PER_COPY = 4
 
 
 def _pairs_of_common_items(a: np.ndarray, b: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -72,15 +77,26 @@ def _once(group: pd.DataFrame, ids_a: np.ndarray, ids_b: np.ndarray) -> np.ndarr
     return np.triu(every) if same else every
 
 
+def _block_figures(vectors: DataFrame, block_users: int, block_rows: int) -> tuple[int, int, int]:
+    """Number of blocks, rows, and rows of the longest vector."""
+    per_user = vectors.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    row = per_user.agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
+    users, rows, longest = (x or 0 for x in row)
+    return max(1, -(-users // block_users), -(-rows // block_rows)), rows, longest
+
+
+def _few_in_common(vectors: DataFrame, block_users: int, block_rows: int, sides: int = 1) -> bool:
+    """Whether the items' lists of raters give fewer entries than blocks give copies of the rows."""
+    n, rows, _ = _block_figures(vectors, block_users, block_rows)
+    return n > 1 and sides * common_items.entries(vectors) <= _ENTRIES_PER_COPY * n * rows
+
+
 def _blocks(vectors: DataFrame, block_users: int, block_rows: int) -> tuple[DataFrame, int]:
     """Vectors once per pair of blocks they take part in, and the number of item slabs.
 
     There is one slab unless a single user has more rows than a block may hold.
     """
-    per_user = vectors.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    row = per_user.agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).first()
-    users, rows, longest = (x or 0 for x in row)
-    n = max(1, -(-users // block_users), -(-rows // block_rows))
+    n, _, longest = _block_figures(vectors, block_users, block_rows)
     slabs = max(1, -(-longest // block_rows))
     block = F.pmod(F.xxhash64("user_id"), F.lit(n)).cast("int")
     slab = F.pmod(F.xxhash64("gmap_id"), F.lit(slabs)).cast("int")
@@ -118,11 +134,19 @@ def _pair_sums(group: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _listed_sums(ids_a: pa.Array, ids_b: pa.Array, sums: np.ndarray, _) -> pa.RecordBatch:
+    columns = [ids_a, ids_b, *map(pa.array, sums)]
+    return pa.RecordBatch.from_arrays(columns, names=["user_a", "user_b", "n", "dot", "a2", "b2"])
+
+
 def pair_sums(
     vectors: DataFrame, block_users: int = BLOCK_USERS, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Sums over common items of all user pairs that have one, each once with ``user_a <= user_b``."""
-    placed, slabs = _blocks(vectors.select("user_id", "gmap_id", "rating"), block_users, block_rows)
+    vectors = vectors.select("user_id", "gmap_id", "rating")
+    if _few_in_common(vectors, block_users, block_rows):
+        return common_items.common_sums(vectors, _listed_sums, _PAIR_SUMS)
+    placed, slabs = _blocks(vectors, block_users, block_rows)
     sums = placed.groupBy("low", "high", "slab").applyInPandas(_pair_sums, _PAIR_SUMS)
     if slabs == 1:
         return sums
@@ -142,18 +166,45 @@ def user_similarity(
     if distance.absent is None:
         raise ValueError("the distance needs a fixed value for pairs without a common item")
     positive = ratings.where(F.col("rating") > 0)
-    sums = pair_sums(positive, block_users, block_rows)
-    full = (None, None)
     if distance.full_norms:
         square = F.sum(F.col("rating") * F.col("rating"))
         norms = ratings.groupBy("user_id").agg(square.cast("double").alias("norm"))
         norms = stored(norms, "norms")
+        if _few_in_common(positive, block_users, block_rows):
+            return common_items.common_sums(
+                positive.join(norms, "user_id"), _listed_similarity(distance), "user_a string, user_b string, similarity double", ["norm"]
+            )
+    sums = pair_sums(positive, block_users, block_rows)
+    full = (None, None)
+    if distance.full_norms:
         sums = sums.join(norms.toDF("user_a", "full_a2"), "user_a").join(norms.toDF("user_b", "full_b2"), "user_b")
         full = (F.col("full_a2"), F.col("full_b2"))
     value = distance.formula(Sums(F.col("dot"), F.col("a2"), F.col("b2"), *full), F.greatest)
     return sums.select("user_a", "user_b", (1 - value).alias("similarity"))
 
 
+def _listed_similarity(distance: Distance):
+    def finish(ids_a: pa.Array, ids_b: pa.Array, sums: np.ndarray, more: dict) -> pa.RecordBatch:
+        value = distance.formula(Sums(*sums[1:], *more["norm"]), np.maximum)
+        return pa.RecordBatch.from_arrays([ids_a, ids_b, pa.array(1 - value)], names=["user_a", "user_b", "similarity"])
+
+    return finish
+
+
+def _listed_distances(distance: Distance):
+    """As ``_cluster_distances``, for pairs that come either way round."""
+
+    def finish(ids_a: pa.Array, ids_b: pa.Array, sums: np.ndarray, more: dict) -> pa.RecordBatch:
+        value = distance.formula(Sums(*sums[1:], *more.get("norm", (None, None))), np.maximum) - distance.absent
+        pairs = {"user_id": ids_a, "other_cluster": more["cluster_id"][1], "excess": value}
+        apart = pa.table(pairs).filter(pc.not_equal(ids_a, ids_b))
+        total = apart.group_by(["user_id", "other_cluster"]).aggregate([("excess", "sum")])
+        columns = [total.column(c).combine_chunks() for c in ("user_id", "other_cluster", "excess_sum")]
+        return pa.RecordBatch.from_arrays(columns, names=["user_id", "other_cluster", "excess"])
+
+    return finish
+
+
 def _cluster_distances(distance: Distance):
     """Per user and cluster: sum of the distances to members it shares an item with, less the same
     number of times the distance of a pair that shares none."""
@@ -215,13 +266,13 @@ def silhouette(
     if distance.full_norms:
         square = F.sum(F.col("rating") * F.col("rating")).cast("double").alias("norm")
         vectors = vectors.join(vectors.groupBy("user_id").agg(square), "user_id")
-    placed, slabs = _blocks(vectors, block_users, block_rows)
-    if slabs == 1:
-        part = placed.groupBy("low", "high").applyInPandas(
-            _cluster_distances(distance), "user_id string, other_cluster int, excess double"
-        )
+    shape = "user_id string, other_cluster int, excess double"
+    if _few_in_common(vectors, block_users, block_rows, sides=2):
+        extras = ["cluster_id", "norm"] if distance.full_norms else ["cluster_id"]
+        rows = vectors.withColumn("cluster_id", F.col("cluster_id").cast("int"))
+        part = common_items.common_sums(rows, _listed_distances(distance), shape, extras, both=True)
     else:
-        part = _excess_of_pairs(vectors, members, distance, block_users, block_rows)
+        part = _excess_of_blocks(vectors, members, distance, block_users, block_rows, shape)
     excess = part.groupBy("user_id", "other_cluster").agg(F.sum("excess").alias("excess"))
 
     # one row per cluster, so bounded by their number
@@ -246,6 +297,13 @@ def silhouette(
     )
 
 
+def _excess_of_blocks(vectors, members, distance, block_users, block_rows, shape: str) -> DataFrame:
+    placed, slabs = _blocks(vectors, block_users, block_rows)
+    if slabs == 1:
+        return placed.groupBy("low", "high").applyInPandas(_cluster_distances(distance), shape)
+    return _excess_of_pairs(vectors, members, distance, block_users, block_rows)
+
+
 def _excess_of_pairs(vectors, members, distance, block_users, block_rows) -> DataFrame:
     """The same sums by way of pairs, for vectors too long for one task."""
     sums = pair_sums(vectors, block_users, block_rows).where(F.col("user_a") != F.col("user_b"))

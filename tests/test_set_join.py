@@ -5,7 +5,8 @@ import math
 import numpy as np
 import pytest
 
-from tablewise.operators import set_join
+from tablewise.functions import distances
+from tablewise.operators import common_items, set_join, similarity
 
 RATINGS = "user_id string, gmap_id string, rating double"
 
@@ -69,3 +70,42 @@ def test_empty_and_wrong_settings(spark):
     for common, least in ((0, 0.1), (1, 1.1), (1, -0.1)):
         with pytest.raises(ValueError):
             set_join.similar_users(empty, common, least)
+
+
+def sparse_users(users=90, width=400, each=9):
+    rng = np.random.default_rng(3)
+    return {f"u{u:03d}": {int(i): float(rng.integers(1, 6)) for i in {0, *rng.choice(width, each)}} for u in range(users)}
+
+
+@pytest.mark.parametrize("at_once, list_rows", [(1_000_000, 1_000), (50, 1_000), (200, 20)])
+def test_sums_by_lists_of_raters_are_those_of_blocks(spark, monkeypatch, at_once, list_rows):
+    monkeypatch.setattr(common_items, "_AT_ONCE", at_once)
+    ratings = frame(spark, sparse_users())
+    want = {(r.user_a, r.user_b): tuple(r)[2:] for r in similarity.pair_sums(ratings).collect()}
+    listed = common_items.common_sums(ratings, similarity._listed_sums, similarity._PAIR_SUMS, list_rows=list_rows).collect()
+    assert {(r.user_a, r.user_b): tuple(r)[2:] for r in listed} == want and len(listed) == len(want)
+
+
+def test_few_common_items_take_no_blocks_and_no_candidates(spark, monkeypatch):
+    users = sparse_users()
+    for u in users.values():
+        u.pop(0)
+    ratings = frame(spark, users)
+    groups = spark.createDataFrame([(u, n % 3) for n, u in enumerate(users)], "user_id string, cluster_id int")
+    whole = [similarity.user_similarity(ratings).collect(), similarity.silhouette(ratings, groups, distances.COSINE).collect()]
+    pairs = brute(users, 2, 0.0)
+
+    def no(*_):
+        raise AssertionError("copies of all rows")
+
+    monkeypatch.setattr(similarity, "_blocks", no)
+    monkeypatch.setattr(set_join, "candidate_pairs", no)
+    rows = set_join.similar_users(ratings, 2).collect()
+    assert {(r.user_a, r.user_b): (r.n_common, r.similarity) for r in rows} == pairs and pairs
+    lists = [
+        similarity.user_similarity(ratings, block_users=9).collect(),
+        similarity.silhouette(ratings, groups, distances.COSINE, block_users=9).collect(),
+    ]
+    for got, want in zip(lists, whole):
+        assert len(got) == len(want)
+        assert {tuple(r)[:2]: r[2] for r in got} == pytest.approx({tuple(r)[:2]: r[2] for r in want})
