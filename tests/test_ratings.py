@@ -96,3 +96,11 @@ def test_macro_stats_of_nothing(spark):
     empty = spark.createDataFrame([], REVIEWS)
     row = explore.macro_stats(empty, empty.select("user_id")).first()
     assert (row.total_reviews, row.total_users, row.average_rating, row.reviews_per_user) == (0, 0, None, None)
+
+
+def test_pivot_groups_no_rating_of_other_items(spark):
+    rows = [("u", "a", 2.0), ("u", "z", 5.0), ("v", "z", 1.0), (None, "b", 3.0), ("w", "b", None)]
+    pairs = spark.createDataFrame(rows, "user_id string, gmap_id string, rating double")
+    wide = ratings.pivot_ratings(pairs, ["a", "b"])
+    assert "pivotfirst" not in wide._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x.user_id or "", x.a, x.b) for x in wide.collect()) == [("", 0, 3), ("u", 2, 0), ("v", 0, 0), ("w", 0, 0)]
