@@ -30,10 +30,10 @@ class Bounded(NamedTuple):
     skipped: list[float]  # share of users not looked at, per round
 
 
-def two_nearest(ratings: DataFrame, users: DataFrame, centroids: DataFrame, k: int, n_cells: int, limit: int) -> DataFrame:
+def two_nearest(ratings: DataFrame, users: DataFrame, centroids: DataFrame, k: int, n_cells: int, limit: int, together: bool = False) -> DataFrame:
     """``(user_id, cluster_id, upper, lower)``: the nearest centroid, its distance and that of the next one."""
     a = F.col("rating").cast("double")
-    sums = c.cell_sums(ratings, centroids, SQUARED_EUCLIDEAN, n_cells, limit)
+    sums = c.cell_sums(ratings, centroids, SQUARED_EUCLIDEAN, n_cells, limit, together)
     entry = F.struct(c._value(SQUARED_EUCLIDEAN).alias("d"), "cluster_id")
     near = sums.select("user_id", entry.alias("entry")).groupBy("user_id").agg(
         # at most k entries
@@ -93,15 +93,16 @@ def rounds(parts, k: int, start: DataFrame, max_iter: int, tol: float, limit: in
 
     def assign(widened: DataFrame | None) -> tuple[DataFrame, float]:
         if widened is None:
-            return cut(c._union([two_nearest(r, u, centroids, k, n_cells, limit) for r, u in parts])), 0.0
+            first = [two_nearest(r, u, centroids, k, n_cells, limit, not i) for i, (r, u) in enumerate(parts)]
+            return cut(c._union(first)), 0.0
         open_ = stored(widened.where("crossed").select("user_id"), "open-users")
         n_open = open_.count()
         kept = widened.where("NOT crossed").drop("crossed")
         if not n_open:
             return cut(kept), 1.0
         again = [
-            two_nearest(r.join(open_, "user_id", "left_semi"), u.join(open_, "user_id", "left_semi"), centroids, k, n_cells, limit)
-            for r, u in parts
+            two_nearest(r.join(open_, "user_id", "left_semi"), u.join(open_, "user_id", "left_semi"), centroids, k, n_cells, limit, not i)
+            for i, (r, u) in enumerate(parts)
         ]
         return cut(c._union([kept, *again])), 1 - n_open / max(1, n_users)
 

@@ -7,6 +7,7 @@ number of clusters ``k`` of their run, and sums go per (user, run, cluster). A r
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,15 +27,20 @@ def _grid(df: DataFrame, ks: Sequence[int]) -> DataFrame:
 
 
 def assign_runs(
-    ratings: DataFrame, users: DataFrame, cells: DataFrame, ks: Sequence[int], distance: Distance, n_cells: int, limit: int
+    ratings: DataFrame, users: DataFrame, cells: DataFrame, ks: Sequence[int], distance: Distance, n_cells: int, limit: int,
+    together: bool = False,
 ) -> DataFrame:
     """``(k, user_id, cluster_id, distance)`` of the nearest centroid of every run, the lowest id on ties."""
     a, b = F.col("rating").cast("double"), F.col("value")
     own = ratings.where(rated())
-    joined = own.join(c._limited_broadcast(cells.where(rated("value")), n_cells, limit), "gmap_id")
-    sums = joined.groupBy("user_id", "k", "cluster_id").agg(
-        F.sum(a * b).alias("dot"), F.sum(a * a).alias("a2"), F.sum(b * b).alias("b2")
-    )
+    # the clusters of all runs in one numbering
+    starts = dict(zip(ks, accumulate([0, *ks[:-1]])))
+    first = F.element_at(F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]), F.col("k"))
+    placed = cells.where(rated("value")).where(F.col("k").isin(list(ks))).withColumn("place", F.col("cluster_id") + first)
+    sums = c.panel_sums(own, c.panels(placed, place="place"), n_cells, limit, together, place="place")
+    runs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(at).alias("at")) for k, at in starts.items()])
+    run = F.element_at(F.filter(runs, lambda r: r["at"] <= F.col("place")), -1)
+    sums = sums.select("user_id", run["k"].alias("k"), (F.col("place") - run["at"]).alias("cluster_id"), "dot", "a2", "b2")
     everyone = _grid(users.select("user_id"), ks)
     if distance.full_norms:
         squares = own.groupBy("user_id").agg(F.sum(a * a).alias("full_a2"))
@@ -104,7 +110,7 @@ def _advance(parts, cells: DataFrame, distance: Distance, max_iter: int, tol: fl
 
     def assigned() -> DataFrame:
         n_cells = cells.count()
-        return cut(c._union([assign_runs(r, u, cells, open_, distance, n_cells, limit) for r, u in parts]))
+        return cut(c._union([assign_runs(r, u, cells, open_, distance, n_cells, limit, not i) for i, (r, u) in enumerate(parts)]))
 
     for _ in range(max_iter):
         if not open_:
