@@ -1,7 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tablewise.operators import als, serving
+from tablewise.plans import training
+from tablewise.shared import new_path
 
 ITEMS = "gmap_id string, name string, address string, url string, img_url string, Rating double, Reviews bigint"
 USERS = "user_id string, ratings array<struct<rating:int,timestamp:bigint,gmap_id:string>>"
@@ -108,3 +111,28 @@ def test_index_is_by_frequency_then_id_and_skips_nulls(spark):
     index = als.index_ids(df)
     assert {r.user_id: r.user_index for r in index.users.collect()} == {"c": 0, "a": 1, "b": 2}
     assert {r.gmap_id: r.rest_id for r in index.items.collect()} == {"x": 0, "z": 1, "y": 2}
+
+
+def test_lists_made_chunk_by_chunk_are_those_of_all_items(spark):
+    rows = [(u, i, float((u * 7 + i * 3) % 5 + 1)) for u in range(30) for i in range(u % 3, 40, 3)]
+    coded = spark.createDataFrame(rows, "user_index int, rest_id int, rating float")
+    model = als.train_als(coded, blocks=2, max_iter=3)
+    users = {x.id: np.array(x.features, float) for x in model.userFactors.collect()}
+    items = {x.id: np.array(x.features, float) for x in model.itemFactors.collect()}
+    want = {u: sorted((-np.float32(a @ b), i) for i, b in items.items())[:5] for u, a in users.items()}
+    for chunk in (3, 17, 1000):
+        got = {}
+        for x in als.recommend_all(model, 5, chunk).collect():
+            got.setdefault(x.user_index, []).append((-x.score, x.rest_id))
+        assert {u: [s for s, _ in sorted(v)] for u, v in got.items()} == {
+            u: pytest.approx([s for s, _ in v], rel=1e-6) for u, v in want.items()
+        }
+        assert all(len({i for _, i in v}) == 5 for v in got.values())
+
+
+def test_error_without_lists_is_that_of_the_whole_run(spark):
+    rows = [(f"u{u}", f"i{i}", (u * 7 + i * 3) % 5 + 1, 0) for u in range(30) for i in range(u % 3, 40, 3)]
+    reviews = spark.createDataFrame(rows, "user_id string, gmap_id string, rating int, time bigint")
+    whole = training.train_recommendations(reviews, new_path(spark, "lists"), 1, blocks=1, max_iter=2).first()
+    alone = training.recommendation_error(reviews, blocks=1, max_iter=2).first()
+    assert (alone.n, alone.rmse) == (whole.n, pytest.approx(whole.rmse))
