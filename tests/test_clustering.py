@@ -306,3 +306,13 @@ def test_pairs_are_expanded_in_bounded_steps(monkeypatch):
     assert got == {(x, y) for x in range(300) for y in range(200) if a[x] == b[y]}
     assert sum(len(left) for left, _ in steps) == len(got)
     assert max(len(left) for left, _ in steps) <= 700 + 200
+
+
+def test_elbow_query_takes_every_run_to_its_own_end(spark, monkeypatch):
+    from tablewise.plans import clustering_queries
+
+    calls = []
+    monkeypatch.setattr(clustering_queries, "_input", lambda spark, folder: (None, None))
+    monkeypatch.setattr(choice, "elbow", lambda *args, **given: calls.append(given) or spark.createDataFrame([(2, 1.0, 1, 0.0, True)], "k int, total_error double, rounds int, distance double, chosen boolean"))
+    clustering_queries.elbow(spark, "")
+    assert calls[0].get("tol", clustering.TOLERANCE) == 1e-4 and calls[0].get("max_iter", clustering.ROUNDS) == 100
