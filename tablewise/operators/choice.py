@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.distances import MASKED_COSINE, SQUARED_EUCLIDEAN, Distance
+from tablewise.operators import block_rounds
 from tablewise.operators import clustering as c
 from tablewise.operators.ratings import rated
 from tablewise.operators.seeding import plus_plus_start
@@ -151,6 +152,17 @@ def elbow(
     spark, ks = ratings.sparkSession, sorted(set(ks))
     if init not in ("euclidean", "k-means++", "random"):
         raise ValueError(f"unknown start {init!r}")
+    found = None
+    if init == "random" and (laid := block_rounds.lay_out(ratings, users, hot_rows)) is not None:
+        try:
+            start = _grid(stored(c.random_start(ratings, users, ks[-1], seed), "start"), ks).where("cluster_id < k")
+            if (cells := block_rounds.table_start(laid, start, ks)) is not None:
+                found = block_rounds.rounds(laid, cells, ks, distance, max_iter, tol, c.RULES)
+        finally:
+            block_rounds.close(laid)
+    if found is not None:
+        # one row per candidate
+        return knee(spark.createDataFrame([(k, found[k].error, len(found[k].errors)) for k in ks], CURVE))
     parts = c._layout(ratings, users, hot_rows)
     rows, people = c._union([r for r, _ in parts]), c._union([u for _, u in parts])
     if init == "random":
