@@ -73,3 +73,14 @@ def test_rows_travel_in_the_narrowest_type_that_is_exact():
     for i, m in found.rows:
         back[i] = m
     assert (back == rows).all()
+
+
+def test_query_of_three_runs_lays_out_once(spark, monkeypatch):
+    from tablewise.plans import clustering_queries
+
+    calls, lay_out = [], block_rounds.lay_out
+    monkeypatch.setattr(block_rounds, "lay_out", lambda *args: calls.append(1) or lay_out(*args))
+    ratings, users = odd_rows(spark)
+    monkeypatch.setattr(clustering_queries, "_input", lambda *_: (ratings.dropDuplicates(["user_id", "gmap_id"]), users.distinct()))
+    rows = {r.stopped_by: r.rounds for r in clustering_queries.kmeans_stops(spark, "").collect()}
+    assert len(calls) == 1 and rows["unmoved cells"] == 2 and rows["round limit"] == 1
